@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lookalike, mojibake, site_lines
+from quire.llm import lookalike, mojibake, sentences, site_lines
 from quire.session import table
 
 NOT_SCANNED = "NOT coalesce(ocr, false)"
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "blocks").filter("doc_kind = 'bulletin'")
+    return sentences.sentence_ends(blocks.select("block_id", "text"))
+
+
+def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "blocks").select("block_id", "text")).select("block_id", "sent_no", "sent_end", "sentence")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "blocks").filter(NOT_SCANNED)
     return site_lines.repeated_lines(blocks.select("block_id", "source", "text"))
@@ -42,7 +51,7 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_clean, p4_found, p4_restored, p5_found, p5_unified)}
+    return {f.__name__: f for f in (p2_found, p2_sentences, p3_found, p3_clean, p4_found, p4_restored, p5_found, p5_unified)}
 
 
 #: White space as the operator takes it out.
