@@ -103,27 +103,33 @@ def _alike(a: str, b: str) -> bool:
 def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Keep lines that are near-duplicates of their bucket's most frequent line."""
     for p in parts:
-        ok = [_alike(a, b) for a, b in zip(p["_q_mask"], p["_q_head"])]
-        yield p.loc[ok, ["_q_source", "_q_key"]]
+        ok = [_alike(a, b) for a, b in zip(p["_q_mask"], p["_q_head_mask"])]
+        yield p.loc[ok, ["_q_a", "_q_b"]]
+
+
+def _ids(source: Column, key: Column) -> list[Column]:
+    """A line of a source as 96 bits, so that shuffles needn't carry its text."""
+    return [F.xxhash64(source, key).alias("_q_a"), F.hash(source, key).alias("_q_b")]
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
-    """Non-blank lines of blocks with a source, numbered from 1, and their keys."""
+    """Non-blank lines of blocks with a source, numbered from 1, by their ids."""
     return (
         blocks.filter(F.col("source").isNotNull() & F.col("text").isNotNull())
-        .select(F.col("block_id"), F.col("source").alias("_q_source"), F.posexplode(F.split("text", "\n")).alias("_q_pos", "_q_line"))
-        .select("block_id", "_q_source", (F.col("_q_pos") + 1).cast("int").alias("line_no"), exact_key(F.col("_q_line")).alias("_q_key"))
+        .select("block_id", "source", F.posexplode(F.transform(F.split("text", "\n"), exact_key)).alias("_q_pos", "_q_key"))
         .filter(F.col("_q_key") != "")
+        .select("block_id", (F.col("_q_pos") + 1).cast("int").alias("line_no"), *_ids(F.col("source"), F.col("_q_key")))
     )
 
 
 def site_clusters(blocks: DataFrame) -> DataFrame:
-    """Lines (`_q_source`, `_q_key`, `blocks`, `source_blocks`) of repeated clusters.
+    """Lines (`_q_a`, `_q_b`, `blocks`, `source_blocks`) of repeated clusters.
 
     One row a distinct line of a source that lies in a near-duplicate cluster
     found in at least MIN_BLOCKS blocks and MIN_SHARE of the source's blocks.
     Counting is by hash partitions with partial sums, so a source that holds a
-    third of all rows spreads over tasks by its lines.
+    third of all rows spreads over tasks by its lines. What the buckets are
+    counted and joined on are numbers; texts follow only for heavy buckets.
     """
     sources = blocks.filter(F.col("source").isNotNull()).groupBy(F.col("source").alias("_q_source")).agg(F.count("*").alias("_q_n"))
     sources = sources.filter(F.col("_q_n") >= MIN_BLOCKS)
@@ -135,28 +141,25 @@ def site_clusters(blocks: DataFrame) -> DataFrame:
         .groupBy("_q_source", "_q_key")
         .agg(F.count("*").alias("_q_df"))
         .join(sources, "_q_source")
-        .withColumn("_q_mask", mask(F.col("_q_key")))
+        .select(*_ids(F.col("_q_source"), F.col("_q_key")), F.xxhash64("_q_source").alias("_q_s"), mask(F.col("_q_key")).alias("_q_mask"), "_q_df", "_q_n")
     )
     lines = cut(lines)
-    banded = lines.select("*", F.posexplode(_bands("_q_mask")).alias("_q_band", "_q_hash")).withColumn(
-        "_q_bucket", F.xxhash64("_q_source", "_q_band", "_q_hash")
+    rank = F.shiftleft(F.least(F.col("_q_df"), F.lit(2**22)), 40).bitwiseOR(F.col("_q_a").bitwiseAND(F.lit(2**40 - 1)))
+    banded = lines.select("_q_a", "_q_b", "_q_s", "_q_df", "_q_n", rank.alias("_q_rank"), F.posexplode(_bands("_q_mask")).alias("_q_band", "_q_hash")).withColumn(
+        "_q_bucket", F.xxhash64("_q_s", "_q_band", "_q_hash")
     )
     heavy = (
         banded.groupBy("_q_bucket")
-        .agg(F.sum("_q_df").alias("_q_total"), F.max("_q_n").alias("_q_of"), F.max(F.struct("_q_df", "_q_mask"))["_q_mask"].alias("_q_head"))
+        .agg(F.sum("_q_df").alias("_q_total"), F.max("_q_n").alias("_q_of"), F.max("_q_rank").alias("_q_head"))
         .filter((F.col("_q_total") >= MIN_BLOCKS) & (F.col("_q_total") >= MIN_SHARE * F.col("_q_of")))
         .select("_q_bucket", "_q_head")
     )
-    near = (
-        banded.select("_q_source", "_q_key", "_q_mask", "_q_bucket")
-        .join(heavy, "_q_bucket")
-        .select("_q_source", "_q_key", "_q_mask", "_q_head")
-        .mapInPandas(_verify, "_q_source string, _q_key string")
-        .distinct()
-    )
-    return lines.join(near, ["_q_source", "_q_key"], "left_semi").select(
-        "_q_source", "_q_key", F.col("_q_df").alias("blocks"), F.col("_q_n").alias("source_blocks")
-    )
+    near = banded.select("_q_a", "_q_b", "_q_s", "_q_bucket").join(heavy, "_q_bucket").select("_q_a", "_q_b", "_q_s", "_q_head").distinct()
+    masks = lines.select("_q_a", "_q_b", "_q_mask")
+    heads = lines.select(F.col("_q_s"), rank.alias("_q_head"), F.col("_q_mask").alias("_q_head_mask"))
+    near = near.join(heads, ["_q_s", "_q_head"]).join(masks, ["_q_a", "_q_b"]).select("_q_a", "_q_b", "_q_mask", "_q_head_mask")
+    near = near.mapInPandas(_verify, "_q_a bigint, _q_b int").distinct()
+    return lines.join(near, ["_q_a", "_q_b"], "left_semi").select("_q_a", "_q_b", F.col("_q_df").alias("blocks"), F.col("_q_n").alias("source_blocks"))
 
 
 def repeated_lines(blocks: DataFrame) -> DataFrame:
@@ -166,14 +169,14 @@ def repeated_lines(blocks: DataFrame) -> DataFrame:
     follows (white space out, digit runs as one sign).
     """
     named = site_clusters(blocks).filter((F.col("blocks") >= MIN_BLOCKS) & (F.col("blocks") >= MIN_SHARE * F.col("source_blocks")))
-    return block_lines(blocks).join(named.select("_q_source", "_q_key"), ["_q_source", "_q_key"], "left_semi").select("block_id", "line_no")
+    return block_lines(blocks).join(named.select("_q_a", "_q_b"), ["_q_a", "_q_b"], "left_semi").select("block_id", "line_no")
 
 
 def strip_site_lines(blocks: DataFrame) -> DataFrame:
     """All blocks with `clean_text`: the text without the lines of repeated clusters."""
     gone = (
         block_lines(blocks)
-        .join(site_clusters(blocks).select("_q_source", "_q_key"), ["_q_source", "_q_key"], "left_semi")
+        .join(site_clusters(blocks).select("_q_a", "_q_b"), ["_q_a", "_q_b"], "left_semi")
         .groupBy("block_id")
         .agg(F.collect_list("line_no").alias("_q_gone"))
         .withColumnRenamed("block_id", "_q_id")
