@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lookalike, mojibake, sentences, site_lines
+from quire.llm import lookalike, mixing, mojibake, pieces, sentences, site_lines, tokens
 from quire.session import table
 
 NOT_SCANNED = "NOT coalesce(ocr, false)"
@@ -50,8 +50,28 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("block_id", F.col("text_plain").alias("text"), F.col("section_plain").alias("section"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(*(table(spark, sf_dir, t) for t in ("documents", "mix_plans", "mix_targets")))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_profiles"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_sentences, p3_found, p3_clean, p4_found, p4_restored, p5_found, p5_unified)}
+    return {f.__name__: f for f in (p2_found, p2_sentences, p3_found, p3_clean, p4_found, p4_restored, p5_found, p5_unified, p6_ids, p7_mixture, p7_shares, p8_pieces)}
 
 
 #: White space as the operator takes it out.
