@@ -131,7 +131,7 @@ def site_clusters(blocks: DataFrame) -> DataFrame:
     third of all rows spreads over tasks by its lines. What the buckets are
     counted and joined on are numbers; texts follow only for heavy buckets.
     """
-    sources = blocks.filter(F.col("source").isNotNull()).groupBy(F.col("source").alias("_q_source")).agg(F.count("*").alias("_q_n"))
+    sources = blocks.filter(F.col("source").isNotNull()).groupBy(F.col("source").alias("_q_source")).agg(F.count("*").cast("int").alias("_q_n"))
     sources = sources.filter(F.col("_q_n") >= MIN_BLOCKS)
     keys = F.array_distinct(F.transform(F.split("text", "\n"), exact_key))
     lines = (
@@ -139,25 +139,26 @@ def site_clusters(blocks: DataFrame) -> DataFrame:
         .select(F.col("source").alias("_q_source"), F.explode(keys).alias("_q_key"))
         .filter(F.col("_q_key") != "")
         .groupBy("_q_source", "_q_key")
-        .agg(F.count("*").alias("_q_df"))
+        .agg(F.count("*").cast("int").alias("_q_df"))
         .join(sources, "_q_source")
         .select(*_ids(F.col("_q_source"), F.col("_q_key")), F.xxhash64("_q_source").alias("_q_s"), mask(F.col("_q_key")).alias("_q_mask"), "_q_df", "_q_n")
     )
     lines = cut(lines)
-    rank = F.shiftleft(F.least(F.col("_q_df"), F.lit(2**22)), 40).bitwiseOR(F.col("_q_a").bitwiseAND(F.lit(2**40 - 1)))
-    banded = lines.select("_q_a", "_q_b", "_q_s", "_q_df", "_q_n", rank.alias("_q_rank"), F.posexplode(_bands("_q_mask")).alias("_q_band", "_q_hash")).withColumn(
+    banded = lines.select("_q_a", "_q_b", "_q_s", "_q_df", "_q_n", F.posexplode(_bands("_q_mask")).alias("_q_band", "_q_hash")).withColumn(
         "_q_bucket", F.xxhash64("_q_s", "_q_band", "_q_hash")
     )
     heavy = (
         banded.groupBy("_q_bucket")
-        .agg(F.sum("_q_df").alias("_q_total"), F.max("_q_n").alias("_q_of"), F.max("_q_rank").alias("_q_head"))
+        .agg(F.sum("_q_df").alias("_q_total"), F.max("_q_n").alias("_q_of"))
         .filter((F.col("_q_total") >= MIN_BLOCKS) & (F.col("_q_total") >= MIN_SHARE * F.col("_q_of")))
-        .select("_q_bucket", "_q_head")
+        .select("_q_bucket")
     )
-    near = banded.select("_q_a", "_q_b", "_q_s", "_q_bucket").join(heavy, "_q_bucket").select("_q_a", "_q_b", "_q_s", "_q_head").distinct()
-    masks = lines.select("_q_a", "_q_b", "_q_mask")
-    heads = lines.select(F.col("_q_s"), rank.alias("_q_head"), F.col("_q_mask").alias("_q_head_mask"))
-    near = near.join(heads, ["_q_s", "_q_head"]).join(masks, ["_q_a", "_q_b"]).select("_q_a", "_q_b", "_q_mask", "_q_head_mask")
+    near = cut(banded.select("_q_a", "_q_b", "_q_bucket").join(heavy, "_q_bucket", "left_semi"))
+    near = near.join(lines.select("_q_a", "_q_b", "_q_df", "_q_mask"), ["_q_a", "_q_b"])
+    rank = F.shiftleft(F.least(F.col("_q_df"), F.lit(2**22)).cast("bigint"), 40).bitwiseOR(F.col("_q_a").bitwiseAND(F.lit(2**40 - 1)))
+    heads = near.groupBy("_q_bucket").agg(F.max(rank).alias("_q_rank"))
+    heads = near.withColumn("_q_rank", rank).join(heads, ["_q_bucket", "_q_rank"]).select("_q_bucket", F.col("_q_mask").alias("_q_head_mask"))
+    near = near.join(heads, "_q_bucket").select("_q_a", "_q_b", "_q_mask", "_q_head_mask").distinct()
     near = near.mapInPandas(_verify, "_q_a bigint, _q_b int").distinct()
     return lines.join(near, ["_q_a", "_q_b"], "left_semi").select("_q_a", "_q_b", F.col("_q_df").alias("blocks"), F.col("_q_n").alias("source_blocks"))
 
