@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lookalike, mixing, mojibake, pieces, sentences, site_lines, tokens
+from quire.llm import lookalike, mixing, mojibake, pieces, scans, sentences, site_lines, tokens
 from quire.session import table
 
 NOT_SCANNED = "NOT coalesce(ocr, false)"
 
 
+SCAN_COLUMNS = ("block_id", "source", "page", "block_seq", "text", "ocr")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_noise(table(spark, sf_dir, "blocks").select(*SCAN_COLUMNS))
+
+
+def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(table(spark, sf_dir, "blocks").select(*SCAN_COLUMNS)).select("block_id", "paragraphs")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "blocks").filter("doc_kind = 'bulletin'")
     return sentences.sentence_ends(blocks.select("block_id", "text"))
@@ -71,7 +82,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_sentences, p3_found, p3_clean, p4_found, p4_restored, p5_found, p5_unified, p6_ids, p7_mixture, p7_shares, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_sentences, p3_found, p3_clean, p4_found, p4_restored, p5_found, p5_unified, p6_ids, p7_mixture, p7_shares, p8_pieces)}
 
 
 #: White space as the operator takes it out.
