@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,11 +54,12 @@ def bounded_sample(df: DataFrame, strata: str, key: str, per_stratum: int) -> Da
     return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= per_stratum).drop("_rn")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Partition a table for tasks that are heavy for the bytes they read.
+def pool(df: DataFrame, key: str, rows: int = 40_000) -> DataFrame:
+    """About `rows` rows, those of smallest hash of `key`: all of a small table.
 
-    One file of a few MB is one task; its rows are dealt out to as many tasks
-    as the session shuffles to, by a hash of all columns it is keyed by.
+    Bounds what tagging and stratifying a sample costs, whatever the table's size.
     """
-    spark: SparkSession = df.sparkSession
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.filter(F.xxhash64(F.col(key)) < F.lit(int(2**64 * (rows / n)) - 2**63))
