@@ -1,21 +1,464 @@
-"""Queries of the core operators and their SQL."""
+"""The queries of the core operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.config import DEFAULTS
+from quire.functions import text as T
+from quire.operators import chunking, dense, dialog, index, lexical, ranking, scope, web
 from quire.session import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+
+# ---------------------------------------------------------------- sources
+
+
+def file_listing(spark, d):
+    return index.listed_files(table(spark, d, "source_files")).drop("loaded_at")
+
+
+def page_cache_keys(spark, d):
+    rows = table(spark, d, "source_files")
+    return rows.select("source", "loaded_at", T.cache_key(F.col("rel_path"), F.col("n_blocks"), F.unix_micros(F.col("modified_at").cast("timestamp"))).alias("key"))
+
+
+def reading_order(spark, d):
+    boxes = F.struct(F.col("block_seq").cast("double").alias("y"), F.length("text").cast("double").alias("x"), F.col("text").alias("text"))
+    rows = table(spark, d, "blocks").filter("ocr AND page IS NOT NULL AND text IS NOT NULL").select("source", "page", boxes.alias("b"))
+    return rows.groupBy("source", "page").agg(T.reading_order(F.collect_list("b")).alias("text"))
+
+
+# ---------------------------------------------------------------- structure
+
+
+def block_deduplication(spark, d):
+    return chunking.current_blocks(table(spark, d, "blocks")).select("block_id", "source", "block_seq")
+
+
+def line_explode(spark, d):
+    return chunking.heading_lines(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "line_no", F.length("line").alias("n_chars"), "is_heading")
+
+
+def block_assembly(spark, d):
+    return chunking.assembled(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "block_no", "section", F.length("text").alias("n_chars"))
+
+
+def section_path(spark, d):
+    return chunking.section_paths(chunking.current_blocks(table(spark, d, "blocks").select("block_id", "source", "block_seq", "section", "text")))
+
+
+def chunk_merge(spark, d):
+    return chunking.merge_chunks(chunking.current_blocks(table(spark, d, "blocks").select("block_id", "source", "block_seq", "page", "section", "text")))
+
+
+def repeated_lines_collapsed(spark, d):
+    rows = table(spark, d, "blocks").select("block_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    from pyspark.sql import Window as W
+
+    before = F.lag("line").over(W.partitionBy("block_id").orderBy("p"))
+    return rows.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") != F.col("line"))).groupBy("block_id").agg(F.count("*").alias("lines"))
+
+
+# ---------------------------------------------------------------- index
+
+
+def term_frequencies(spark, d):
+    posted = lexical.postings(table(spark, d, "blocks").select("block_id", "text"), "block_id")
+    return posted.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+def bm25_statistics(spark, d):
+    texts = table(spark, d, "blocks").select("block_id", "text")
+    df, _ = lexical.statistics(texts, lexical.postings(texts, "block_id"), "block_id")
+    return df.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _texts(spark, d):
+    return table(spark, d, "blocks").select("block_id", "tier", "text")
+
+
+def bm25_topk(spark, d):
+    return lexical.bm25(_texts(spark, d).drop("tier"), table(spark, d, "questions").select("question_id", "question"), "block_id", "question_id", DEFAULTS.top_k)
+
+
+def bm25_scoped(spark, d):
+    asked = table(spark, d, "questions").filter("tier IS NOT NULL").select("question_id", "question", "tier")
+    return lexical.bm25(_texts(spark, d).filter("tier IS NOT NULL"), asked, "block_id", "question_id", DEFAULTS.top_k, ["tier"])
+
+
+def _vectors(spark, d):
+    v = table(spark, d, "embeddings")
+    return v, v.filter("vec_id % 100 = 0")
+
+
+def dense_topk(spark, d):
+    return dense.nearest(*_vectors(spark, d), k=DEFAULTS.summary_top_k)
+
+
+def dense_threshold(spark, d):
+    return dense.nearest(*_vectors(spark, d), k=DEFAULTS.recheck_depth, threshold=DEFAULTS.score_threshold)
+
+
+def dense_scoped(spark, d):
+    return dense.nearest(*_vectors(spark, d), k=DEFAULTS.top_k, same_label=True)
+
+
+def section_hits(spark, d):
+    return ranking.section_hits(table(spark, d, "blocks").select("block_id", "section"), table(spark, d, "questions"), DEFAULTS.top_k)
+
+
+# ---------------------------------------------------------------- ranking
+
+
+def rank_fusion(spark, d):
+    lists = [bm25_topk(spark, d), section_hits(spark, d)]
+    return ranking.fuse(lists, "question_id", "block_id", DEFAULTS.top_k)
+
+
+def round_robin(spark, d):
+    return ranking.interleave([bm25_topk(spark, d), section_hits(spark, d)], "question_id", "block_id", DEFAULTS.top_k)
+
+
+def relevant_hits(spark, d):
+    v, q = _vectors(spark, d)
+    hits = dense.nearest(v, q, k=DEFAULTS.recheck_depth).select("query_id", "vec_id", "rank")
+    return ranking.relevant_only(hits, dense.nearest(v, q, k=DEFAULTS.top_k, same_label=True), ["query_id", "vec_id"])
+
+
+def small_source_expansion(spark, d):
+    return ranking.expand_small_sources(bm25_topk(spark, d), table(spark, d, "blocks").select("block_id", "source"), DEFAULTS.retrieve_limit)
+
+
+def source_completion(spark, d):
+    chunks = table(spark, d, "blocks").select("block_id", "source", "page", "block_seq", "section")
+    return ranking.complete_sources(bm25_topk(spark, d), chunks, DEFAULTS.summary_retrieve_limit)
+
+
+def answer_contexts(spark, d):
+    chunks = table(spark, d, "blocks").select("block_id", "source", "page", "tier", "section", "text")
+    return ranking.contexts(bm25_topk(spark, d).withColumnRenamed("rank", "position"), chunks).select("question_id", F.length("context").alias("n_chars"), F.array_join("sources", "|").alias("sources"))
+
+
+# ---------------------------------------------------------------- scope
+
+
+def scope_filter(spark, d):
+    return table(spark, d, "blocks").filter(scope.in_scope("市级政策")).select("block_id", "source")
+
+
+def question_classes(spark, d):
+    return scope.question_classes(table(spark, d, "questions"))
+
+
+def local_sources(spark, d):
+    return scope.local_sources(table(spark, d, "blocks").select("source", "tier", "text"))
+
+
+def named_files(spark, d):
+    return scope.named_files(table(spark, d, "questions"), table(spark, d, "source_files").select("source"))
+
+
+# ---------------------------------------------------------------- dialogue
+
+
+def _turns(spark, d):
+    return table(spark, d, "turns")
+
+
+def history_window(spark, d):
+    return dialog.recent(_turns(spark, d))
+
+
+def answered_turns(spark, d):
+    return dialog.without_unknown(_turns(spark, d))
+
+
+def history_topics(spark, d):
+    return dialog.history_topics(_turns(spark, d))
+
+
+def resolved_questions(spark, d):
+    return dialog.resolved(_turns(spark, d))
+
+
+def pending_consent(spark, d):
+    return dialog.pending_consent(_turns(spark, d))
+
+
+def history_sources(spark, d):
+    return dialog.history_sources(_turns(spark, d))
+
+
+def transcripts(spark, d):
+    return dialog.transcripts(_turns(spark, d))
+
+
+def answer_lines(spark, d):
+    rows = dialog.normal_turns(_turns(spark, d)).filter("role = 'assistant'").select("turn_id", F.posexplode(F.split("content", "\n")).alias("p", "line"))
+    return rows.select("turn_id", F.col("p").alias("line_no"), T.line_kind(F.col("line")).alias("kind"), T.escape_xml(F.col("line")).alias("line"))
+
+
+def sanitized_answers(spark, d):
+    rules = (("数据", "数 据"), ("2021年", "去年"))
+    return dialog.normal_turns(_turns(spark, d)).filter("role = 'assistant'").select("turn_id", T.outside_titles(F.col("content"), rules).alias("content"))
+
+
+def answer_sentences(spark, d):
+    return dialog.normal_turns(_turns(spark, d)).select("turn_id", F.posexplode(T.sentences(F.col("content"))).alias("sentence_no", "sentence"))
+
+
+# ---------------------------------------------------------------- web and upkeep
+
+
+def web_merge(spark, d):
+    return web.merged(table(spark, d, "web_results"))
+
+
+def web_query_urls(spark, d):
+    return table(spark, d, "web_results").select("query_text").distinct().select("query_text", F.url_encode("query_text").alias("encoded"))
+
+
+def append_new_sources(spark, d):
+    files = table(spark, d, "source_files").select("source", "rel_path")
+    return index.new_rows(files, table(spark, d, "blocks").filter("ocr"))
+
+
+def audit_counts(spark, d):
+    return index.audit_counts(table(spark, d, "source_files"), table(spark, d, "blocks").select("source", "block_seq"))
+
+
+def audit_missing_lines(spark, d):
+    blocks = table(spark, d, "blocks").select("block_id", "source", "block_seq", "page", "section", "text")
+    return index.missing_lines(blocks, chunking.merge_chunks(chunking.current_blocks(blocks)))
+
+
+_ALL: tuple[Query, ...] = (
+    file_listing, page_cache_keys, reading_order, block_deduplication, line_explode, block_assembly, section_path, chunk_merge, repeated_lines_collapsed,
+    term_frequencies, bm25_statistics, bm25_topk, bm25_scoped, dense_topk, dense_threshold, dense_scoped, section_hits,
+    rank_fusion, round_robin, relevant_hits, small_source_expansion, source_completion, answer_contexts,
+    scope_filter, question_classes, local_sources, named_files,
+    history_window, answered_turns, history_topics, resolved_questions, pending_consent, history_sources, transcripts, answer_lines, sanitized_answers, answer_sentences,
+    web_merge, web_query_urls, append_new_sources, audit_counts, audit_missing_lines,
+)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "blocks").groupBy("source").count()
+    """Questions with the context that would answer them."""
+    return answer_contexts(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _ALL}
+
+
+# ---------------------------------------------------------------- SQL
+
+_WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
+_STRIP = rf"regexp_replace({{0}}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _strip(c: str) -> str:
+    return _STRIP.replace("{0}", c)
+
+
+_TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]')"
+
+
+def _tokens(c: str) -> str:
+    return _TOKENS.replace("{0}", c)
+
+
+def _bm25(scoped: bool) -> str:
+    s, g = ("tier, ", "USING (tier)") if scoped else ("", "ON true")
+    on = "tier, term" if scoped else "term"
+    where = "WHERE tier IS NOT NULL" if scoped else ""
+    c = DEFAULTS
+    return f"""
+        b AS (SELECT {s} block_id, {_tokens("text")} AS toks FROM blocks {where}),
+        p AS (SELECT {s} block_id, term, count(*) AS tf FROM (SELECT {s} block_id, unnest(toks) AS term FROM b) GROUP BY ALL),
+        l AS (SELECT {s} block_id, len(toks) AS dl FROM b),
+        pool AS (SELECT {s} count(*) AS n_docs, avg(dl) AS avgdl FROM l GROUP BY ALL),
+        dfs AS (SELECT {s} term, count(*) AS df FROM p GROUP BY ALL),
+        raw AS (SELECT dfs.*, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfs JOIN pool {g}),
+        mean AS (SELECT {s} avg(raw) AS m FROM raw GROUP BY ALL),
+        idf AS (SELECT {s} term, df, CASE WHEN raw < 0 THEN m * {c.bm25_epsilon} ELSE raw END AS idf FROM raw JOIN mean {g}),
+        q AS (SELECT {s} question_id, term, count(*) AS times FROM (SELECT {s} question_id, unnest({_tokens("question")}) AS term FROM questions {where}) GROUP BY ALL),
+        sc AS (SELECT question_id, block_id, round(sum(times * idf * tf * {c.bm25_k1 + 1} / (tf + {c.bm25_k1} * ({1 - c.bm25_b} + {c.bm25_b} * dl / avgdl))), 6) AS score
+               FROM q JOIN idf USING ({on}) JOIN p USING ({on}) JOIN l USING ({s} block_id) JOIN pool {g} GROUP BY question_id, block_id),
+        bm AS (SELECT question_id, block_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, block_id) AS rank FROM sc QUALIFY rank <= {c.top_k})"""
+
+
+def _dense(k: int, extra: str = "", where: str = "") -> str:
+    return f"""
+        v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        r AS (SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_sum(list_transform(list_zip(q.e, v.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) / sqrt(2), 6) AS relevance
+              FROM v AS q JOIN v ON true {extra} WHERE q.vec_id % 100 = 0),
+        dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, vec_id) AS rank FROM r {where} QUALIFY rank <= {k})"""
+
+
+_GRAMS = """list_distinct(flatten(list_transform(regexp_extract_all({0}, '[\\x{4E00}-\\x{9FFF}]+|[A-Za-z0-9]{2,}'), lambda r:
+    CASE WHEN regexp_matches(r, '^[A-Za-z0-9]') THEN [r]
+    ELSE list_concat(CASE WHEN length(r) >= 2 THEN list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) ELSE []::VARCHAR[] END,
+                     CASE WHEN length(r) >= 3 THEN list_transform(range(1, length(r) - 1), lambda i: substring(r, i, 3)) ELSE []::VARCHAR[] END) END)))"""
+
+_SECTION = f"""
+        qa AS (SELECT question_id, unnest({_GRAMS.replace("{0}", "question")}) AS gram FROM questions),
+        sa AS (SELECT section, unnest({_GRAMS.replace("{0}", "section")}) AS gram FROM (SELECT DISTINCT section FROM blocks WHERE section <> '')),
+        sw AS (SELECT question_id, section, sum(length(gram) * length(gram)) AS weight FROM qa JOIN sa USING (gram) GROUP BY ALL),
+        sh AS (SELECT question_id, block_id, CAST(weight AS BIGINT) AS weight, row_number() OVER (PARTITION BY question_id ORDER BY weight DESC, block_id) AS rank
+               FROM sw JOIN blocks USING (section) QUALIFY rank <= {DEFAULTS.top_k})"""
+
+_TURNS = f"""
+        nt0 AS (SELECT turn_id, conv_id, turn, lower(trim(role)) AS role, {_strip("content")} AS content, sources, coalesce("unknown", false) AS unk FROM turns),
+        nt AS (SELECT * FROM nt0 WHERE role IN ('user', 'assistant') AND coalesce(content, '') <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY turn_id) = 1)"""
+
+_REF = DEFAULTS.referents
+_TOPIC = "CASE WHEN regexp_extract(content, '《([^》]+)》', 1) <> '' THEN regexp_extract(content, '《([^》]+)》', 1) ELSE regexp_replace(content, '[？?。！!]+$', '') END"
+
+
+def _any(c: str, words) -> str:
+    return "(" + " OR ".join(f"contains(coalesce({c}, ''), '{w}')" for w in words) + ")"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _clean(c: str) -> str:
+    for entity, sign in T.ENTITIES:
+        c = f"replace({c}, '{entity.replace(chr(39), chr(39) * 2)}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace(regexp_replace({c}, '<[^>]*>', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    c = DEFAULTS
+    lines = f"list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {_strip('x')}), lambda x: x <> '')"
+    heading, top = c.heading, c.top_heading
+    lined = f"ln AS (SELECT doc_id, unnest({lines}) AS line, generate_subscripts({lines}, 1) AS line_no FROM documents WHERE text IS NOT NULL)"
+    current = "cb AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY source, block_seq, text ORDER BY block_id) = 1)"
+    aliases = " ".join(f"WHEN contains(question, '{a}') THEN '{t}'" for a, t in c.tier_aliases)
+    rank = "CASE engine " + " ".join(f"WHEN '{e}' THEN {i}" for i, e in enumerate(c.engines)) + f" ELSE {len(c.engines)} END"
+    files = "lf AS (SELECT * FROM source_files QUALIFY row_number() OVER (PARTITION BY source ORDER BY loaded_at DESC, rel_path, n_blocks) = 1)"
+    return {
+        "file_listing": rf"""
+            WITH {files} SELECT source, regexp_extract(rel_path, '[^/]*$') AS name, lower(regexp_extract(rel_path, '(\.[^./]+)$', 1)) AS suffix,
+                   regexp_replace(CASE WHEN contains(rel_path, '/') THEN regexp_extract(rel_path, '([^/]*)/[^/]*$', 1) ELSE '' END, '^[0-9]+[\s._\-、]*', '') AS path_tier, n_blocks FROM lf""",
+        "page_cache_keys": "SELECT source, loaded_at, substring(sha1(concat_ws('|', rel_path, n_blocks::VARCHAR, epoch_us(modified_at)::VARCHAR)), 1, 20) AS key FROM source_files",
+        "reading_order": "SELECT source, page, string_agg(text, chr(10) ORDER BY block_seq, length(text), text) AS text FROM blocks WHERE ocr AND page IS NOT NULL AND text IS NOT NULL GROUP BY source, page",
+        "block_deduplication": f"WITH {current} SELECT block_id, source, block_seq FROM cb",
+        "line_explode": f"WITH {lined} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(length(line) AS INTEGER) AS n_chars, regexp_matches(line, '{heading}') AS is_heading FROM ln",
+        "block_assembly": f"""
+            WITH {lined}, h AS (SELECT *, regexp_matches(line, '{heading}') AS head FROM ln),
+            n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS block_no FROM h)
+            SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, coalesce(max(CASE WHEN head THEN substring(line, 1, 80) END), '') AS section,
+                   CAST(length(string_agg(line, chr(10) ORDER BY line_no)) AS INTEGER) AS n_chars FROM n GROUP BY doc_id, block_no""",
+        "section_path": f"""
+            WITH {current}, r AS (SELECT block_id, source, block_seq, coalesce(trim(section), '') AS h, regexp_matches(coalesce(trim(section), ''), '{top}') AS top FROM cb),
+            g AS (SELECT *, sum(top::INT) OVER (PARTITION BY source ORDER BY block_seq, block_id) AS g, (h <> '' AND NOT top)::INT AS sub FROM r),
+            w AS (SELECT *, first_value(CASE WHEN top THEN h END IGNORE NULLS) OVER o AS t, sum(sub) OVER o AS k, first_value(CASE WHEN sub = 1 THEN h END IGNORE NULLS) OVER o AS s1,
+                         nth_value(CASE WHEN sub = 1 THEN h END, 2 IGNORE NULLS) OVER o AS s2, last_value(CASE WHEN sub = 1 THEN h END IGNORE NULLS) OVER o AS last
+                  FROM g WINDOW o AS (PARTITION BY source, g ORDER BY block_seq, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+            SELECT block_id, CASE WHEN t IS NOT NULL THEN concat_ws(' > ', t, s1, CASE WHEN k >= 2 THEN last END) ELSE concat_ws(' > ', s1, s2, CASE WHEN k >= 3 THEN last END) END AS path FROM w""",
+        "repeated_lines_collapsed": """
+            WITH l AS (SELECT block_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM blocks WHERE text IS NOT NULL),
+            b AS (SELECT *, lag(line) OVER (PARTITION BY block_id ORDER BY p) AS before FROM l)
+            SELECT block_id, count(*) AS lines FROM b WHERE before IS NULL OR before <> line GROUP BY block_id""",
+        "term_frequencies": f"WITH p AS (SELECT block_id, term, count(*) AS tf FROM (SELECT block_id, unnest({_tokens('text')}) AS term FROM blocks) GROUP BY ALL) SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM p GROUP BY term",
+        "bm25_statistics": f"WITH {_bm25(False)} SELECT term, df, round(idf, 6) AS idf FROM idf",
+        "bm25_topk": f"WITH {_bm25(False)} SELECT question_id, block_id, score, CAST(rank AS INTEGER) AS rank FROM bm",
+        "bm25_scoped": f"WITH {_bm25(True)} SELECT question_id, block_id, score, CAST(rank AS INTEGER) AS rank FROM bm",
+        "dense_topk": f"WITH {_dense(c.summary_top_k)} SELECT query_id, vec_id, relevance, CAST(rank AS INTEGER) AS rank FROM dn",
+        "dense_threshold": f"WITH {_dense(c.recheck_depth, where=f'WHERE relevance >= {c.score_threshold}')} SELECT query_id, vec_id, relevance, CAST(rank AS INTEGER) AS rank FROM dn",
+        "dense_scoped": f"WITH {_dense(c.top_k, 'AND q.label = v.label')} SELECT query_id, vec_id, relevance, CAST(rank AS INTEGER) AS rank FROM dn",
+        "section_hits": f"WITH {_SECTION} SELECT question_id, block_id, weight, CAST(rank AS INTEGER) AS rank FROM sh",
+        "rank_fusion": f"""
+            WITH {_bm25(False)}, {_SECTION}, u AS (SELECT question_id, block_id, rank FROM bm UNION ALL SELECT question_id, block_id, rank FROM sh),
+            f AS (SELECT question_id, block_id, round(sum({c.fusion_weight} / (rank + {c.fusion_constant})), 9) AS score FROM u GROUP BY ALL)
+            SELECT question_id, block_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, block_id) AS INTEGER) AS rank FROM f QUALIFY rank <= {c.top_k}""",
+        "round_robin": f"""
+            WITH {_bm25(False)}, {_SECTION}, u AS (SELECT question_id, block_id, rank, 0 AS turn FROM bm UNION ALL SELECT question_id, block_id, rank, 1 FROM sh),
+            f AS (SELECT question_id, block_id, min(rank * 10 + turn) AS pos FROM u GROUP BY ALL)
+            SELECT question_id, block_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY pos, block_id) AS INTEGER) AS position FROM f QUALIFY position <= {c.top_k}""",
+        "relevant_hits": f"""
+            WITH {_dense(c.recheck_depth)}, own AS (SELECT query_id, vec_id FROM r JOIN v USING (vec_id) JOIN v AS q ON q.vec_id = r.query_id AND q.label = v.label
+                  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, vec_id) <= {c.top_k})
+            SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM dn SEMI JOIN own USING (query_id, vec_id)""",
+        "small_source_expansion": f"""
+            WITH {_bm25(False)}, s AS (SELECT source FROM blocks GROUP BY source HAVING count(*) <= {c.small_source_max}),
+            f AS (SELECT question_id, bm.block_id, rank, source FROM bm JOIN blocks USING (block_id)),
+            u AS (SELECT question_id, m.block_id, rank, 0 AS stage FROM f JOIN s USING (source) JOIN blocks AS m USING (source) UNION ALL SELECT question_id, block_id, rank, 1 FROM f),
+            a AS (SELECT question_id, block_id, min(rank) AS rank FROM u GROUP BY ALL)
+            SELECT question_id, block_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY rank, block_id) AS INTEGER) AS position FROM a QUALIFY position <= {c.retrieve_limit}""",
+        "source_completion": f"""
+            WITH {_bm25(False)}, f AS (SELECT question_id, rank, source, coalesce(section, '') AS section FROM bm JOIN blocks USING (block_id)),
+            a AS (SELECT question_id, source, min(rank) AS first_hit FROM f GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM blocks GROUP BY source),
+            hs AS (SELECT DISTINCT question_id, source, section FROM f WHERE section <> ''),
+            rows AS (SELECT question_id, block_id, first_hit, source, page, block_seq, n, coalesce(b.section, '') AS section FROM a JOIN n USING (source) JOIN blocks AS b USING (source))
+            SELECT question_id, block_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY first_hit, source, page IS NULL, coalesce(page, 0), block_seq, block_id) AS INTEGER) AS position
+            FROM rows WHERE n <= {c.summary_full_source_max} OR section = '' OR NOT EXISTS (SELECT 1 FROM hs WHERE hs.question_id = rows.question_id AND hs.source = rows.source)
+               OR EXISTS (SELECT 1 FROM hs WHERE hs.question_id = rows.question_id AND hs.source = rows.source AND hs.section = rows.section)
+            QUALIFY position <= {c.summary_retrieve_limit}""",
+        "answer_contexts": f"""
+            WITH {_bm25(False)}, pc AS (SELECT question_id, rank, source, source || CASE WHEN page IS NULL THEN '' ELSE ' p.' || page::VARCHAR END ||
+                   CASE WHEN coalesce(tier, '') || coalesce(section, '') = '' THEN '' ELSE ' [' || concat_ws('/', nullif(tier, ''), nullif(section, '')) || ']' END || chr(10) || coalesce(text, '') AS piece
+                   FROM bm JOIN blocks USING (block_id)),
+            pf AS (SELECT question_id, source, min(rank) AS pos FROM pc GROUP BY ALL), ps AS (SELECT question_id, string_agg(source, '|' ORDER BY pos) AS sources FROM pf GROUP BY ALL)
+            SELECT question_id, CAST(length(string_agg(piece, chr(10) || chr(10) ORDER BY rank)) AS INTEGER) AS n_chars, any_value(sources) AS sources FROM pc JOIN ps USING (question_id) GROUP BY question_id""",
+        "scope_filter": "SELECT block_id, source FROM blocks WHERE coalesce(tier, '') = '市级政策'",
+        "question_classes": f"""
+            SELECT question_id, {_any("question", c.list_words)} AS is_list, {_any("question", c.list_words + c.summary_words)} AS is_summary, {_any("question", c.report_words)} AS is_report,
+                   {_any("question", ("其他地区", *c.other_markers))} AS wants_other, CASE {aliases} END AS tier_found FROM questions""",
+        "local_sources": f"""
+            WITH f AS (SELECT source, bool_or(coalesce(tier, '') <> '{c.other_tier}') AS in_tier, bool_or({_any("text", c.other_markers)}) AS other, bool_or({_any("text", c.local_markers)}) AS loc
+                       FROM blocks WHERE source <> '' GROUP BY source)
+            SELECT source FROM f WHERE NOT {_any("source", c.other_markers)} AND (in_tier OR NOT (other AND NOT loc))""",
+        "named_files": f"""
+            WITH a AS (SELECT question_id, regexp_replace(unnest(regexp_extract_all(question, '《([^》]+)》', 1)), '{_WS}+', '', 'g') AS title FROM questions),
+            n AS (SELECT DISTINCT source, regexp_replace(regexp_replace(source, '(?i)\\.(pdf|docx?|wps|txt|md|csv|xlsx?|xlsm|pptx?|html?|rtf)$', ''), '{_WS}+', '', 'g') AS name FROM source_files),
+            t AS (SELECT source, name AS title FROM n UNION SELECT source, regexp_replace(regexp_extract(name, '关于印发(.+)的通知$', 1), '[《》]', '', 'g') FROM n)
+            SELECT DISTINCT question_id, source FROM a JOIN t USING (title) WHERE title <> ''""",
+        "history_window": f"""
+            WITH {_TURNS}, b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM nt)
+            SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS position, role, content FROM b WHERE back <= {c.history_messages}""",
+        "answered_turns": f"""
+            WITH {_TURNS}, n AS (SELECT *, lead(role) OVER o AS nr, lead(unk) OVER o AS nu FROM nt WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+            SELECT conv_id, turn, role, content FROM n WHERE (role = 'assistant' AND NOT unk) OR (role = 'user' AND (nr IS NULL OR (nr = 'assistant' AND NOT nu)))""",
+        "history_topics": f"""
+            WITH {_TURNS}, l AS (SELECT conv_id, content FROM nt WHERE role = 'user' AND NOT regexp_matches(content, '{_REF}') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)
+            SELECT conv_id, {_TOPIC} AS topic FROM l""",
+        "resolved_questions": f"""
+            WITH {_TURNS}, u AS (SELECT conv_id, turn, content, CASE WHEN NOT regexp_matches(content, '{_REF}') THEN {_TOPIC} END AS own FROM nt WHERE role = 'user'),
+            t AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS topic FROM u)
+            SELECT conv_id, turn, CASE WHEN topic IS NOT NULL AND regexp_matches(content, '{_REF}') THEN regexp_replace(content, '{_REF}', topic, 'g') ELSE content END AS question FROM t""",
+        "pending_consent": f"""
+            WITH {_TURNS}, b AS (SELECT *, lag(role) OVER o AS pr, lag(unk) OVER o AS pu, regexp_replace(regexp_replace(content, '{_WS}+', '', 'g'), '[，。！？、；：,.!?;:]', '', 'g') AS t FROM nt WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+            SELECT conv_id, turn, ({" OR ".join(f"starts_with(t, '{w}')" for w in c.consent_words)}) AND length(t) <= 12 AS consents FROM b WHERE role = 'user' AND pr = 'assistant' AND pu""",
+        "history_sources": f"""
+            WITH {_TURNS}, e AS (SELECT conv_id, turn, unnest(sources) AS source, generate_subscripts(sources, 1) AS pos FROM nt WHERE role = 'assistant'),
+            f AS (SELECT conv_id, source, min(turn * 100000 + pos) AS m FROM e WHERE source <> '' GROUP BY ALL)
+            SELECT conv_id, source, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY m, source) AS INTEGER) AS position FROM f""",
+        "transcripts": f"""
+            WITH {_TURNS}, b AS (SELECT * FROM nt QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {c.history_messages})
+            SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Q: ' ELSE 'A: ' END || content, chr(10) ORDER BY turn) AS history FROM b GROUP BY conv_id""",
+        "answer_lines": rf"""
+            WITH {_TURNS}, l AS (SELECT turn_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line_no FROM nt WHERE role = 'assistant')
+            SELECT turn_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,4}}\s') THEN 'heading' || least(length(regexp_extract(line, '^(#{{1,4}})\s', 1)), 3)::VARCHAR
+                   WHEN regexp_matches(line, '^\s*[-*•]\s') THEN 'bullet' WHEN regexp_matches(line, '^\s*[0-9]+[.、)]\s*') THEN 'numbered' ELSE 'body' END AS kind,
+                   replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS line FROM l""",
+        "sanitized_answers": f"""
+            WITH {_TURNS} SELECT turn_id, array_to_string(list_transform(regexp_extract_all(content, '《[^》]*》|[^《]+|《'), lambda x:
+                   CASE WHEN starts_with(x, '《') AND ends_with(x, '》') THEN x ELSE replace(replace(x, '数据', '数 据'), '2021年', '去年') END), '') AS content FROM nt WHERE role = 'assistant'""",
+        "answer_sentences": f"""
+            WITH {_TURNS}, s AS (SELECT turn_id, list_filter(list_transform(regexp_split_to_array(content, '[{T.SENTENCE_MARKS}\\n]+'), lambda x: {_strip("x")}), lambda x: x <> '') AS ss FROM nt)
+            SELECT turn_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS sentence_no, unnest(ss) AS sentence FROM s""",
+        "web_merge": f"""
+            WITH r AS (SELECT query_text, {_clean("coalesce(title, '')")} AS title, url, {_clean("coalesce(snippet, '')")} AS snippet, {rank} AS e, result_rank, result_id FROM web_results WHERE regexp_matches(url, '^https?://') AND query_text IS NOT NULL),
+            f AS (SELECT * FROM r WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY query_text, url, title ORDER BY e, result_rank, result_id) = 1)
+            SELECT query_text, CAST(row_number() OVER (PARTITION BY query_text ORDER BY e, result_rank, result_id) AS INTEGER) AS position, title, url, snippet FROM f QUALIFY position <= {c.web_results}""",
+        "web_query_urls": "SELECT DISTINCT query_text, replace(url_encode(query_text), '%20', '+') AS encoded FROM web_results",
+        "append_new_sources": "SELECT source, rel_path FROM source_files WHERE source NOT IN (SELECT source FROM blocks WHERE ocr AND source IS NOT NULL)",
+        "audit_counts": f"""
+            WITH {files}, s AS (SELECT source, count(DISTINCT block_seq) AS stored FROM blocks GROUP BY source),
+            j AS (SELECT coalesce(lf.source, s.source) AS source, n_blocks AS listed, stored FROM lf FULL JOIN s ON lf.source = s.source)
+            SELECT source, listed, stored, CASE WHEN stored IS NULL THEN 'missing' WHEN listed IS NULL THEN 'unlisted' ELSE 'count' END AS issue FROM j WHERE stored IS NULL OR listed IS NULL OR listed <> stored""",
+    }
