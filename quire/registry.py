@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from quire.config import DEFAULTS
 from quire.functions import text as T
 from quire.operators import chunking, dense, dialog, index, lexical, ranking, scope, web
+from quire.plans import answer
 from quire.session import table
+from quire.streaming import landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,6 +145,10 @@ def answer_contexts(spark, d):
     return ranking.contexts(bm25_topk(spark, d).withColumnRenamed("rank", "position"), chunks).select("question_id", F.length("context").alias("n_chars"), F.array_join("sources", "|").alias("sources"))
 
 
+def answered_questions(spark, d):
+    return answer.answers(table(spark, d, "blocks"), table(spark, d, "questions"))
+
+
 # ---------------------------------------------------------------- scope
 
 
@@ -197,6 +203,11 @@ def transcripts(spark, d):
     return dialog.transcripts(_turns(spark, d))
 
 
+def turn_activity(spark, d):
+    out = landing.turn_activity(_turns(spark, d).filter("conv_id IS NOT NULL").withColumn("asked_at", F.col("asked_at").cast("timestamp")).groupBy("conv_id", "turn").agg(F.min(F.struct("turn_id", "asked_at", "role")).alias("m")).select("conv_id", "turn", "m.asked_at", "m.role"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "role", "turns")
+
+
 def answer_lines(spark, d):
     rows = dialog.normal_turns(_turns(spark, d)).filter("role = 'assistant'").select("turn_id", F.posexplode(F.split("content", "\n")).alias("p", "line"))
     return rows.select("turn_id", F.col("p").alias("line_no"), T.line_kind(F.col("line")).alias("kind"), T.escape_xml(F.col("line")).alias("line"))
@@ -239,9 +250,9 @@ def audit_missing_lines(spark, d):
 _ALL: tuple[Query, ...] = (
     file_listing, page_cache_keys, reading_order, block_deduplication, line_explode, block_assembly, section_path, chunk_merge, repeated_lines_collapsed,
     term_frequencies, bm25_statistics, bm25_topk, bm25_scoped, dense_topk, dense_threshold, dense_scoped, section_hits,
-    rank_fusion, round_robin, relevant_hits, small_source_expansion, source_completion, answer_contexts,
+    rank_fusion, round_robin, relevant_hits, small_source_expansion, source_completion, answer_contexts, answered_questions,
     scope_filter, question_classes, local_sources, named_files,
-    history_window, answered_turns, history_topics, resolved_questions, pending_consent, history_sources, transcripts, answer_lines, sanitized_answers, answer_sentences,
+    history_window, answered_turns, history_topics, resolved_questions, pending_consent, history_sources, transcripts, turn_activity, answer_lines, sanitized_answers, answer_sentences,
     web_merge, web_query_urls, append_new_sources, audit_counts, audit_missing_lines,
 )
 
@@ -440,6 +451,9 @@ def oracle_sql() -> dict[str, str]:
         "transcripts": f"""
             WITH {_TURNS}, b AS (SELECT * FROM nt QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {c.history_messages})
             SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Q: ' ELSE 'A: ' END || content, chr(10) ORDER BY turn) AS history FROM b GROUP BY conv_id""",
+        "turn_activity": """
+            WITH t AS (SELECT * FROM turns WHERE conv_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY turn_id) = 1)
+            SELECT date_trunc('hour', asked_at)::TIMESTAMP AS hour, lower(role) AS role, count(*) AS turns FROM t GROUP BY ALL""",
         "answer_lines": rf"""
             WITH {_TURNS}, l AS (SELECT turn_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line_no FROM nt WHERE role = 'assistant')
             SELECT turn_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,4}}\s') THEN 'heading' || least(length(regexp_extract(line, '^(#{{1,4}})\s', 1)), 3)::VARCHAR
