@@ -32,7 +32,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def sniff(content: Column) -> Column:
     """What a file's first bytes say it is: ole, zip, rtf, html or text."""
     head = F.hex(F.substring(content, 1, 16))
-    text = F.lower(F.decode(F.substring(content, 1, 16), F.lit("ISO-8859-1")))
+    text = F.lower(F.decode(F.substring(content, 1, 16), "ISO-8859-1"))
     return (
         F.when(head.startswith("D0CF11E0A1B11AE1"), "ole")
         .when(head.startswith("504B"), "zip")
