@@ -50,7 +50,10 @@ def section_hits(sections: DataFrame, questions: DataFrame, k: int) -> DataFrame
     names = sections.filter("section IS NOT NULL AND section <> ''").select("section").distinct()
     names = names.select("section", F.explode(grams(F.col("section"))).alias("gram"))
     weights = asked.join(names, "gram").groupBy("question_id", "section").agg(F.sum(F.length("gram") * F.length("gram")).alias("weight"))
-    hits = weights.join(sections.select("block_id", "section"), "section").select("question_id", "block_id", "weight")
+    # blocks of one section weigh the same, so only its first k can be among the best
+    within = W.partitionBy("section").orderBy("block_id")
+    first = sections.select("block_id", "section").withColumn("n", F.row_number().over(within)).filter(F.col("n") <= k).drop("n")
+    hits = weights.join(first, "section").select("question_id", "block_id", "weight")
     best = W.partitionBy("question_id").orderBy(F.desc("weight"), "block_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -82,13 +85,16 @@ def complete_sources(hits: DataFrame, chunks: DataFrame, limit: int, config: Eng
     sizes = chunks.groupBy("source").agg(F.count("*").alias("n"))
     first = first.join(sizes, "source")
     whole = chunks.select("block_id", "source", "page", "block_seq", F.coalesce("section", F.lit("")).alias("section"))
+    # no more than the first `limit` blocks of a section of a source can be kept
+    place = (F.col("page").isNull(), F.coalesce("page", F.lit(0)), "block_seq", "block_id")
+    whole = whole.withColumn("k", F.row_number().over(W.partitionBy("source", "section").orderBy(*place))).filter(F.col("k") <= limit).drop("k")
     hit_sections = found.filter("section <> ''").select("question_id", "source", "section").distinct()
     has = hit_sections.select("question_id", "source").distinct().withColumn("narrow", F.lit(True))
     rows = first.join(has, ["question_id", "source"], "left").join(whole, "source")
     ok = hit_sections.withColumn("hit", F.lit(True))
     rows = rows.join(ok, ["question_id", "source", "section"], "left")
     rows = rows.filter((F.col("n") <= config.summary_full_source_max) | F.col("narrow").isNull() | (F.col("section") == "") | F.col("hit"))
-    order = W.partitionBy("question_id").orderBy("first_hit", "source", F.col("page").isNull(), F.coalesce("page", F.lit(0)), "block_seq", "block_id")
+    order = W.partitionBy("question_id").orderBy("first_hit", "source", *place)
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("question_id", "block_id", "position")
 
 
