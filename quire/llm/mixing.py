@@ -36,6 +36,8 @@ from quire.session import cut
 
 #: Rows that a bucket of a prefix sum holds, about.
 BUCKET_ROWS = 50_000
+#: Plans and targets of up to so many rows are sent to all tasks; larger ones are joined.
+SMALL_PLAN = 100_000
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
@@ -49,7 +51,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
                 at = np.flatnonzero(names == name)
                 enc = encoder((name,), folder)
                 parted = enc.learn([texts[i] or "" for i in at])
-                counts[at] = [sum(len(enc.clauses[c][0]) for c in p) for p in parted]
+                counts[at] = [sum(len(enc.clauses[0][c]) for c in p) // 4 for p in parted]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("tokenizer"), pa.array(counts)], names=["doc_id", "source", "tokenizer", "n_tokens"])
 
     columns = documents.select("doc_id", "source", "text", "tokenizer")
@@ -71,7 +73,9 @@ def mixture(documents: DataFrame, plans: DataFrame, targets: DataFrame, folder:
         "mix_name", "source", F.col("target_weight").alias("_q_w"), F.col("max_repeats").alias("_q_rep")
     )
     plans = plans.select("mix_name", "tokenizer", F.col("size_factor").alias("_q_factor"))
-    asked = wanted.join(plans, "mix_name").select("source", "tokenizer").distinct()
+    small = F.broadcast if targets.count() + plans.count() <= SMALL_PLAN else lambda df: df
+    asked = small(wanted.join(plans, "mix_name").select("source", "tokenizer").distinct())
+    plans, wanted = small(plans), small(wanted)
     texts = documents.select("doc_id", "source", "text").filter("text IS NOT NULL AND text <> ''")
     sized = cut(token_counts(texts.join(asked, "source"), folder))
     rows = sized.join(plans, "tokenizer").join(wanted, ["mix_name", "source"])
@@ -79,18 +83,18 @@ def mixture(documents: DataFrame, plans: DataFrame, targets: DataFrame, folder:
     whole = totals.groupBy("mix_name").agg(F.sum("_q_total").alias("_q_once"), F.sum("_q_n").alias("_q_rows"))
     u = F.xxhash64("mix_name", "doc_id")
     parts = F.greatest(F.lit(1), F.ceil(F.col("_q_n") / BUCKET_ROWS))
-    rows = rows.join(totals, ["mix_name", "source"]).withColumn("_q_u", u)
+    rows = rows.join(small(totals), ["mix_name", "source"]).withColumn("_q_u", u)
     rows = rows.withColumn("_q_b", F.floor((F.col("_q_u") / F.lit(2.0**64) + 0.5) * parts))
     rows = _running(rows, ["mix_name", "source"], "_q_b", ["_q_u", "doc_id"], "n_tokens", "_q_cum")
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_q_rep") - 1))).withColumn(
         "finish", (F.col("copy") * F.col("_q_total") + F.col("_q_cum")) / F.col("_q_w")
     )
     # no copy whose own source alone would have passed its fair part of the budget by far can be within it
-    copies = copies.join(whole, "mix_name").withColumn("_q_budget", F.col("_q_factor") * F.col("_q_once"))
+    copies = copies.join(small(whole), "mix_name").withColumn("_q_budget", F.col("_q_factor") * F.col("_q_once"))
     copies = copies.filter(F.col("finish") * F.col("_q_w") <= F.col("_q_budget"))
     ends = copies.groupBy("mix_name").agg(F.max("finish").alias("_q_last"), F.count("*").alias("_q_copies"))
     slots = F.greatest(F.lit(1), F.ceil(F.col("_q_copies") / BUCKET_ROWS)) * 4
-    copies = copies.join(ends, "mix_name").withColumn("_q_slice", F.floor(F.col("finish") / F.col("_q_last") * slots))
+    copies = copies.join(small(ends), "mix_name").withColumn("_q_slice", F.floor(F.col("finish") / F.col("_q_last") * slots))
     copies = _running(copies, ["mix_name"], "_q_slice", ["finish", "source", "doc_id", "copy"], "n_tokens", "_q_at")
     return copies.filter(F.col("_q_at") <= F.col("_q_budget")).select("mix_name", "doc_id", "copy", "source", "n_tokens", "finish")
 

@@ -39,33 +39,51 @@ SPACED_MARKS = ".!?"
 CLAUSE_MARKS = "，、；：,;:)）】」』》”"
 
 
-def _table(chars: str) -> np.ndarray:
-    out = np.zeros(0x110000, bool)
-    out[[ord(c) for c in chars]] = True
+_SENTENCE, _SPACED, _CLAUSE, _SPACE, _LINE = 1, 2, 4, 8, 16
+
+
+def _kinds() -> np.ndarray:
+    """Kind of each code point, for one look-up a character."""
+    out = np.zeros(0x110000, np.uint8)
+    for chars, kind in ((SENTENCE_MARKS, _SENTENCE), (SPACED_MARKS, _SPACED), (CLAUSE_MARKS, _CLAUSE), (" \t\r\u00a0\u2003\u2009\u3000", _SPACE), ("\n", _SPACE | _LINE)):
+        out[[ord(c) for c in chars]] = kind
     return out
 
 
-_SENTENCE, _SPACED, _CLAUSE, _SPACE = map(_table, (SENTENCE_MARKS, SPACED_MARKS, CLAUSE_MARKS, " \t    　\n\r"))
+def _letters() -> np.ndarray:
+    """Letter of the boundary between two kinds of characters."""
+    out = np.full((32, 32), ord("x"), np.uint8)
+    for a in range(32):
+        for b in range(32):
+            if (a | b) & _SPACE:
+                out[a, b] = ord("w")
+            if a & _CLAUSE:
+                out[a, b] = ord("c")
+            if a & _SENTENCE or a & _SPACED and b & _SPACE:
+                out[a, b] = ord("s")
+            if a & _LINE:
+                out[a, b] = ord("x") if b & _LINE else ord("l")
+    return out.ravel()
+
+
+_KIND, _LETTER = _kinds(), _letters()
 
 
 def boundaries(text: str) -> np.ndarray:
     """Letter of the boundary at each offset 0..len of a text, as bytes."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(c)
+    k = _KIND[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    n = len(k)
     out = np.full(n + 1, ord("x"), np.uint8)
-    prev, nxt = c, np.append(c[1:], 10).astype(np.uint32)
     at = out[1:]
-    space = _SPACE[prev]
-    at[space | _SPACE[nxt]] = ord("w")
-    at[_CLAUSE[prev]] = ord("c")
-    done = _SENTENCE[prev] | (_SPACED[prev] & _SPACE[nxt])
-    after = np.append(False, done[:-1])
-    at[done | (after & space)] = ord("s")
-    end = prev == 10
-    at[end] = ord("l")
-    blank = end & np.append(False, (c[:-1] == 10) | ((c[:-1] == 13) & np.append(False, c[:-2] == 10)))
-    at[blank] = ord("p")
-    at[end & (nxt == 10) & (np.arange(1, n + 1) < n)] = ord("x")  # not between the line ends of one gap
+    at[:-1] = _LETTER[(k[:-1].astype(np.uint16) << 5) | k[1:]]
+    done = at[:-1] == ord("s")
+    at[1:][done & (k[1:] == _SPACE)] = ord("s")  # the space after a sentence goes with it
+    line = k == _SPACE | _LINE
+    blank = line[1:] & line[:-1] & (at[1:] == ord("l"))
+    if "\r" in text:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank[1:] |= line[2:] & (code[1:-1] == 13) & line[:-2] & (at[2:] == ord("l"))
+    at[1:][blank] = ord("p")
     out[n] = ord("p")
     return out
 
@@ -73,7 +91,9 @@ def boundaries(text: str) -> np.ndarray:
 def shapes(documents: DataFrame, tokenizers: dict[str, int], folder: str = TOKENIZERS) -> DataFrame:
     """(`doc_id`, `tokenizer`, `shape`, `ends`, `text`) of texts above the least limit of each tokenizer.
 
-    `shape` has a boundary letter and `ends` the characters up to its end, for each token.
+    `shape` has a boundary letter for each token, and `ends` the bytes up to its end
+    times 2^32 plus the characters; -1 where a token ends inside a character. `text`
+    comes as bytes, of which a piece is taken without counting characters.
     """
     names = tuple(sorted(tokenizers))
 
@@ -90,21 +110,20 @@ def shapes(documents: DataFrame, tokenizers: dict[str, int], folder: str = TOKEN
                         continue
                     if letters is None:
                         letters = boundaries(text)
-                        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-                        first = (raw & 0xC0) != 0x80
-                        chars = np.append(np.cumsum(first), 0)  # characters begun up to each byte
-                        first = np.append(first, True)
-                    ends = np.cumsum(enc.tries[k].lengths[ids])
-                    whole = first[ends]
+                        first = (np.frombuffer(text.encode("utf-8", "replace"), np.uint8) & 0xC0) != 0x80
+                        chars = np.cumsum(first, dtype=np.int32)  # characters begun up to each byte
+                    ends = np.cumsum(enc.tries[k].lengths[ids], dtype=np.int64)
+                    whole = np.ones(len(ends), bool)
+                    whole[:-1] = first[ends[:-1]]
                     at = chars[ends - 1]
                     shape = np.where(whole, letters[at], ord("b")).astype(np.uint8)
-                    rows.append((i, name, shape.tobytes().decode(), at.astype(np.int32)))
+                    rows.append((i, name, shape.tobytes().decode(), np.where(whole, ends << 32 | at, -1)))
             if rows:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[3]) for r in rows)]), pa.int32()), pa.array(np.concatenate([r[3] for r in rows])))
                 docs = batch.take(pa.array([r[0] for r in rows]))
-                yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), lists, docs.column("text")], names=["doc_id", "tokenizer", "shape", "ends", "text"])
+                yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), lists, docs.column("text").cast(pa.binary())], names=["doc_id", "tokenizer", "shape", "ends", "text"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokenizer string, shape string, ends array<int>, text string")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokenizer string, shape string, ends array<bigint>, text binary")
 
 
 def pattern(room: int) -> str:
@@ -130,31 +149,33 @@ def split(documents: DataFrame, profiles: DataFrame, folder: str = TOKENIZERS) -
     if not settings:
         return spark.createDataFrame([], schema)
     shaped = shapes(documents, least, folder)
+    # token offsets where pieces end; each begins where the one before ended, looked back by the overlap
+    ends_of = lambda takes: F.aggregate(takes, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x))))
     cases = []
     for r in settings:
         room = r["max_tokens"] - r["overlap_tokens"] - SPARE
+        takes = F.regexp_extract_all("shape", F.lit(pattern(room)), F.lit(0))
         cases.append(
             F.when(
                 (F.col("tokenizer") == r["tokenizer"]) & (F.length("shape") > r["max_tokens"]),
-                F.struct(F.lit(r["profile"]).alias("profile"), F.lit(int(r["overlap_tokens"])).alias("overlap"), F.regexp_extract_all("shape", F.lit(pattern(room)), F.lit(0)).alias("takes")),
+                F.struct(F.lit(r["profile"]).alias("profile"), F.lit(int(r["overlap_tokens"])).alias("overlap"), ends_of(takes).alias("cuts")),
             )
         )
-    one = shaped.select("doc_id", "text", "shape", "ends", F.explode(F.array_compact(F.array(*cases))).alias("p")).select("doc_id", "text", "shape", "ends", "p.profile", "p.overlap", F.transform("p.takes", F.length).alias("takes"))
-    # token offsets where pieces end; each begins where the one before ended, looked back by the overlap
-    cuts = F.aggregate("takes", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
-    one = one.withColumn("cuts", cuts)
-    back = F.when(F.col("_q_i") == 0, 0).otherwise(F.greatest(F.lit(0), F.get("cuts", F.col("_q_i") - 1) - F.col("overlap")))
-    spans = one.select("doc_id", "text", "shape", "ends", "profile", "overlap", "cuts", F.posexplode("cuts").alias("_q_i", "_q_to")).withColumn("_q_back", back)
-    inside = F.length(F.regexp_extract(F.substr("shape", F.greatest(F.col("_q_back") - 3, F.lit(1)), F.least(F.col("_q_back"), F.lit(4))), "(b*)$", 1))
-    spans = spans.withColumn("_q_from", F.when(F.col("_q_back") > 0, F.greatest(F.lit(0), F.col("_q_back") - inside)).otherwise(0))
-    start = F.when(F.col("_q_from") == 0, 0).otherwise(F.get("ends", F.col("_q_from") - 1))
-    spans = spans.withColumn("char_start", start).withColumn("char_end", F.get("ends", F.col("_q_to") - 1))
-    return spans.select(
-        "profile",
-        "doc_id",
-        (F.col("_q_i") + 1).cast("int").alias("piece_no"),
-        "char_start",
-        "char_end",
-        (F.col("_q_to") - F.col("_q_from")).cast("int").alias("n_tokens"),
-        F.substr("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("piece"),
+    # exploded with their cuts, which would else be computed anew for every piece
+    one = shaped.select("doc_id", "text", "ends", F.explode(F.array_compact(F.array(*cases))).alias("p")).select("doc_id", "text", "ends", "p.profile", "p.overlap", "p.cuts")
+
+    def piece(to, i):
+        back = F.when(i == 0, 0).otherwise(F.greatest(F.lit(0), F.get("cuts", i - 1) - F.col("overlap")))
+        first = F.when(back == 0, 0)
+        for k in range(SPARE):  # out of a character, to where it begins
+            first = first.when(F.get("ends", back - (k + 1)) >= 0, back - k)
+        first = first.otherwise(0)
+        start, end = F.when(first == 0, F.lit(0).cast("bigint")).otherwise(F.get("ends", first - 1)), F.get("ends", to - 1)
+        byte, char = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(0xFFFFFFFF).cast("int"))
+        text = F.substr("text", byte(start) + 1, byte(end) - byte(start)).cast("string")
+        return F.struct((i + 1).alias("piece_no"), char(start).alias("char_start"), char(end).alias("char_end"), (to - first).alias("n_tokens"), text.alias("piece"))
+
+    # a row's pieces are made inside it, so that no row carries its text once a piece
+    return one.select("profile", "doc_id", F.explode(F.transform("cuts", piece)).alias("p")).select(
+        "profile", "doc_id", F.col("p.piece_no").cast("int").alias("piece_no"), "p.char_start", "p.char_end", F.col("p.n_tokens").cast("int").alias("n_tokens"), "p.piece"
     )

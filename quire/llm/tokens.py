@@ -55,15 +55,16 @@ class TrieEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int32)
-        # the longest token that ends with two given bytes, so that few suffixes are tried
-        self.longest: dict[bytes, int] = {}
+        # lengths of the tokens that end with two given bytes, so that few suffixes are tried
+        sizes: dict[bytes, set[int]] = {}
         for token, i in ranks.items():
             self.lengths[i] = len(token)
-            end = token[-2:]
-            if len(token) > self.longest.get(end, 1):
-                self.longest[end] = len(token)
+            sizes.setdefault(token[-2:], {1}).add(len(token))
+        self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in sizes.items()}
         self.apart: dict[tuple[bytes, bytes], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.packed = {token: np.int32(i).tobytes() for token, i in ranks.items()}
+        #: Ids of known words, as the bytes of an int32 array: they join fast.
+        self.words: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[bytes]:
         """Plain byte-pair merging, for pairs of tokens only."""
@@ -91,7 +92,7 @@ class TrieEncoder:
             self.words.clear()
         if len(self.apart) > MOST_WORDS:
             self.apart.clear()
-        known, ranks, longest, apart = self.words, self.ranks, self.longest, self.apart
+        known, ranks, sizes, apart, packed, one = self.words, self.ranks, self.sizes, self.apart, self.packed, (1,)
         todo = sorted((w.encode("utf-8", "replace"), w) for w in words if w not in known)
         last: list[bytes] = [b""]  # last token of each prefix of the word before
         before = b""
@@ -104,28 +105,27 @@ class TrieEncoder:
                 same += 1
             del last[same + 1 :]
             for d in range(same + 1, n + 1):
-                top = longest.get(data[d - 2 : d] if d > 1 else data[:1], 1)
-                for size in range(min(top, d), 0, -1):
+                for size in sizes.get(data[d - 2 : d], one) if d > 1 else one:
+                    if size > d:
+                        continue
                     t = data[d - size : d]
                     if t in ranks:
                         p = last[d - size]
                         if size == d:
                             if size == 1 or len(self.merge(t)) == 1:
                                 break
-                        elif p:
+                        else:
                             got = apart.get((p, t))
-                            if got is None:
-                                got = self._stays_apart(p, t)
-                            if got:
+                            if got or got is None and self._stays_apart(p, t):
                                 break
                 last.append(t)
             ids, at = [], n
             while at:
                 t = last[at]
-                ids.append(ranks[t])
+                ids.append(packed[t])
                 at -= len(t)
             ids.reverse()
-            known[word] = ids
+            known[word] = b"".join(ids)
             before = data
 
 
@@ -134,7 +134,7 @@ class Encoder:
 
     def __init__(self, names: tuple[str, ...], folder: str = TOKENIZERS):
         self.tries = [TrieEncoder(read_ranks(n, folder)) for n in names]
-        self.clauses: dict[str, list[np.ndarray]] = {}
+        self.clauses: list[dict[str, bytes]] = [{} for _ in names]
 
     @staticmethod
     def clauses_of(text: str) -> list[str]:
@@ -161,23 +161,23 @@ class Encoder:
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """Encode the clauses of a batch that are new; returns each text's clauses."""
-        if len(self.clauses) > MOST_CLAUSES:
-            self.clauses.clear()
+        if len(self.clauses[0]) > MOST_CLAUSES:
+            for known in self.clauses:
+                known.clear()
         parted = [self.clauses_of(t) for t in texts]
-        new = {c for p in parted for c in p} - self.clauses.keys()
+        new = {c for p in parted for c in p} - self.clauses[0].keys()
         split = {c: _WORDS.findall(c) for c in new}
         words = {w for ws in split.values() for w in ws}
-        for trie in self.tries:
+        for trie, known in zip(self.tries, self.clauses):
             trie.learn(words)
-        for c, ws in split.items():
-            self.clauses[c] = [np.array([i for w in ws for i in trie.words[w]], np.int32) for trie in self.tries]
+            ids = trie.words.__getitem__
+            known.update((c, b"".join(map(ids, ws))) for c, ws in split.items())
         return parted
 
     def batch(self, texts: list[str | None]) -> list[list[np.ndarray]]:
         """For each vocabulary, the ids of each text."""
         parted = self.learn([t or "" for t in texts])
-        empty, got = np.zeros(0, np.int32), self.clauses
-        return [[np.concatenate([got[c][k] for c in p]) if p else empty for p in parted] for k in range(len(self.tries))]
+        return [[np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32) for p in parted] for known in self.clauses]
 
 
 @lru_cache(4)
