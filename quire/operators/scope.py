@@ -51,10 +51,21 @@ def local_sources(blocks: DataFrame, config: EngineConfig = DEFAULTS) -> DataFra
     return facts.filter(~T.any_of(F.col("source"), config.other_markers) & (F.col("in_tier") | ~(F.col("other") & ~F.col("local")))).select("source")
 
 
+def files_naming(questions: DataFrame, files: DataFrame) -> DataFrame:
+    """(`question_id`, `source`): files whose name contains a title that a question quotes, or the reverse.
+
+    The titles are sent to the files: questions are a stated set, files all rows.
+    """
+    asked = questions.select("question_id", F.explode(T.quoted_titles(F.col("question"))).alias("title")).select("question_id", T.squeeze(F.col("title")).alias("title"))
+    names = files.filter("source IS NOT NULL AND source <> ''").select("source").distinct().select("source", T.squeeze(T.without_extension(F.col("source"))).alias("name"))
+    within = F.col("name").contains(F.col("title")) | F.col("title").contains(F.col("name"))
+    return names.join(F.broadcast(asked.distinct()), within).select("question_id", "source").distinct()
+
+
 def named_files(questions: DataFrame, files: DataFrame) -> DataFrame:
-    """(`question_id`, `source`): files whose name contains a title that a question quotes.
+    """(`question_id`, `source`): files whose name is a title that a question quotes, as the query's SQL has it.
 
-    Names are cut to the titles they quote or to what follows their number, and
+    `files_naming` has the pairs by containment. Names are cut to the titles they quote or to what follows their number, and
     meet the questions' titles on equality, so no pair is tried in vain; names
     without either are compared whole.
     """

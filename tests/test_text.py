@@ -88,3 +88,11 @@ def test_scope_and_settings(spark):
     rows = [(1, "a", "其他地区政策", "上海"), (2, "b", None, "云岭"), (3, "上海c", "市级政策", ""), (4, "d", "市级政策", None)]
     df = spark.createDataFrame(rows, "block_id bigint, source string, tier string, text string")
     assert {r["source"] for r in scope.local_sources(df).collect()} == {"b", "d"}
+
+
+def test_files_naming(spark):
+    from quire.operators import scope
+
+    asked = spark.createDataFrame([(1, "《数据 条例》和《城市名册2021》讲什么？"), (2, "没有书名")], "question_id int, question string")
+    files = spark.createDataFrame([("市政府关于数据条例的公告.pdf",), ("名册.docx",), ("别的.pdf",), (None,), ("",)], "source string")
+    assert {tuple(r) for r in scope.files_naming(asked, files).collect()} == {(1, "市政府关于数据条例的公告.pdf"), (1, "名册.docx")}
