@@ -78,8 +78,11 @@ def complete_sources(hits: DataFrame, chunks: DataFrame, limit: int, config: Eng
     """All blocks of the sources that were hit, sources by first hit, up to a limit.
 
     A source with more blocks than `summary_full_source_max` gives only blocks whose
-    section is one that was hit, or that have none.
+    section is one that was hit, or that have none. Where chunks have a `path`, it
+    decides instead: a path that begins with a hit's path or begins one stays.
     """
+    if "path" in chunks.columns:
+        chunks = chunks.withColumn("section", F.trim("path"))
     found = hits.join(chunks.select("block_id", "source", "section"), "block_id").withColumn("section", F.coalesce("section", F.lit("")))
     first = found.groupBy("question_id", "source").agg(F.min("rank").alias("first_hit"))
     sizes = chunks.groupBy("source").agg(F.count("*").alias("n"))
@@ -91,8 +94,13 @@ def complete_sources(hits: DataFrame, chunks: DataFrame, limit: int, config: Eng
     hit_sections = found.filter("section <> ''").select("question_id", "source", "section").distinct()
     has = hit_sections.select("question_id", "source").distinct().withColumn("narrow", F.lit(True))
     rows = first.join(has, ["question_id", "source"], "left").join(whole, "source")
-    ok = hit_sections.withColumn("hit", F.lit(True))
-    rows = rows.join(ok, ["question_id", "source", "section"], "left")
+    if "path" in chunks.columns:  # the hit paths of a question in a source are no more than its hits
+        paths = hit_sections.groupBy("question_id", "source").agg(F.collect_set("section").alias("hits"))
+        under = F.exists("hits", lambda h: F.col("section").startswith(h) | h.startswith(F.col("section")))
+        rows = rows.join(paths, ["question_id", "source"], "left").withColumn("hit", F.coalesce(under, F.lit(False)))
+    else:
+        ok = hit_sections.withColumn("hit", F.lit(True))
+        rows = rows.join(ok, ["question_id", "source", "section"], "left")
     rows = rows.filter((F.col("n") <= config.summary_full_source_max) | F.col("narrow").isNull() | (F.col("section") == "") | F.col("hit"))
     order = W.partitionBy("question_id").orderBy("first_hit", "source", *place)
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("question_id", "block_id", "position")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULTS, EngineConfig
-from quire.operators import lexical, ranking, scope
+from quire.operators import chunking, lexical, ranking, scope
 
 
 class AnswerProvider(Protocol):
@@ -41,7 +41,8 @@ def answers(blocks: DataFrame, questions: DataFrame, config: EngineConfig = DEFA
     hits = ranking.fuse([tiered.unionByName(free), sections], "question_id", "block_id", config.summary_top_k, config)
     summary = classes.filter("is_summary").select("question_id")
     chunks = blocks.select("block_id", "source", "page", "block_seq", "tier", "section", "text")
-    whole = ranking.complete_sources(hits.join(summary, "question_id", "left_semi"), chunks, config.summary_retrieve_limit, config)
+    paths = chunks.select("block_id", "source", "page", "block_seq", "section").join(chunking.section_paths(blocks), "block_id", "left")
+    whole = ranking.complete_sources(hits.join(summary, "question_id", "left_semi"), paths, config.summary_retrieve_limit, config)
     near = ranking.expand_small_sources(hits.join(summary, "question_id", "left_anti"), chunks, config.retrieve_limit, config)
     context = ranking.contexts(whole.unionByName(near), chunks)
     out = questions.select("question_id", "question").join(context, "question_id", "left")

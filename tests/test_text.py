@@ -96,3 +96,15 @@ def test_files_naming(spark):
     asked = spark.createDataFrame([(1, "《数据 条例》和《城市名册2021》讲什么？"), (2, "没有书名")], "question_id int, question string")
     files = spark.createDataFrame([("市政府关于数据条例的公告.pdf",), ("名册.docx",), ("别的.pdf",), (None,), ("",)], "source string")
     assert {tuple(r) for r in scope.files_naming(asked, files).collect()} == {(1, "市政府关于数据条例的公告.pdf"), (1, "名册.docx")}
+
+
+def test_sources_completed_by_paths(spark):
+    from quire.config import EngineConfig
+    from quire.operators import ranking
+
+    paths = ["第一章 总则", "第一章 总则 > 第二条", "第一章 总则 > 第二条 > （一）", "第二章 附则", "第二章 附则 > 第九条", None]
+    chunks = spark.createDataFrame([(i, "a", 1, i, p and p.split(" > ")[-1], p) for i, p in enumerate(paths)], "block_id int, source string, page int, block_seq int, section string, path string")
+    config = EngineConfig(summary_full_source_max=3)
+    for hit, want in ((0, {0, 1, 2, 5}), (2, {0, 1, 2, 5}), (4, {3, 4, 5})):
+        hits = spark.createDataFrame([(7, hit, 1)], "question_id int, block_id int, rank int")
+        assert {r["block_id"] for r in ranking.complete_sources(hits, chunks, 200, config).collect()} == want
