@@ -27,23 +27,27 @@ class Extractive:
 def answers(blocks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAULTS, provider: AnswerProvider | None = None) -> DataFrame:
     """(`question_id`, `answer`, `sources`, `unknown`) for a batch of questions.
 
-    Summary questions take more hits and complete their sources; others are
-    expanded by small sources. A question that names a tier only meets that tier.
+    Summary questions take `summary_floor` hits of each list at least, up to
+    `summary_seed_limit` of them fused, and complete their sources; others take
+    `top_k`, up to `summary_top_k` fused, and are expanded by small sources. A question that names a tier only meets that tier.
     Lists are fused from texts and sections. Without any hit a question is unknown.
     """
     provider = provider or Extractive()
     classes = scope.question_classes(questions, config)
     asked = questions.select("question_id", "question").join(classes, "question_id")
     texts = blocks.select("block_id", "tier", "text")
-    tiered = lexical.bm25(texts.filter("tier IS NOT NULL"), asked.filter("tier_found IS NOT NULL").withColumnRenamed("tier_found", "tier"), "block_id", "question_id", config.top_k, ["tier"], config)
-    free = lexical.bm25(texts.drop("tier"), asked.filter("tier_found IS NULL"), "block_id", "question_id", config.top_k, config=config)
-    sections = ranking.section_hits(blocks.select("block_id", "section"), questions, config.top_k)
-    hits = ranking.fuse([tiered.unionByName(free), sections], "question_id", "block_id", config.summary_top_k, config)
+    k = max(config.top_k, config.summary_floor)
+    tiered = lexical.bm25(texts.filter("tier IS NOT NULL"), asked.filter("tier_found IS NOT NULL").withColumnRenamed("tier_found", "tier"), "block_id", "question_id", k, ["tier"], config)
+    free = lexical.bm25(texts.drop("tier"), asked.filter("tier_found IS NULL"), "block_id", "question_id", k, config=config)
+    sections = ranking.section_hits(blocks.select("block_id", "section"), questions, k)
     summary = classes.filter("is_summary").select("question_id")
+    lists = [tiered.unionByName(free), sections]
+    many = ranking.fuse([x.join(summary, "question_id", "left_semi") for x in lists], "question_id", "block_id", config.summary_seed_limit, config)
+    few = ranking.fuse([x.filter(F.col("rank") <= config.top_k).join(summary, "question_id", "left_anti") for x in lists], "question_id", "block_id", config.summary_top_k, config)
     chunks = blocks.select("block_id", "source", "page", "block_seq", "tier", "section", "text")
     paths = chunks.select("block_id", "source", "page", "block_seq", "section").join(chunking.section_paths(blocks), "block_id", "left")
-    whole = ranking.complete_sources(hits.join(summary, "question_id", "left_semi"), paths, config.summary_retrieve_limit, config)
-    near = ranking.expand_small_sources(hits.join(summary, "question_id", "left_anti"), chunks, config.retrieve_limit, config)
+    whole = ranking.complete_sources(many, paths, config.summary_retrieve_limit, config)
+    near = ranking.expand_small_sources(few, chunks, config.retrieve_limit, config)
     context = ranking.contexts(whole.unionByName(near), chunks)
     out = questions.select("question_id", "question").join(context, "question_id", "left")
     return out.select(

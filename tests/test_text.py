@@ -108,3 +108,13 @@ def test_sources_completed_by_paths(spark):
     for hit, want in ((0, {0, 1, 2, 5}), (2, {0, 1, 2, 5}), (4, {3, 4, 5})):
         hits = spark.createDataFrame([(7, hit, 1)], "question_id int, block_id int, rank int")
         assert {r["block_id"] for r in ranking.complete_sources(hits, chunks, 200, config).collect()} == want
+
+
+def test_summaries_take_more_hits(spark):
+    from quire.plans import answer
+
+    rows = [(i, f"s{i:02}", None, i, None, None, "数据开放清单" + "甲" * i) for i in range(1, 31)]
+    blocks = spark.createDataFrame(rows, "block_id bigint, source string, page int, block_seq bigint, tier string, section string, text string")
+    asked = spark.createDataFrame([(1, "总结数据开放"), (2, "数据开放？")], "question_id bigint, question string")
+    got = {r["question_id"]: len(r["sources"]) for r in answer.answers(blocks, asked).collect()}
+    assert got == {1: 30, 2: 4}
