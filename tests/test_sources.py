@@ -96,3 +96,13 @@ def test_audit_finds_lost_lines(spark):
     assert missing_lines(blocks, merge_chunks(blocks)).count() == 0
     lost = missing_lines(blocks, merge_chunks(blocks.filter("block_id = 1"))).collect()
     assert [r["line"] for r in lost] == ["onemorelinehere"]
+
+
+def test_rtf_by_code_page():
+    text = "数据开放乗条例"
+    for page in ("cp936", "cp949"):
+        want = text if page == "cp936" else "데이터 개방"
+        body = "".join(rf"\'{b:02x}" if b > 127 else "\\\\" if b == 92 else chr(b) for b in want.encode(page))
+        assert formats.load_rtf(rf"{{\rtf1\ansi\ansicpg{page[2:]} {body}\par}}".encode("latin-1"))[0]["text"] == want
+    assert formats.load_rtf(rb"{\rtf1\ansi\ansicpg1251 \'e4\'e0}")[0]["text"] == "да"
+    assert formats.load_rtf(rb"{\rtf1\ansi\'e9\par x}")[0]["text"] == "é\nx"
