@@ -4,19 +4,27 @@ Method: lines are masked (dates, numbers, names), clustered within their
 source by locality-sensitive hashing of character shingles, and clusters of
 near-duplicates with a high document frequency are removed from every block.
 
+A cluster is a connected component: masked lines of a source that share a band
+and are alike by `SIMILARITY` are linked. All lines of a bucket are compared;
+a bucket above `CHUNK` lines is compared chunk against chunk in several groups,
+so that none is cut off and no task holds more than two chunks. A cluster is
+heavy by the distinct blocks of its verified lines.
+
 Defined results
 ---------------
 * null, empty and blank texts have no lines; such blocks come out unchanged;
 * a null source is a source of its own (null) and never a site: no line of it
   is named, because there is no site to repeat it;
-* a line counts once a block, however often it stands there, but every
-  occurrence is named;
+* a line, and a cluster, counts once a block, however often it stands there, but
+  every occurrence is named;
 * blocks delivered twice count twice (``block_id`` is the unit of counting);
 * extra columns are carried through, and helper columns start with ``_q_``.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +42,11 @@ MIN_SHARE = 0.05
 #: similarity 0.8 shares a band with probability 0.94, one of 1.0 always does.
 SHINGLE, BANDS, ROWS = 3, 4, 3
 SIMILARITY = 0.8
+#: Lines of a bucket that meet in one group.
+CHUNK = 4096
 
 # Labels after which a person or site is named.
-NAME_LABELS = "责任编辑|编辑|供稿|作者|来源|审核|撰稿|by|author|source"
+NAME_LABELS = "责任编辑|编辑|供稿|作者|来源|审核|撰稿|分享人|发布人|联系人|记者|通讯员|校对|by|author|editor|source|contact"
 
 
 def exact_key(line: Column) -> Column:
@@ -93,18 +103,75 @@ def _bands(lines: pd.Series) -> pd.Series:
     return pd.Series(list(signatures(lines.tolist())))
 
 
-def _alike(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    x, y = ({s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
+def _alike(x: set, y: set) -> bool:
     return len(x & y) >= SIMILARITY * len(x | y)
 
 
-def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep lines that are near-duplicates of their bucket's most frequent line."""
+def _set(mask: str) -> set[str]:
+    return {mask[i : i + SHINGLE] for i in range(max(1, len(mask) - SHINGLE + 1))}
+
+
+def linked(members: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """Links that join all alike members of a group: a forest, never all pairs.
+
+    Two sets alike by `SIMILARITY` share one of the rarest shingles of each, as
+    many as may be missing and one more, so only members that do are compared.
+    """
+    sets = sorted(((len(g := _set(mask)), m, g) for m, mask in members), key=lambda x: x[:2])
+    often = Counter(g for *_, s in sets for g in s)
+    up = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    seen: dict[str, list[int]] = {}
+    out = []
+    for i, (n, m, grams) in enumerate(sets):
+        rare = sorted(grams, key=lambda g: (often[g], g))[: n - math.ceil(SIMILARITY * n) + 1]
+        for j in dict.fromkeys(j for g in rare for j in seen.get(g, ())):
+            if sets[j][0] >= SIMILARITY * n and find(i) != find(j) and _alike(grams, sets[j][2]):
+                up[find(j)] = find(i)
+                out.append((m, sets[j][1]))
+        for g in rare:
+            seen.setdefault(g, []).append(i)
+    return out
+
+
+def _link(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of groups whose rows come one after the other."""
+    group, members = None, {}
     for p in parts:
-        ok = [_alike(a, b) for a, b in zip(p["_q_mask"], p["_q_head_mask"])]
-        yield p.loc[ok, ["_q_a", "_q_b"]]
+        out = []
+        for key, m, mask in zip(zip(p["_q_bucket"], p["_q_lo"], p["_q_hi"]), p["_q_m"], p["_q_mask"]):
+            if key != group:
+                out += linked(list(members.items())) if len(members) > 1 else []
+                group, members = key, {}
+            members[m] = mask
+        yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    yield pd.DataFrame(linked(list(members.items())) if len(members) > 1 else [], columns=["u", "v"], dtype="int64")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(`u`, `root`) of every node of (`u`, `v`) links: the least node of its component.
+
+    Stars are drawn larger and smaller in turn until nothing moves; each round is
+    two joins on the links, written to the shared folder.
+    """
+    edges = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
+    while True:
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == state or not now[0]:
+            return edges.select("u", F.col("v").alias("root"))
+        state = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        edges = cut(small.filter("u <> v").distinct())
 
 
 def _ids(source: Column, key: Column) -> list[Column]:
@@ -123,13 +190,14 @@ def block_lines(blocks: DataFrame) -> DataFrame:
 
 
 def site_clusters(blocks: DataFrame) -> DataFrame:
-    """Lines (`_q_a`, `_q_b`, `blocks`, `source_blocks`) of repeated clusters.
+    """Lines (`_q_a`, `_q_b`, `root`, `blocks`, `source_blocks`) of clusters that may repeat enough.
 
-    One row a distinct line of a source that lies in a near-duplicate cluster
-    found in at least MIN_BLOCKS blocks and MIN_SHARE of the source's blocks.
+    One row a distinct line of a source whose cluster `root` has lines in at least
+    MIN_BLOCKS blocks and MIN_SHARE of the source's blocks, each line counted for
+    itself: an upper bound of the cluster's own blocks, so no cluster is lost.
     Counting is by hash partitions with partial sums, so a source that holds a
-    third of all rows spreads over tasks by its lines. What the buckets are
-    counted and joined on are numbers; texts follow only for heavy buckets.
+    third of all rows spreads over tasks by its lines. What buckets are counted
+    by are numbers; texts follow only for buckets of several lines.
     """
     sources = blocks.filter(F.col("source").isNotNull()).groupBy(F.col("source").alias("_q_source")).agg(F.count("*").cast("int").alias("_q_n"))
     sources = sources.filter(F.col("_q_n") >= MIN_BLOCKS)
@@ -141,26 +209,29 @@ def site_clusters(blocks: DataFrame) -> DataFrame:
         .groupBy("_q_source", "_q_key")
         .agg(F.count("*").cast("int").alias("_q_df"))
         .join(sources, "_q_source")
-        .select(*_ids(F.col("_q_source"), F.col("_q_key")), F.xxhash64("_q_source").alias("_q_s"), mask(F.col("_q_key")).alias("_q_mask"), "_q_df", "_q_n")
+        .select(*_ids(F.col("_q_source"), F.col("_q_key")), "_q_source", mask(F.col("_q_key")).alias("_q_mask"), "_q_df", "_q_n")
+        .withColumn("_q_m", F.xxhash64("_q_source", "_q_mask"))
+        .withColumn("_q_bands", _bands("_q_mask"))
+        .withColumn("_q_bands", F.transform("_q_bands", lambda h, i: F.xxhash64("_q_source", i, h)))
+        .drop("_q_source")
     )
     lines = cut(lines)
-    banded = lines.select("_q_a", "_q_b", "_q_s", "_q_df", "_q_n", F.posexplode(_bands("_q_mask")).alias("_q_band", "_q_hash")).withColumn(
-        "_q_bucket", F.xxhash64("_q_s", "_q_band", "_q_hash")
-    )
-    heavy = (
-        banded.groupBy("_q_bucket")
-        .agg(F.sum("_q_df").alias("_q_total"), F.max("_q_n").alias("_q_of"))
-        .filter((F.col("_q_total") >= MIN_BLOCKS) & (F.col("_q_total") >= MIN_SHARE * F.col("_q_of")))
-        .select("_q_bucket")
-    )
-    near = cut(banded.select("_q_a", "_q_b", "_q_bucket").join(heavy, "_q_bucket", "left_semi"))
-    near = near.join(lines.select("_q_a", "_q_b", "_q_df", "_q_mask"), ["_q_a", "_q_b"])
-    rank = F.shiftleft(F.least(F.col("_q_df"), F.lit(2**22)).cast("bigint"), 40).bitwiseOR(F.col("_q_a").bitwiseAND(F.lit(2**40 - 1)))
-    heads = near.groupBy("_q_bucket").agg(F.max(rank).alias("_q_rank"))
-    heads = near.withColumn("_q_rank", rank).join(heads, ["_q_bucket", "_q_rank"]).select("_q_bucket", F.col("_q_mask").alias("_q_head_mask"))
-    near = near.join(heads, "_q_bucket").select("_q_a", "_q_b", "_q_mask", "_q_head_mask").distinct()
-    near = near.mapInPandas(_verify, "_q_a bigint, _q_b int").distinct()
-    return lines.join(near, ["_q_a", "_q_b"], "left_semi").select("_q_a", "_q_b", F.col("_q_df").alias("blocks"), F.col("_q_n").alias("source_blocks"))
+    members = lines.select("_q_m", F.explode("_q_bands").alias("_q_bucket"))
+    shared = members.groupBy("_q_bucket").agg(F.count("*").alias("_q_size")).filter("_q_size > 1")
+    near = members.join(shared, "_q_bucket").distinct()
+    chunks = F.ceil(F.col("_q_size") / CHUNK)
+    mine = F.pmod(F.xxhash64(F.col("_q_m")), chunks)
+    near = near.withColumn("_q_mine", mine).withColumn("_q_other", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
+    near = near.select("_q_m", "_q_bucket", F.least("_q_mine", "_q_other").alias("_q_lo"), F.greatest("_q_mine", "_q_other").alias("_q_hi"))
+    groups = near.join(lines.select("_q_m", "_q_mask").dropDuplicates(["_q_m"]), "_q_m").repartition("_q_bucket", "_q_lo", "_q_hi").sortWithinPartitions("_q_bucket", "_q_lo", "_q_hi")
+    roots = components(groups.select("_q_bucket", "_q_lo", "_q_hi", "_q_m", "_q_mask").mapInPandas(_link, "u bigint, v bigint"))
+    placed = lines.select("_q_a", "_q_b", "_q_m", "_q_df", "_q_n").join(roots.withColumnRenamed("u", "_q_m"), "_q_m", "left").withColumn("root", F.coalesce("root", "_q_m")).drop("_q_m")
+    total = placed.groupBy("root").agg(F.sum("_q_df").alias("_q_total"), F.max("_q_n").alias("_q_of")).filter(_heavy("_q_total", "_q_of")).select("root")
+    return cut(placed.join(total, "root", "left_semi").select("_q_a", "_q_b", "root", F.col("_q_df").alias("blocks"), F.col("_q_n").alias("source_blocks")))
+
+
+def _heavy(blocks: str, of: str) -> Column:
+    return (F.col(blocks) >= MIN_BLOCKS) & (F.col(blocks) >= MIN_SHARE * F.col(of))
 
 
 def repeated_lines(blocks: DataFrame) -> DataFrame:
@@ -169,15 +240,16 @@ def repeated_lines(blocks: DataFrame) -> DataFrame:
     Rows come from the clusters above; the exact check on the line's own count
     follows (white space out, digit runs as one sign).
     """
-    named = site_clusters(blocks).filter((F.col("blocks") >= MIN_BLOCKS) & (F.col("blocks") >= MIN_SHARE * F.col("source_blocks")))
+    named = site_clusters(blocks).filter(_heavy("blocks", "source_blocks"))
     return block_lines(blocks).join(named.select("_q_a", "_q_b"), ["_q_a", "_q_b"], "left_semi").select("block_id", "line_no")
 
 
 def strip_site_lines(blocks: DataFrame) -> DataFrame:
     """All blocks with `clean_text`: the text without the lines of repeated clusters."""
+    found = cut(block_lines(blocks).join(site_clusters(blocks), ["_q_a", "_q_b"]).select("block_id", "line_no", "root", "source_blocks"))
+    counted = found.select("root", "block_id", "source_blocks").distinct().groupBy("root").agg(F.count("*").alias("_q_blocks"), F.max("source_blocks").alias("_q_of"))
     gone = (
-        block_lines(blocks)
-        .join(site_clusters(blocks).select("_q_a", "_q_b"), ["_q_a", "_q_b"], "left_semi")
+        found.join(counted.filter(_heavy("_q_blocks", "_q_of")).select("root"), "root", "left_semi")
         .groupBy("block_id")
         .agg(F.collect_list("line_no").alias("_q_gone"))
         .withColumnRenamed("block_id", "_q_id")
