@@ -12,10 +12,13 @@ Defined results
 * a piece holds at most `max_tokens` tokens of its own encoding;
 * consecutive pieces share `overlap_tokens` tokens, and up to three more where
   that place is inside a character; without overlap they abut;
+* where the limit leaves less than `SPARE` new tokens beside the overlap, the
+  limit holds and a piece shares what it has room for;
 * pieces cover the text; between two boundaries of equal strength the later wins;
 * a boundary is taken only in the second half of the room, so that no strong
   boundary makes pieces tiny, except where none is there;
-* a profile whose overlap leaves no room (`max_tokens` <= overlap + 8) gives none.
+* a profile with `max_tokens` below `SPARE`, which cannot hold any character, or
+  not above its overlap raises ValueError before anything runs.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.tokens import TOKENIZERS, encoder, slices
 
 #: Tokens kept free, because a character holds up to four.
 SPARE = 4
+#: Pieces of a text whose ends are summed one after the other.
+RUN = 512
 
 # Boundary letters from strong to weak, and the marks before them.
 STRENGTHS = "plscwx"  # paragraph, line, sentence, clause, word, character; b: inside a character
@@ -134,13 +139,30 @@ def pattern(room: int) -> str:
     return "|".join([f".{{1,{room}}}$", *strong, *weak])
 
 
+def ends_of(takes: Column) -> Column:
+    """Token offsets where pieces end: the running sum of their lengths.
+
+    Summed in runs of RUN pieces and then over runs, so that the cost of a text
+    of very many pieces stays in proportion to them.
+    """
+    empty = F.array().cast("array<int>")
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))
+    summed = lambda xs, of: F.aggregate(xs, empty, lambda acc, x: F.concat(acc, F.array(last(acc) + of(x))))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(takes), F.lit(1)) - 1) / RUN).cast("int")), lambda k: summed(F.slice(takes, k * RUN + 1, RUN), F.length))
+    long = F.flatten(F.zip_with(runs, summed(runs, last), lambda run, upto: F.transform(run, lambda x: x + upto - last(run))))
+    return F.when(F.size(takes) <= RUN, summed(takes, F.length)).otherwise(long)
+
+
 def split(documents: DataFrame, profiles: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """(`profile`, `doc_id`, `piece_no`, `char_start`, `char_end`, `n_tokens`, `piece`).
 
     One row a piece; offsets count code points, `char_end` is exclusive. The
     profiles are parameters (a handful of rows) and are read on the driver.
     """
-    settings = [r for r in profiles.select("profile", "tokenizer", "max_tokens", "overlap_tokens").collect() if r["max_tokens"] > r["overlap_tokens"] + 8]
+    settings = profiles.select("profile", "tokenizer", "max_tokens", "overlap_tokens").collect()
+    for r in settings:
+        if r["max_tokens"] < SPARE or r["overlap_tokens"] < 0 or r["max_tokens"] <= r["overlap_tokens"]:
+            raise ValueError(f"profile {r['profile']}: a limit of {r['max_tokens']} tokens leaves no room beside an overlap of {r['overlap_tokens']}")
     least: dict[str, int] = {}
     for r in settings:
         least[r["tokenizer"]] = min(r["max_tokens"], least.get(r["tokenizer"], 2**31))
@@ -149,27 +171,33 @@ def split(documents: DataFrame, profiles: DataFrame, folder: str = TOKENIZERS) -
     if not settings:
         return spark.createDataFrame([], schema)
     shaped = shapes(documents, least, folder)
-    # token offsets where pieces end; each begins where the one before ended, looked back by the overlap
-    ends_of = lambda takes: F.aggregate(takes, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x))))
     cases = []
+    tight = any(r["max_tokens"] < r["overlap_tokens"] + 2 * SPARE for r in settings)
     for r in settings:
-        room = r["max_tokens"] - r["overlap_tokens"] - SPARE
+        room = max(SPARE, r["max_tokens"] - r["overlap_tokens"] - SPARE)
         takes = F.regexp_extract_all("shape", F.lit(pattern(room)), F.lit(0))
         cases.append(
             F.when(
                 (F.col("tokenizer") == r["tokenizer"]) & (F.length("shape") > r["max_tokens"]),
-                F.struct(F.lit(r["profile"]).alias("profile"), F.lit(int(r["overlap_tokens"])).alias("overlap"), ends_of(takes).alias("cuts")),
+                F.struct(F.lit(r["profile"]).alias("profile"), F.lit(int(r["overlap_tokens"])).alias("overlap"), F.lit(int(r["max_tokens"])).alias("most"), ends_of(takes).alias("cuts")),
             )
         )
     # exploded with their cuts, which would else be computed anew for every piece
-    one = shaped.select("doc_id", "text", "ends", F.explode(F.array_compact(F.array(*cases))).alias("p")).select("doc_id", "text", "ends", "p.profile", "p.overlap", "p.cuts")
+    columns = ("doc_id", "text", "ends")
+    one = shaped.select(*columns, F.explode(F.array_compact(F.array(*cases))).alias("p")).select(*columns, "p.profile", "p.overlap", "p.most", "p.cuts")
 
     def piece(to, i):
-        back = F.when(i == 0, 0).otherwise(F.greatest(F.lit(0), F.get("cuts", i - 1) - F.col("overlap")))
+        before = F.when(i == 0, 0).otherwise(F.get("cuts", i - 1))
+        back = F.greatest(F.lit(0), before - F.col("overlap"))
         first = F.when(back == 0, 0)
         for k in range(SPARE):  # out of a character, to where it begins
             first = first.when(F.get("ends", back - (k + 1)) >= 0, back - k)
         first = first.otherwise(0)
+        if tight:  # the limit holds: to the first character that it leaves room for
+            low, fits = to - F.col("most"), F.when(first >= to - F.col("most"), first)
+            for k in range(SPARE):
+                fits = fits.when((low + k <= before) & (F.get("ends", low + (k - 1)) >= 0), low + k)
+            first = fits.otherwise(before)
         start, end = F.when(first == 0, F.lit(0).cast("bigint")).otherwise(F.get("ends", first - 1)), F.get("ends", to - 1)
         byte, char = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(0xFFFFFFFF).cast("int"))
         text = F.substr("text", byte(start) + 1, byte(end) - byte(start)).cast("string")

@@ -85,10 +85,10 @@ def test_pieces(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     odd = [(10**6, "数" * 4000), (10**6 + 1, "🙂" * 900), (10**6 + 2, None), (10**6 + 3, ""), (10**6 + 4, "a" * 9000), (10**6 + 5, ("line\n" * 30 + "\n") * 40), (10**6 + 6, " " * 4000)]
     docs = docs.unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"))
-    profiles = [("p", NAMES[0], 256, 32), ("q", NAMES[1], 100, 0), ("r", NAMES[1], 10, 5)]
+    profiles = [("p", NAMES[0], 256, 32), ("q", NAMES[1], 100, 0), ("r", NAMES[1], 10, 5), ("s", NAMES[0], 4, 3), ("t", NAMES[0], 9, 1)]
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = pieces.split(docs, spark.createDataFrame(profiles, PROFILES)).toPandas().sort_values(["profile", "doc_id", "piece_no"])
-    big = {(p, i) for p, n, most, lap in profiles[:2] for i, t in text.items() if t and len(REFERENCE[n].encode_ordinary(t)) > most}
+    big = {(p, i) for p, n, most, lap in profiles for i, t in text.items() if t and len(REFERENCE[n].encode_ordinary(t)) > most}
     assert set(zip(got["profile"], got["doc_id"])) == big
     for (p, i), g in got.groupby(["profile", "doc_id"]):
         _, n, most, lap = next(x for x in profiles if x[0] == p)
@@ -99,7 +99,12 @@ def test_pieces(spark, data):
             assert r.n_tokens <= most and len(REFERENCE[n].encode_ordinary(r.piece)) <= most
             if lap == 0:
                 assert r.char_start == before
+        assert lap == 0 or most < lap + 2 * pieces.SPARE or (g["char_start"].to_numpy()[1:] < g["char_end"].to_numpy()[:-1]).all()
     paragraphs = got[(got["doc_id"] == 10**6 + 5) & (got["profile"] == "p")]
     assert all(x.endswith("\n\n") for x in paragraphs["piece"][:-1])
     assert pieces.split(docs.limit(0), spark.createDataFrame(profiles, PROFILES)).count() == 0
     assert pieces.split(docs, spark.createDataFrame([], PROFILES)).count() == 0
+
+    for most, lap in ((3, 0), (10, 10)):
+        with pytest.raises(ValueError):
+            pieces.split(docs, spark.createDataFrame([("x", NAMES[0], most, lap)], PROFILES))
