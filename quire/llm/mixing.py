@@ -5,9 +5,10 @@ the virtual finish time of a record's copy is the source's cumulative tokens up
 to it, divided by the source's weight; the copies of all sources are sorted by
 finish time and cut off at the plan's budget.
 
-Prefix sums are taken in two levels, by hash buckets within a source and by
-slices of finish time within a plan, so that no source or plan is ever in one
-task. The number of buckets follows the counted rows.
+Prefix sums are taken in two levels, by hash buckets within a source and by the
+parts of a global range sort of all copies by finish time, whose boundaries are
+quantiles, so that no source or plan is ever in one task however its weights
+differ. The number of parts follows the counted rows.
 
 Defined results
 ---------------
@@ -86,16 +87,19 @@ def mixture(documents: DataFrame, plans: DataFrame, targets: DataFrame, folder:
     rows = rows.join(small(totals), ["mix_name", "source"]).withColumn("_q_u", u)
     rows = rows.withColumn("_q_b", F.floor((F.col("_q_u") / F.lit(2.0**64) + 0.5) * parts))
     rows = _running(rows, ["mix_name", "source"], "_q_b", ["_q_u", "doc_id"], "n_tokens", "_q_cum")
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_q_rep") - 1))).withColumn(
-        "finish", (F.col("copy") * F.col("_q_total") + F.col("_q_cum")) / F.col("_q_w")
+    rows = rows.join(small(whole), "mix_name").withColumn("_q_budget", F.col("_q_factor") * F.col("_q_once"))
+    # a copy before which its own source has more tokens than the budget is beyond it; only the others are made
+    most = F.least(F.col("_q_rep") - 1, F.floor((F.col("_q_budget") - F.col("_q_cum")) / F.col("_q_total"))).cast("int")
+    rows = rows.filter(F.col("_q_cum") <= F.col("_q_budget"))
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), most))).select(
+        "mix_name", "doc_id", "copy", "source", "n_tokens", ((F.col("copy") * F.col("_q_total") + F.col("_q_cum")) / F.col("_q_w")).alias("finish"), "_q_budget"
     )
-    # no copy whose own source alone would have passed its fair part of the budget by far can be within it
-    copies = copies.join(small(whole), "mix_name").withColumn("_q_budget", F.col("_q_factor") * F.col("_q_once"))
-    copies = copies.filter(F.col("finish") * F.col("_q_w") <= F.col("_q_budget"))
-    ends = copies.groupBy("mix_name").agg(F.max("finish").alias("_q_last"), F.count("*").alias("_q_copies"))
-    slots = F.greatest(F.lit(1), F.ceil(F.col("_q_copies") / BUCKET_ROWS)) * 4
-    copies = copies.join(small(ends), "mix_name").withColumn("_q_slice", F.floor(F.col("finish") / F.col("_q_last") * slots))
-    copies = _running(copies, ["mix_name"], "_q_slice", ["finish", "source", "doc_id", "copy"], "n_tokens", "_q_at")
+    copies = cut(copies)
+    order = ["finish", "source", "doc_id", "copy"]
+    ranges = max(1, -(-copies.count() // BUCKET_ROWS))
+    # the parts of the sort are written down, so that sums over them are of the same rows
+    copies = cut(copies.repartitionByRange(ranges, "mix_name", *order).withColumn("_q_slice", F.spark_partition_id()))
+    copies = _running(copies, ["mix_name"], "_q_slice", order, "n_tokens", "_q_at")
     return copies.filter(F.col("_q_at") <= F.col("_q_budget")).select("mix_name", "doc_id", "copy", "source", "n_tokens", "finish")
 
 
