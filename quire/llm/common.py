@@ -53,14 +53,22 @@ def language(text: Column) -> Column:
     return out.otherwise(F.array_max(hits)["lang"])
 
 
+#: Rows that a window keeps of a part of a stratum; up to here Spark limits it before the shuffle.
+PART_ROWS = 1000
+
+
 def bounded_sample(df: DataFrame, strata: str, key: str, per_stratum: int) -> DataFrame:
-    """``per_stratum`` rows of each stratum with the smallest hash of ``key``.
+    """At most ``per_stratum`` rows of each stratum, those with the smallest hash of ``key``.
 
     The same rows for the same data whatever its partitioning; used only to
-    fit models, never to answer for rows.
+    fit models, never to answer for rows. Strata are drawn in parts by another
+    hash, each small enough for tasks to drop all other rows before the shuffle,
+    so that no stratum is ever gathered in one task.
     """
-    order = W.partitionBy(strata).orderBy(F.xxhash64(F.col(key)), F.col(key))
-    return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= per_stratum).drop("_rn")
+    parts = -(-per_stratum // PART_ROWS)
+    order = W.partitionBy(strata, "_part").orderBy(F.xxhash64(F.col(key)), F.col(key))
+    df = df.withColumn("_part", F.pmod(F.hash(F.col(key)), F.lit(parts)))
+    return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= per_stratum // parts).drop("_rn", "_part")
 
 
 def pool(df: DataFrame, key: str, rows: int = 40_000) -> DataFrame:

@@ -25,12 +25,15 @@ def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = table(spark, sf_dir, "blocks").filter("doc_kind = 'bulletin'")
-    return sentences.sentence_ends(blocks.select("block_id", "text"))
+    blocks = table(spark, sf_dir, "blocks").filter("doc_kind = 'bulletin'").select("block_id", "text")
+    return sentences.sentence_ends(blocks, blocks)
 
 
 def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentences(table(spark, sf_dir, "blocks").select("block_id", "text")).select("block_id", "sent_no", "sent_end", "sentence")
+    """The sentences of every block, by the model of `p2_found`: bulletins are in all eleven languages."""
+    blocks = table(spark, sf_dir, "blocks")
+    lessons = blocks.filter("doc_kind = 'bulletin'").select("block_id", "text")
+    return sentences.sentences(blocks.select("block_id", "text"), lessons).select("block_id", "sent_no", "sent_end", "sentence")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +42,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = table(spark, sf_dir, "blocks").filter(NOT_SCANNED)
-    return site_lines.strip_site_lines(blocks.select("block_id", "source", "text")).select("block_id", "clean_text")
+    """Every block; recognised ones have no site lines and come out as they are."""
+    blocks = table(spark, sf_dir, "blocks")
+    clean = site_lines.strip_site_lines(blocks.filter(NOT_SCANNED).select("block_id", "source", "text")).select("block_id", "clean_text")
+    return clean.unionByName(blocks.filter("ocr").select("block_id", F.col("text").alias("clean_text")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

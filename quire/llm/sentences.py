@@ -362,15 +362,17 @@ def ends_udf(spark: SparkSession, texts: DataFrame):
     return F.pandas_udf(run, T.ArrayType(T.IntegerType()))
 
 
-def sentence_ends(blocks: DataFrame) -> DataFrame:
-    """(`block_id`, `sent_end`): one row a sentence."""
-    ends = ends_udf(blocks.sparkSession, blocks.select(F.col("block_id").alias("_id"), "text"))
+def sentence_ends(blocks: DataFrame, lessons: DataFrame | None = None) -> DataFrame:
+    """(`block_id`, `sent_end`): one row a sentence, by a model fitted on `lessons` or the blocks themselves."""
+    lessons = blocks if lessons is None else lessons
+    ends = ends_udf(blocks.sparkSession, lessons.select(F.col("block_id").alias("_id"), "text"))
     return blocks.select("block_id", F.explode(ends("text")).alias("sent_end"))
 
 
-def sentences(blocks: DataFrame) -> DataFrame:
+def sentences(blocks: DataFrame, lessons: DataFrame | None = None) -> DataFrame:
     """All rows of blocks, one for each sentence: `sent_no` from 1, `sent_end`, `sentence`."""
-    ends = ends_udf(blocks.sparkSession, blocks.select(F.col("block_id").alias("_id"), "text"))
+    lessons = blocks if lessons is None else lessons
+    ends = ends_udf(blocks.sparkSession, lessons.select(F.col("block_id").alias("_id"), "text"))
     out = blocks.withColumn("_q_ends", ends("text")).select("*", F.posexplode("_q_ends").alias("_q_at", "sent_end"))
     start = F.when(F.col("_q_at") == 0, 0).otherwise(F.element_at("_q_ends", F.greatest(F.col("_q_at"), F.lit(1))))
     return out.withColumn("sent_no", F.col("_q_at") + 1).withColumn(
