@@ -49,6 +49,8 @@ from quire.session import cut
 SAMPLE, PAIRS, TRAINED = 4000, 300, 3000
 #: A clean token that stands so often needs no judging; one below is in doubt.
 KNOWN, DOUBT = 3, 3
+#: Trigrams by which a word in doubt meets the vocabulary.
+RARE = 9
 #: Lines at either end of a page that may be furniture.
 EDGE = 2
 
@@ -408,8 +410,9 @@ def candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(`kind`, `token`, `other`, `n_other`, `shared`, `was`, `is`, `at`) by inverted joins on q-grams.
 
     Characters in context meet the vocabulary on what stands on both sides.
-    Words meet it on their five rarest trigrams: a wrong character (or two for
-    one) spoils at most four, so the right word is always among the meetings.
+    Words meet it on their RARE rarest trigrams: a wrong character (or two for
+    one) spoils at most four, so the right word of a word with two wrong places
+    is always among the meetings.
     """
     sides = lambda c: F.concat(F.substr(c, F.lit(1), F.lit(1)), F.substr(c, F.lit(3), F.lit(1)))
     chars = (
@@ -420,7 +423,7 @@ def candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     words = vocabulary.filter("kind = 'w' AND length(token) >= 2").select(F.col("token").alias("other"), F.col("n").alias("n_other"), F.explode(_grams(F.col("token"))).alias("q"))
     common = words.groupBy("q").agg(F.count("*").alias("df"))
     asked = tokens.filter("kind = 'w' AND length(token) >= 3").select("token", F.explode(_grams(F.col("token"))).alias("q")).join(common, "q")
-    rare = asked.withColumn("r", F.row_number().over(W.partitionBy("token").orderBy("df", "q"))).filter("r <= 5").select("token", "q")
+    rare = asked.withColumn("r", F.row_number().over(W.partitionBy("token").orderBy("df", "q"))).filter(F.col("r") <= RARE).select("token", "q")
     met = rare.join(words, "q").filter((F.abs(F.length("other") - F.length("token")) <= 2) & (F.col("other") != F.col("token"))).groupBy("token", "other").agg(F.first("n_other").alias("n_other"), F.count("*").alias("shared"))
     met = met.filter(F.levenshtein("token", "other", 3) >= 0).select(F.lit("w").alias("kind"), "token", "other", "n_other", F.col("shared").cast("int").alias("shared"))
     both = chars.unionByName(met).withColumn("d", _diff("token", "other"))
@@ -447,8 +450,6 @@ def misread_tokens(doubt: DataFrame, counted: DataFrame) -> DataFrame:
     pairs = cut(strong.groupBy("kind", "was", "is").agg(F.countDistinct("token").alias("pair"), F.sum("scanned").alias("pair_n")))
     wholes = pairs.groupBy("kind", "was").agg(F.sum("pair").alias("was_pairs"))
     top = pairs.filter("was <> '' AND is <> '' AND length(was) <= 3 AND length(is) <= 3 AND lower(was) <> lower(is)").orderBy(F.desc(F.col("pair") * 3 + F.col("pair_n")), "kind", "was", "is").limit(PAIRS).collect()
-    often = [q for q in top if q["pair"] >= 3 or q["pair_n"] >= 6]
-    top = often if len(often) >= 8 else top  # in small corpora each is seen once or twice
     singles = cut(counted.filter("kind = 't'").groupBy(F.substr("token", F.lit(2), F.lit(1)).alias("was")).agg(F.sum("clean").alias("was_clean")))
 
     # clean tokens with learned substitutions, and rare clean tokens that are right
@@ -458,7 +459,7 @@ def misread_tokens(doubt: DataFrame, counted: DataFrame) -> DataFrame:
     rng = random.Random(20)
     made = {}
     for kind, token in sorted((r["kind"], r["token"]) for r in good):
-        fits = [(q["was"], q["is"], q["pair"] + q["pair_n"]) for q in top if q["kind"] == kind and q["is"] in (token if kind == "w" else token[1:2])]
+        fits = [(q["was"], q["is"], q["pair"] * q["pair_n"]) for q in top if q["kind"] == kind and q["is"] in (token if kind == "w" else token[1:2])]
         if fits:
             was, to, _ = rng.choices(fits, [f[2] for f in fits])[0]
             spots = [m.start() for m in re.finditer(re.escape(to), token)] if kind == "w" else [1]
@@ -623,29 +624,38 @@ def repair(blocks: DataFrame) -> DataFrame:
 
 
 def _paragraphs(text: str | None, gone: set[int], cuts: set[int], fixes: list) -> str | None:
-    """Running text of a block: furniture out, cut words joined, wrong characters replaced."""
+    """Running text of a block: furniture out, cut words joined, wrong characters replaced.
+
+    Tokens are those of the search, in the same running text, so that every one
+    found is replaced, wherever in its line it stands.
+    """
     if not text:
         return text
-    lines = [(no, x.strip()) for no, x in enumerate(text.split("\n"), 1) if x.strip() and no not in gone]
-    width = max((len(x) for _, x in lines), default=0)
+    joined, starts = body(text, gone, cuts)
+    put = {("w", f["token"]) if f["kind"] == "w" else ("t", f["token"]): f["other"] for f in fixes}
+    edits = [(i, len(token), put[kind, token]) if kind == "w" else (i, 1, put[kind, token][1]) for kind, token, i, _ in tokens_of(joined) if (kind, token) in put] if put else []
+    begins = [at for at, _ in starts]
+    ends = [*begins[1:], len(joined)]
+    parts, at = [], 0
+    edits.sort()
+    k = 0
+    for begin, end in zip(begins, ends):  # a word over a line end goes with the line it begins in
+        part, at = "", max(at, begin)
+        while k < len(edits) and edits[k][0] < end:
+            i, n, new = edits[k]
+            part += joined[at:i] + new
+            at, k = i + n, k + 1
+        part += joined[at:end]
+        at = max(at, end)
+        parts.append(part.rstrip())
+    width = max((len(p) for p in parts), default=0)
     out = ""
-    for k, (no, line) in enumerate(lines):
-        if no in cuts:
-            out += line[:-1]
-        elif line[-1] in CUT_MARKS:
+    for k, ((_, no), line) in enumerate(zip(starts, parts)):
+        after = next((p for p in parts[k + 1 :] if p), "")
+        if no in cuts or not line or not after or line[-1] in CUT_MARKS:
             out += line
-        elif k + 1 == len(lines):
-            out += line
-        else:
-            after = lines[k + 1][1]
-            wide = _HAN.match(line[-1]) or _HAN.match(after[0])
-            full = len(line) + (1 if wide else 1 + len(after.split(" ")[0])) > width - (2 if wide else 0)
-            out += line + ("" if wide else " ") if full else line + "\n"
-    words = {f["token"]: f["other"] for f in fixes if f["kind"] == "w"}
-    chars = {f["token"]: f["other"] for f in fixes if f["kind"] == "t"}
-    if words:
-        out = _WORD.sub(lambda m: words.get(m.group(), m.group()), out)
-    if chars:
-        padded = f"^{_flat(out)}$"
-        out = "".join(chars[g][1] if (g := padded[i : i + 3]) in chars else c for i, c in enumerate(out))
+            continue
+        wide = _HAN.match(line[-1]) or _HAN.match(after[0])
+        full = len(line) + (1 if wide else 1 + len(after.split(" ")[0])) > width - (2 if wide else 0)
+        out += line + ("" if wide else " ") if full else line + "\n"
     return out

@@ -71,6 +71,39 @@ def test_repair(spark):
     assert got[rows()[461][0]] is None and got[rows()[462][0]] == ""
 
 
+def test_repair_at_line_ends():
+    """What was found at the start or end of a line is replaced, over line ends too, and headings stay apart."""
+    text = "一、总则\nasscssment of the quality and more words in here\nby the opcrators of a data regis-\ntratlon 数椐局"
+    fixes = [{"kind": "w", "token": t, "other": o} for t, o in (("asscssment", "assessment"), ("opcrators", "operators"), ("registratlon", "registration"))]
+    joined, _ = scans.body(text, set(), {3})
+    han = next(t for kind, t, i, _ in scans.tokens_of(joined) if kind == "t" and t[1] == "椐")
+    got = scans._paragraphs(text, set(), {3}, [*fixes, {"kind": "t", "token": han, "other": han[0] + "据" + han[2]}])
+    assert got == "一、总则\nassessment of the quality and more words in here by the operators of a data registration 数据局"
+    assert scans._paragraphs("x\n\n", {1}, set(), []) == "" and scans._paragraphs("ab\ncd", set(), set(), []) == "ab cd"
+
+
+def test_candidates_are_whole(spark):
+    """Words with one or two wrong places always meet the right word."""
+    rng = random.Random(9)
+    shapes = (("rn", "m"), ("cl", "d"), ("e", "c"), ("t", "f"), ("l", "1"), ("o", "0"), ("b", "h"), ("i", "l"))
+    vocabulary = sorted({w for w in " ".join(clean_line(rng) for _ in range(60)).replace(".", "").replace("-", " ").split()} | {"commencement", "modern", "internal", "middle", "information", "interim", "form"})
+    asked = {}
+    for w in vocabulary:
+        for _ in range(6):
+            bad = w
+            for _ in range(rng.choice((1, 2))):
+                a, b = rng.choice(shapes)
+                i = bad.find(a)
+                if i >= 0:
+                    bad = bad[:i] + b + bad[i + len(a) :]
+            if bad != w and len(bad) >= 3:
+                asked[bad] = w
+    tokens = spark.createDataFrame([("w", t) for t in asked], "kind string, token string")
+    many = spark.createDataFrame([("w", w, 50) for w in vocabulary], "kind string, token string, n long")
+    met = {(r["token"], r["other"]) for r in scans.candidates(tokens, many).collect()}
+    assert len(asked) > 40 and not [x for x in asked.items() if x not in met]
+
+
 def test_empty(spark):
     assert scans.scan_noise(spark.createDataFrame([], SCHEMA)).count() == 0
 
