@@ -459,7 +459,7 @@ def misread_tokens(doubt: DataFrame, counted: DataFrame) -> DataFrame:
     rng = random.Random(20)
     made = {}
     for kind, token in sorted((r["kind"], r["token"]) for r in good):
-        fits = [(q["was"], q["is"], q["pair"] * q["pair_n"]) for q in top if q["kind"] == kind and q["is"] in (token if kind == "w" else token[1:2])]
+        fits = [(q["was"], q["is"], q["pair"] * (1 + q["pair_n"])) for q in top if q["kind"] == kind and q["is"] in (token if kind == "w" else token[1:2])]
         if fits:
             was, to, _ = rng.choices(fits, [f[2] for f in fits])[0]
             spots = [m.start() for m in re.finditer(re.escape(to), token)] if kind == "w" else [1]
