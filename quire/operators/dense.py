@@ -6,52 +6,91 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.session import cut
+#: Queries that are sent to all tasks at once; more go in several passes over the rows.
+QUERY_BLOCK = 20_000
+#: Numbers that a task holds of distances between its rows and queries.
+CELLS = 4_000_000
 
-#: Queries that are held in a task at once, and rows of a block that meets them.
-QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 
+def relevance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """1 - d / sqrt(2) of squared distances d between all of two sets, to six places, as of a flat index."""
+    d = np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0)
+    return np.round(1 - d / np.sqrt(2), 6)
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, same_label: bool = False) -> DataFrame:
+
+def _packed(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    lists = batch.column(column)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
+
+
+def _pass(vectors: DataFrame, asked: pd.DataFrame, k: int, threshold: float | None, same: str | None) -> DataFrame:
+    """The k best rows of each query in every task; queries are bounded by QUERY_BLOCK."""
+    order = np.argsort(asked["query_id"].to_numpy(), kind="stable")
+    ids = asked["query_id"].to_numpy()[order]
+    matrix = np.array([asked["embedding"].iloc[i] for i in order], np.float64)
+    scopes = asked["scope"].iloc[order].astype("object").to_numpy()
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, scopes))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix, scopes = shared.value
+        n = len(ids)
+        rel, found = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        for batch in batches:
+            step = max(1, CELLS // n)
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                x = np.asarray(part.column("vec_id").to_numpy(zero_copy_only=False), np.int64)
+                r = relevance(matrix, _packed(part, "embedding"))
+                if threshold is not None:
+                    r[r < threshold - 1e-9] = -np.inf
+                if same is not None:
+                    r[scopes[:, None] != np.array(part.column("scope").to_pylist(), object)[None]] = -np.inf
+                # what is above the worst kept so far joins it, then the k best stay, lower ids first among ties
+                r = np.concatenate([rel, r], 1)
+                x = np.concatenate([found, np.broadcast_to(x, (n, len(x)))], 1)
+                if r.shape[1] > 4 * k:
+                    near = np.argpartition(-r, 2 * k, axis=1)[:, : 2 * k]
+                    edge = -np.partition(-r, k - 1, axis=1)[:, k - 1]
+                    clear = (np.take_along_axis(r, near, 1) >= edge[:, None]).sum(1) == (r >= edge[:, None]).sum(1)
+                    if clear.all():  # no tie at the edge is left out
+                        r, x = np.take_along_axis(r, near, 1), np.take_along_axis(x, near, 1)
+                best = np.lexsort((x, -r), axis=1)[:, :k]
+                rel, found = np.take_along_axis(r, best, 1), np.take_along_axis(x, best, 1)
+        keep = np.isfinite(rel)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1)), pa.int64()), pa.array(found[keep], pa.int64()), pa.array(rel[keep], pa.float64())], names=["query_id", "vec_id", "relevance"])
+
+    columns = [F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", *([F.col(same).alias("scope")] if same else [])]
+    rows = vectors.select(*columns).filter("embedding IS NOT NULL AND size(embedding) > 0")
+    return rows.mapInArrow(meet, "query_id bigint, vec_id bigint, relevance double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, same: str | None = None) -> DataFrame:
     """(`query_id`, `vec_id`, `relevance`, `rank`): the k nearest vectors of each query.
 
-    Distance is squared L2 and relevance 1 - d / sqrt(2), as of a flat index; it is
-    rounded to six places before ranking, ties go to the lower id. Query blocks of
-    bounded size meet blocks of rows; each meeting keeps k rows a query, and a
-    window over what is left picks the best. With `same_label` a query only meets
-    vectors of its own label (a scope); `threshold` keeps what is relevant enough.
+    `vectors` and `queries` have `vec_id` and `embedding` (one width). Distance is
+    squared L2 and relevance 1 - d / sqrt(2), as of a flat index; it is rounded to
+    six places before ranking, ties go to the lower id. Queries are sent to the
+    rows, QUERY_BLOCK at a time; rows stay where they are, each task passes on k
+    rows a query. With `same`, a query only meets vectors of an equal value in that
+    column (a scope); null equals null. `threshold` keeps what is relevant enough.
+    Rows without a vector are never found; no queries or no rows give no rows.
     """
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    blocks = F.floor(F.row_number().over(W.partitionBy("part").orderBy("query_id")) / QUERY_BLOCK)
-    # numbered within hash parts of bounded size, so that no window takes all queries
-    parts = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    packed = cut(asked.withColumn("block", blocks).groupBy("part", "block").agg(F.collect_list(F.struct("query_id", "q_label", "q")).alias("queries")))
-    n_blocks = max(1, -(-vectors.count() // ROW_BLOCK))
-    rows = vectors.withColumn("row_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).groupBy("row_block").agg(F.collect_list(F.struct("vec_id", "label", "embedding")).alias("rows"))
-
-    def meet(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts_:
-            for rows_, queries_ in zip(p["rows"], p["queries"]):
-                ids = np.array([r["vec_id"] for r in rows_])
-                labels = np.array([-1 if r["label"] is None else r["label"] for r in rows_])
-                x = np.array([r["embedding"] for r in rows_], np.float64)
-                q = np.array([r["q"] for r in queries_], np.float64)
-                d = np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0)
-                rel = np.round(1 - d / np.sqrt(2), 6)
-                if same_label:
-                    rel[np.array([-2 if r["q_label"] is None else r["q_label"] for r in queries_])[:, None] != labels[None]] = -np.inf
-                out = []
-                for i, r in enumerate(queries_):
-                    best = np.lexsort((ids, -rel[i]))[:k]
-                    best = best[rel[i, best] > (-np.inf if threshold is None else threshold - 1e-9)]
-                    out.append(pd.DataFrame({"query_id": r["query_id"], "vec_id": ids[best], "relevance": rel[i, best]}))
-                yield pd.concat(out, ignore_index=True)
-
-    met = rows.crossJoin(packed.select("queries")).mapInPandas(meet, "query_id bigint, vec_id bigint, relevance double")
+    asked = queries.filter("embedding IS NOT NULL AND size(embedding) > 0").select(F.col("vec_id").cast("bigint").alias("query_id"), "embedding", (F.col(same) if same else F.lit(0)).alias("scope"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    met = None
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        rows = block.toPandas()
+        if len(rows):
+            part = _pass(vectors, rows, k, threshold, same)
+            met = part if met is None else met.unionByName(part)
+    if met is None:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, relevance double, rank int")
     best = W.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

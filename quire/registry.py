@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.config import DEFAULTS
+from quire.config import DEFAULTS, SEARCH_STRIP, TOPIC_ENDS, TOPIC_PARTS, WEB_OFFER
 from quire.functions import text as T
 from quire.operators import chunking, dense, dialog, index, lexical, ranking, scope, web
 from quire.plans import answer
-from quire.session import table
+from quire.session import once, table
 from quire.streaming import landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The settings with the places that the given tables are at home in.
+TABLES = replace(DEFAULTS, local_markers=(*DEFAULTS.local_markers, "云岭", "澄湖", "泊云园区", "雁栖湾园区"))
+
 # ---------------------------------------------------------------- sources
 
 
@@ -73,23 +77,26 @@ def term_frequencies(spark, d):
     return posted.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
-def bm25_statistics(spark, d):
-    texts = table(spark, d, "blocks").select("block_id", "text")
-    df, _ = lexical.statistics(texts, lexical.postings(texts, "block_id"), "block_id")
-    return df.select("term", "df", F.round("idf", 6).alias("idf"))
+def _index(spark, d):
+    """The index of all blocks, built once an application and read by every search."""
+    return once(spark, ("bm25", d), lambda: lexical.build(table(spark, d, "blocks").select("block_id", "text"), "block_id"))
+
+
+def _tier_index(spark, d):
+    return once(spark, ("bm25 tier", d), lambda: lexical.build(table(spark, d, "blocks").filter("tier IS NOT NULL").select("block_id", "tier", "text"), "block_id", ["tier"]))
 
 
-def _texts(spark, d):
-    return table(spark, d, "blocks").select("block_id", "tier", "text")
+def bm25_statistics(spark, d):
+    return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, d):
-    return lexical.bm25(_texts(spark, d).drop("tier"), table(spark, d, "questions").select("question_id", "question"), "block_id", "question_id", DEFAULTS.top_k)
+    return lexical.search(_index(spark, d), table(spark, d, "questions").select("question_id", "question"), "block_id", "question_id", DEFAULTS.top_k)
 
 
 def bm25_scoped(spark, d):
     asked = table(spark, d, "questions").filter("tier IS NOT NULL").select("question_id", "question", "tier")
-    return lexical.bm25(_texts(spark, d).filter("tier IS NOT NULL"), asked, "block_id", "question_id", DEFAULTS.top_k, ["tier"])
+    return lexical.search(_tier_index(spark, d), asked, "block_id", "question_id", DEFAULTS.top_k, ["tier"])
 
 
 def _vectors(spark, d):
@@ -106,7 +113,7 @@ def dense_threshold(spark, d):
 
 
 def dense_scoped(spark, d):
-    return dense.nearest(*_vectors(spark, d), k=DEFAULTS.top_k, same_label=True)
+    return dense.nearest(*_vectors(spark, d), k=DEFAULTS.top_k, same="label")
 
 
 def section_hits(spark, d):
@@ -128,7 +135,7 @@ def round_robin(spark, d):
 def relevant_hits(spark, d):
     v, q = _vectors(spark, d)
     hits = dense.nearest(v, q, k=DEFAULTS.recheck_depth).select("query_id", "vec_id", "rank")
-    return ranking.relevant_only(hits, dense.nearest(v, q, k=DEFAULTS.top_k, same_label=True), ["query_id", "vec_id"])
+    return ranking.relevant_only(hits, dense.nearest(v, q, k=DEFAULTS.top_k, same="label"), ["query_id", "vec_id"])
 
 
 def small_source_expansion(spark, d):
@@ -161,13 +168,18 @@ def question_classes(spark, d):
 
 
 def local_sources(spark, d):
-    return scope.local_sources(table(spark, d, "blocks").select("source", "tier", "text"))
+    return scope.local_sources(table(spark, d, "blocks").select("source", "tier", "text"), TABLES)
 
 
 def named_files(spark, d):
     return scope.named_files(table(spark, d, "questions"), table(spark, d, "source_files").select("source"))
 
 
+def scoped_sources(spark, d):
+    classes = scope.question_classes(table(spark, d, "questions"), TABLES)
+    return scope.scoped_sources(named_files(spark, d), local_sources(spark, d), classes)
+
+
 # ---------------------------------------------------------------- dialogue
 
 
@@ -191,10 +203,22 @@ def resolved_questions(spark, d):
     return dialog.resolved(_turns(spark, d))
 
 
+def conversation_queries(spark, d):
+    return dialog.conversation_queries(_turns(spark, d))
+
+
 def pending_consent(spark, d):
     return dialog.pending_consent(_turns(spark, d))
 
 
+def web_searches(spark, d):
+    return dialog.web_searches(_turns(spark, d))
+
+
+def answers_from_history(spark, d):
+    return dialog.answers_from_history(_turns(spark, d)).select("conv_id", "answer", F.array_join("sources", "|").alias("sources"))
+
+
 def history_sources(spark, d):
     return dialog.history_sources(_turns(spark, d))
 
@@ -214,8 +238,7 @@ def answer_lines(spark, d):
 
 
 def sanitized_answers(spark, d):
-    rules = (("数据", "数 据"), ("2021年", "去年"))
-    return dialog.normal_turns(_turns(spark, d)).filter("role = 'assistant'").select("turn_id", T.outside_titles(F.col("content"), rules).alias("content"))
+    return dialog.normal_turns(_turns(spark, d)).filter("role = 'assistant'").select("turn_id", T.outside_titles(F.col("content"), DEFAULTS.sanitize_rules).alias("content"))
 
 
 def answer_sentences(spark, d):
@@ -251,8 +274,8 @@ _ALL: tuple[Query, ...] = (
     file_listing, page_cache_keys, reading_order, block_deduplication, line_explode, block_assembly, section_path, chunk_merge, repeated_lines_collapsed,
     term_frequencies, bm25_statistics, bm25_topk, bm25_scoped, dense_topk, dense_threshold, dense_scoped, section_hits,
     rank_fusion, round_robin, relevant_hits, small_source_expansion, source_completion, answer_contexts, answered_questions,
-    scope_filter, question_classes, local_sources, named_files,
-    history_window, answered_turns, history_topics, resolved_questions, pending_consent, history_sources, transcripts, turn_activity, answer_lines, sanitized_answers, answer_sentences,
+    scope_filter, question_classes, local_sources, named_files, scoped_sources,
+    history_window, answered_turns, history_topics, resolved_questions, conversation_queries, pending_consent, web_searches, answers_from_history, history_sources, transcripts, turn_activity, answer_lines, sanitized_answers, answer_sentences,
     web_merge, web_query_urls, append_new_sources, audit_counts, audit_missing_lines,
 )
 
@@ -276,7 +299,8 @@ def _strip(c: str) -> str:
     return _STRIP.replace("{0}", c)
 
 
-_TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]')"
+_TOKENS = """flatten(list_transform(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]+'), lambda r:
+    CASE WHEN length(r) = 1 OR regexp_matches(r, '^[a-z0-9]') THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END))"""
 
 
 def _tokens(c: str) -> str:
@@ -324,21 +348,84 @@ _SECTION = f"""
                FROM sw JOIN blocks USING (section) QUALIFY rank <= {DEFAULTS.top_k})"""
 
 _TURNS = f"""
-        nt0 AS (SELECT turn_id, conv_id, turn, lower(trim(role)) AS role, {_strip("content")} AS content, sources, coalesce("unknown", false) AS unk FROM turns),
+        nt0 AS (SELECT turn_id, conv_id, turn, lower(trim(role)) AS role, {_strip("content")} AS content, sources,
+                       coalesce("unknown", false) OR regexp_replace(coalesce(content, ''), '{_WS}+', '', 'g') IN ({", ".join(f"'{u}'" for u in DEFAULTS.unknown_answers)}) AS unk FROM turns),
         nt AS (SELECT * FROM nt0 WHERE role IN ('user', 'assistant') AND coalesce(content, '') <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY turn_id) = 1)"""
 
 _REF = DEFAULTS.referents
-_TOPIC = "CASE WHEN regexp_extract(content, '《([^》]+)》', 1) <> '' THEN regexp_extract(content, '《([^》]+)》', 1) ELSE regexp_replace(content, '[？?。！!]+$', '') END"
+
+
+def _sentences(c: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({c}, '[{T.SENTENCE_MARKS}\\n]+'), lambda s: {_strip('s')}), lambda s: s <> '')"
+
+
+def _topic(c: str) -> str:
+    """The topic of a question as SQL; `x`, `i` and `s` name what its lambdas take."""
+    first = f"coalesce({_sentences(c)}[1], '')"
+    cleaned = f"regexp_replace({first}, '(?:[？?！!。，,.、；;：:]|{_WS})+', '', 'g')"
+    cleaned = f"regexp_replace({cleaned}, '({'|'.join(TOPIC_ENDS)})$', '')"
+    cleaned = f"regexp_replace({cleaned}, '^[的是了在]+|[的是了在]+$', '', 'g')"
+    parts = f"list_filter(regexp_split_to_array({cleaned}, '{'|'.join(TOPIC_PARTS)}'), lambda x: length(x) >= 2)"
+    longest = f"list_max(list_transform({parts}, lambda x, i: {{'n': length(x), 'at': -i, 'x': x}})).x"
+    titles = f"regexp_extract_all({c}, '《([^》]+)》', 1)"
+    return f"CASE WHEN len({titles}) > 0 THEN regexp_replace({titles}[-1], '{_WS}+', '', 'g') ELSE {longest} END"
+
+
+#: Normal turns with their own topic, the topic that what they refer to has, and the resolved question.
+_RESOLVED = f"""
+        ow AS (SELECT *, CASE WHEN role = 'user' AND NOT regexp_matches(content, '{_REF}') THEN {_topic("content")} END AS own FROM nt),
+        se AS (SELECT turn_id, unnest({_sentences("content")}) AS sentence, generate_subscripts({_sentences("content")}, 1) AS n FROM nt WHERE regexp_matches(content, '{_REF}')),
+        rf AS (SELECT turn_id, min(n) AS upto FROM se WHERE regexp_matches(sentence, '{_REF}') GROUP BY turn_id),
+        lt AS (SELECT turn_id, arg_max(topic, n) AS near FROM (SELECT turn_id, n, {_topic("sentence")} AS topic FROM se JOIN rf USING (turn_id) WHERE n < upto) WHERE topic IS NOT NULL GROUP BY turn_id),
+        rs0 AS (SELECT ow.*, last_value(own IGNORE NULLS) OVER w AS far, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER w AS last_user,
+                       coalesce(lag(role = 'assistant' AND (unk OR contains(content, '{WEB_OFFER}'))) OVER (PARTITION BY conv_id ORDER BY turn), false) AS offered
+                FROM ow WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {DEFAULTS.history_messages} PRECEDING AND 1 PRECEDING)),
+        rs AS (SELECT rs0.*, CASE WHEN coalesce(near, far) IS NOT NULL AND regexp_matches(content, '{_REF}') THEN regexp_replace(content, '{_REF}', coalesce(near, far), 'g') ELSE content END AS question
+               FROM rs0 LEFT JOIN lt USING (turn_id))"""
+
+_BARE = f"regexp_replace(regexp_replace(content, '{_WS}+', '', 'g'), '[，。！？!?、；;]+', '', 'g')"
+_AGREES = (
+    f"({_BARE} IN ({', '.join(repr(w) for w in DEFAULTS.consents)}) OR ("
+    + " OR ".join(f"starts_with({_BARE}, '{w}')" for w in DEFAULTS.consent_starts)
+    + f") AND length({_BARE}) <= 12)"
+)
 
 
 def _any(c: str, words) -> str:
     return "(" + " OR ".join(f"contains(coalesce({c}, ''), '{w}')" for w in words) + ")"
 
 
+#: The entities that stand in the given results; the ampersand last.
+_ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&hellip;", "…"), ("&amp;", "&"))
+
+
+def _replaced(c: str, rules) -> str:
+    for a, b in rules:
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+def _classes(c) -> str:
+    aliases = " ".join(f"WHEN contains(question, '{a}') THEN '{t}'" for a, t in c.tier_aliases)
+    return f"""question_id, {_any("question", c.list_words)} AS is_list, {_any("question", c.list_words + c.summary_words)} AS is_summary, {_any("question", c.summary_words)} AS is_summary_style,
+        {_any("question", c.report_words)} AS is_report, {_any("question", c.other_words + c.other_markers)} AS wants_other, CASE WHEN {_any("question", c.regions)} THEN NULL {aliases} END AS tier_found"""
+
+
+_LOCAL = f"""
+        lf0 AS (SELECT source, bool_or(coalesce(tier, '') <> '{TABLES.other_tier}') AS in_tier, bool_or({_any("text", TABLES.other_markers)}) AS other, bool_or({_any("text", TABLES.local_markers)}) AS home
+                FROM blocks WHERE source <> '' GROUP BY source),
+        loc AS (SELECT source FROM lf0 WHERE NOT {_any("source", TABLES.other_markers)} AND (in_tier OR NOT (other AND NOT home)))"""
+
+_NAMED = f"""
+        qt AS (SELECT question_id, regexp_replace(unnest(regexp_extract_all(question, '《([^》]+)》', 1)), '{_WS}+', '', 'g') AS title FROM questions),
+        fn AS (SELECT DISTINCT source, regexp_replace(regexp_replace(source, '{T.NAME_SUFFIX}', ''), '{_WS}+', '', 'g') AS name FROM source_files),
+        named AS (SELECT DISTINCT question_id, source FROM qt JOIN fn ON contains(name, title) OR contains(title, name) WHERE title <> '' AND name <> '')"""
+
+
 def _clean(c: str) -> str:
-    for entity, sign in T.ENTITIES:
+    for entity, sign in _ENTITIES:
         c = f"replace({c}, '{entity.replace(chr(39), chr(39) * 2)}', '{sign.replace(chr(39), chr(39) * 2)}')"
-    return f"trim(regexp_replace(regexp_replace({c}, '<[^>]*>', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '{_WS}+', ' ', 'g'))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -347,7 +434,6 @@ def oracle_sql() -> dict[str, str]:
     heading, top = c.heading, c.top_heading
     lined = f"ln AS (SELECT doc_id, unnest({lines}) AS line, generate_subscripts({lines}, 1) AS line_no FROM documents WHERE text IS NOT NULL)"
     current = "cb AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY source, block_seq, text ORDER BY block_id) = 1)"
-    aliases = " ".join(f"WHEN contains(question, '{a}') THEN '{t}'" for a, t in c.tier_aliases)
     rank = "CASE engine " + " ".join(f"WHEN '{e}' THEN {i}" for i, e in enumerate(c.engines)) + f" ELSE {len(c.engines)} END"
     files = "lf AS (SELECT * FROM source_files QUALIFY row_number() OVER (PARTITION BY source ORDER BY loaded_at DESC, rel_path, n_blocks) = 1)"
     return {
@@ -410,24 +496,19 @@ def oracle_sql() -> dict[str, str]:
                OR EXISTS (SELECT 1 FROM hs WHERE hs.question_id = rows.question_id AND hs.source = rows.source AND hs.section = rows.section)
             QUALIFY position <= {c.summary_retrieve_limit}""",
         "answer_contexts": f"""
-            WITH {_bm25(False)}, pc AS (SELECT question_id, rank, source, source || CASE WHEN page IS NULL THEN '' ELSE ' p.' || page::VARCHAR END ||
-                   CASE WHEN coalesce(tier, '') || coalesce(section, '') = '' THEN '' ELSE ' [' || concat_ws('/', nullif(tier, ''), nullif(section, '')) || ']' END || chr(10) || coalesce(text, '') AS piece
+            WITH {_bm25(False)}, pc AS (SELECT question_id, rank, source, '[来源: ' || coalesce(source, '未知来源') || CASE WHEN page IS NULL THEN '' ELSE '（第 ' || page::VARCHAR || ' 页）' END ||
+                   CASE WHEN coalesce(tier, '') || coalesce(section, '') = '' THEN '' ELSE '【' || concat_ws('】【', nullif(tier, ''), nullif(section, '')) || '】' END || ']' || chr(10) || coalesce(text, '') AS piece
                    FROM bm JOIN blocks USING (block_id)),
             pf AS (SELECT question_id, source, min(rank) AS pos FROM pc GROUP BY ALL), ps AS (SELECT question_id, string_agg(source, '|' ORDER BY pos) AS sources FROM pf GROUP BY ALL)
             SELECT question_id, CAST(length(string_agg(piece, chr(10) || chr(10) ORDER BY rank)) AS INTEGER) AS n_chars, any_value(sources) AS sources FROM pc JOIN ps USING (question_id) GROUP BY question_id""",
         "scope_filter": "SELECT block_id, source FROM blocks WHERE coalesce(tier, '') = '市级政策'",
-        "question_classes": f"""
-            SELECT question_id, {_any("question", c.list_words)} AS is_list, {_any("question", c.list_words + c.summary_words)} AS is_summary, {_any("question", c.report_words)} AS is_report,
-                   {_any("question", ("其他地区", *c.other_markers))} AS wants_other, CASE {aliases} END AS tier_found FROM questions""",
-        "local_sources": f"""
-            WITH f AS (SELECT source, bool_or(coalesce(tier, '') <> '{c.other_tier}') AS in_tier, bool_or({_any("text", c.other_markers)}) AS other, bool_or({_any("text", c.local_markers)}) AS loc
-                       FROM blocks WHERE source <> '' GROUP BY source)
-            SELECT source FROM f WHERE NOT {_any("source", c.other_markers)} AND (in_tier OR NOT (other AND NOT loc))""",
-        "named_files": f"""
-            WITH a AS (SELECT question_id, regexp_replace(unnest(regexp_extract_all(question, '《([^》]+)》', 1)), '{_WS}+', '', 'g') AS title FROM questions),
-            n AS (SELECT DISTINCT source, regexp_replace(regexp_replace(source, '(?i)\\.(pdf|docx?|wps|txt|md|csv|xlsx?|xlsm|pptx?|html?|rtf)$', ''), '{_WS}+', '', 'g') AS name FROM source_files),
-            t AS (SELECT source, name AS title FROM n UNION SELECT source, regexp_replace(regexp_extract(name, '关于印发(.+)的通知$', 1), '[《》]', '', 'g') FROM n)
-            SELECT DISTINCT question_id, source FROM a JOIN t USING (title) WHERE title <> ''""",
+        "question_classes": f"SELECT {_classes(c)} FROM questions",
+        "local_sources": f"WITH {_LOCAL} SELECT source FROM loc",
+        "named_files": f"WITH {_NAMED} SELECT question_id, source FROM named",
+        "scoped_sources": f"""
+            WITH {_NAMED}, {_LOCAL}, k AS (SELECT {_classes(c)} FROM questions),
+            own AS (SELECT question_id, source FROM named SEMI JOIN (SELECT question_id FROM k WHERE tier_found IS NULL AND NOT wants_other) USING (question_id) SEMI JOIN loc USING (source))
+            SELECT question_id, source FROM own UNION ALL SELECT question_id, source FROM named ANTI JOIN own USING (question_id)""",
         "history_window": f"""
             WITH {_TURNS}, b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM nt)
             SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS position, role, content FROM b WHERE back <= {c.history_messages}""",
@@ -435,22 +516,33 @@ def oracle_sql() -> dict[str, str]:
             WITH {_TURNS}, n AS (SELECT *, lead(role) OVER o AS nr, lead(unk) OVER o AS nu FROM nt WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
             SELECT conv_id, turn, role, content FROM n WHERE (role = 'assistant' AND NOT unk) OR (role = 'user' AND (nr IS NULL OR (nr = 'assistant' AND NOT nu)))""",
         "history_topics": f"""
-            WITH {_TURNS}, l AS (SELECT conv_id, content FROM nt WHERE role = 'user' AND NOT regexp_matches(content, '{_REF}') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)
-            SELECT conv_id, {_TOPIC} AS topic FROM l""",
-        "resolved_questions": f"""
-            WITH {_TURNS}, u AS (SELECT conv_id, turn, content, CASE WHEN NOT regexp_matches(content, '{_REF}') THEN {_TOPIC} END AS own FROM nt WHERE role = 'user'),
-            t AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS topic FROM u)
-            SELECT conv_id, turn, CASE WHEN topic IS NOT NULL AND regexp_matches(content, '{_REF}') THEN regexp_replace(content, '{_REF}', topic, 'g') ELSE content END AS question FROM t""",
+            WITH {_TURNS}, {_RESOLVED}, l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM ow)
+            SELECT conv_id, arg_max(own, turn) AS topic FROM l WHERE back <= {c.history_messages} AND own IS NOT NULL GROUP BY conv_id""",
+        "resolved_questions": f"WITH {_TURNS}, {_RESOLVED} SELECT conv_id, turn, question FROM rs WHERE role = 'user'",
+        "conversation_queries": f"""
+            WITH {_TURNS}, {_RESOLVED} SELECT conv_id, turn, 1 AS position, question AS query FROM rs WHERE role = 'user'
+            UNION ALL SELECT conv_id, turn, 2, last_user || ' ' || question FROM rs WHERE role = 'user' AND last_user IS NOT NULL""",
         "pending_consent": f"""
-            WITH {_TURNS}, b AS (SELECT *, lag(role) OVER o AS pr, lag(unk) OVER o AS pu, regexp_replace(regexp_replace(content, '{_WS}+', '', 'g'), '[，。！？、；：,.!?;:]', '', 'g') AS t FROM nt WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
-            SELECT conv_id, turn, ({" OR ".join(f"starts_with(t, '{w}')" for w in c.consent_words)}) AND length(t) <= 12 AS consents FROM b WHERE role = 'user' AND pr = 'assistant' AND pu""",
+            WITH {_TURNS}, b AS (SELECT *, lag(role) OVER o AS pr, lag(unk) OVER o AS pu FROM nt WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+            SELECT conv_id, turn, {_AGREES} AS consents FROM b WHERE role = 'user' AND pr = 'assistant' AND pu""",
+        "web_searches": f"""
+            WITH {_TURNS}, {_RESOLVED}, a AS (SELECT *, {_AGREES} AS agrees, regexp_replace(regexp_replace(question, '{SEARCH_STRIP}', ''), '^[，。！？!?、 \\t\\r\\n]+|[，。！？!?、 \\t\\r\\n]+$', '', 'g') AS rest FROM rs)
+            SELECT conv_id, turn, CASE WHEN agrees THEN coalesce(last_user, '') WHEN rest <> '' THEN rest ELSE question END AS query
+            FROM a WHERE role = 'user' AND ({_any("content", c.search_words)} OR agrees AND offered)""",
+        "answers_from_history": f"""
+            WITH {_TURNS}, b AS (SELECT * FROM nt QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {c.history_messages}),
+            k AS (SELECT conv_id, arg_max(content, turn) AS answer FROM b WHERE role = 'assistant' AND NOT unk GROUP BY conv_id),
+            e AS (SELECT conv_id, turn, unnest(sources) AS source, generate_subscripts(sources, 1) AS pos FROM b WHERE role = 'assistant'),
+            f AS (SELECT conv_id, source, min(turn * 100000 + pos) AS m FROM e WHERE trim(source) <> '' GROUP BY ALL),
+            g AS (SELECT conv_id, string_agg(source, '|' ORDER BY m) AS sources FROM f GROUP BY conv_id)
+            SELECT conv_id, answer, coalesce(sources, '') AS sources FROM k LEFT JOIN g USING (conv_id)""",
         "history_sources": f"""
             WITH {_TURNS}, e AS (SELECT conv_id, turn, unnest(sources) AS source, generate_subscripts(sources, 1) AS pos FROM nt WHERE role = 'assistant'),
             f AS (SELECT conv_id, source, min(turn * 100000 + pos) AS m FROM e WHERE source <> '' GROUP BY ALL)
             SELECT conv_id, source, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY m, source) AS INTEGER) AS position FROM f""",
         "transcripts": f"""
             WITH {_TURNS}, b AS (SELECT * FROM nt QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {c.history_messages})
-            SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Q: ' ELSE 'A: ' END || content, chr(10) ORDER BY turn) AS history FROM b GROUP BY conv_id""",
+            SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '用户：' ELSE '助手：' END || content, chr(10) ORDER BY turn) AS history FROM b GROUP BY conv_id""",
         "turn_activity": """
             WITH t AS (SELECT * FROM turns WHERE conv_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY turn_id) = 1)
             SELECT date_trunc('hour', asked_at)::TIMESTAMP AS hour, lower(role) AS role, count(*) AS turns FROM t GROUP BY ALL""",
@@ -461,7 +553,7 @@ def oracle_sql() -> dict[str, str]:
                    replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS line FROM l""",
         "sanitized_answers": f"""
             WITH {_TURNS} SELECT turn_id, array_to_string(list_transform(regexp_extract_all(content, '《[^》]*》|[^《]+|《'), lambda x:
-                   CASE WHEN starts_with(x, '《') AND ends_with(x, '》') THEN x ELSE replace(replace(x, '数据', '数 据'), '2021年', '去年') END), '') AS content FROM nt WHERE role = 'assistant'""",
+                   CASE WHEN starts_with(x, '《') AND ends_with(x, '》') THEN x ELSE {_replaced("x", c.sanitize_rules)} END), '') AS content FROM nt WHERE role = 'assistant'""",
         "answer_sentences": f"""
             WITH {_TURNS}, s AS (SELECT turn_id, list_filter(list_transform(regexp_split_to_array(content, '[{T.SENTENCE_MARKS}\\n]+'), lambda x: {_strip("x")}), lambda x: x <> '') AS ss FROM nt)
             SELECT turn_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS sentence_no, unnest(ss) AS sentence FROM s""",

@@ -6,10 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+Made = TypeVar("Made")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
@@ -19,16 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for cut lineage: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a folder of this machine
-    is made and set.
+    Where the session names none a folder of this machine is made and set if the
+    master is local; a cluster without one raises, because its executors could not
+    read each other's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def _new_path(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), f"quire-{spark.sparkContext.applicationId}", uuid.uuid4().hex)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -36,11 +47,44 @@ def cut(df: DataFrame) -> DataFrame:
     costs nothing and a result that is used several times is computed once.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"quire-{uuid.uuid4().hex}")
+    path = _new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str, buckets: int, order: str) -> DataFrame:
+    """Write ``df`` bucketed by ``key``, so that sums and joins by it need no shuffle.
+
+    Rows should already be partitioned by the key into as many parts.
+    """
+    spark = df.sparkSession
+    name = f"quire_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(order).option("path", _new_path(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
+_MADE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, key: tuple, make: Callable[[], Made]) -> Made:
+    """What `make` gives, made once an application: an index that several queries read."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder; results read from it end."""
+    for key in [k for k in _MADE if k[0] == spark.sparkContext.applicationId]:
+        del _MADE[key]
+    for t in spark.catalog.listTables():
+        if t.name.startswith("quire_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), f"quire-{spark.sparkContext.applicationId}"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 

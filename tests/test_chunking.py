@@ -12,7 +12,7 @@ def fold(rows, size, overlap):
 
     def flush(keep):
         nonlocal items
-        out.append((seg, "\n".join(t for t, _ in items)))
+        out.append((seg, "\n".join(t for t, _ in items).strip()))
         kept, n = [], 0
         for t, s in reversed(items):
             if not keep or n + len(t) > overlap:

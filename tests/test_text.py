@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire.config import EngineConfig
 from quire.functions import text as T
 from quire.functions.prefix import running_sum
-from quire.operators import dense, dialog, ranking, scope
+from quire.operators import dense, dialog, ranking, scope, web
 
 
 def one(spark, expr, **cols):
@@ -60,7 +60,7 @@ TURNS = "turn_id bigint, conv_id bigint, turn int, role string, content string,
 def test_dialogue(spark):
     rows = [
         (1, 1, 0, "USER", "《甲》的条件是什么？", [], None),
-        (2, 1, 1, "assistant", "不知道", ["s"], True),
+        (2, 1, 1, "assistant", "我还不懂这些，你可以换个问法 再问一次。", ["s"], None),
         (3, 1, 2, "user", "好的", None, None),
         (4, 1, 3, "assistant", "答", ["t", "s", "t", None], False),
         (5, 1, 4, "user", "它的依据呢？", [], None),
@@ -71,7 +71,7 @@ def test_dialogue(spark):
     ]
     t = spark.createDataFrame(rows, TURNS)
     assert {(r["conv_id"], r["turn"]) for r in dialog.without_unknown(t).collect()} == {(1, 2), (1, 3), (1, 4), (3, 0)}
-    assert {(r["conv_id"], r["turn"]): r["question"] for r in dialog.resolved(t).collect()}[1, 4] == "好的的依据呢？"
+    assert {(r["conv_id"], r["turn"]): r["question"] for r in dialog.resolved(t).collect()}[1, 4] == "甲的依据呢？"
     assert {(r["conv_id"], r["turn"]): r["question"] for r in dialog.resolved(t).collect()}[3, 0] == "它呢？"
     assert [(r["turn"], r["consents"]) for r in dialog.pending_consent(t).collect()] == [(2, True)]
     assert [r["source"] for r in dialog.history_sources(t).filter("conv_id = 1").orderBy("position").collect()] == ["s", "t"]
@@ -91,11 +91,80 @@ def test_scope_and_settings(spark):
 
 
 def test_files_naming(spark):
-    from quire.operators import scope
+    asked = spark.createDataFrame([(1, "《数据 条例》和《城市名册2021》讲什么？"), (2, "没有书名"), (3, "《 》《甲》"), (4, None)], "question_id int, question string")
+    files = spark.createDataFrame([("市政府关于数据条例的公告.pdf",), ("名册.docx",), ("别的.pdf",), (None,), ("",), ("数据条例.jpg",), (".pdf",), ("甲.txt",), ("甲.txt",)], "source string")
+    assert sorted(tuple(r) for r in scope.named_files(asked, files).collect()) == [(1, "名册.docx"), (1, "市政府关于数据条例的公告.pdf"), (1, "数据条例.jpg"), (3, "甲.txt")]
+    assert scope.named_files(asked, files.limit(0)).count() == 0
+
+
+def test_sources_in_scope(spark):
+    """Named files that are local; all named ones if none is; with a tier whatever is named."""
+    named = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, "a"), (3, "b")], "question_id int, source string")
+    local = spark.createDataFrame([("a",), ("z",)], "source string")
+    classes = spark.createDataFrame([(1, None, False), (2, None, False), (3, "省级政策", False), (4, None, False)], "question_id int, tier_found string, wants_other boolean")
+    assert sorted(map(tuple, scope.scoped_sources(named, local, classes).collect())) == [(1, "a"), (2, "b"), (3, "a"), (3, "b")]
+
+
+def test_tiers(spark):
+    cases = {"国家级补助": "国家政策", "全市有哪些": "市级政策", "省级和市级": "省级政策", "深圳的市级补助": None, "其他地区政策": "其他地区政策", "补助": None}
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(cases)], "question_id int, question string")
+    got = {r["question_id"]: r for r in scope.question_classes(df).collect()}
+    assert [got[i]["tier_found"] for i in range(len(cases))] == list(cases.values())
+    assert got[1]["is_list"] and got[1]["is_summary"] and not got[1]["is_summary_style"] and got[3]["wants_other"]
+
+
+def test_topics(spark):
+    cases = {
+        "数字孪生是什么？": "数字孪生",
+        "《甲 办法》和《乙办法》呢": "乙办法",
+        "关于数据标注基地有什么期望吗？": "数据标注基地",
+        "可信数据空间在哪些园区试点？另一句": "可信数据空间",
+        "什么？": None,
+        "吗": None,
+        "": None,
+    }
+    df = spark.createDataFrame([(q,) for q in cases], "q string")
+    got = {r["q"]: r["t"] for r in df.select("q", T.topic(F.col("q")).alias("t")).collect()}
+    assert {q: got[q] for q in cases} == cases
+
+
+def test_referents_of_the_same_message(spark):
+    """A topic before the word that refers to it comes first, an earlier turn's only after it."""
+    rows = [
+        (1, 1, 0, "user", "数字孪生是什么？", None, None),
+        (2, 1, 1, "user", "算力券是什么？它的期限呢？", None, None),
+        (3, 1, 2, "user", "这个政策什么时候失效？", None, None),
+        (4, 1, 3, "user", "上述内容", None, None),
+    ]
+    got = {r["turn"]: r["question"] for r in dialog.resolved(spark.createDataFrame(rows, TURNS)).collect()}
+    assert got[1] == "算力券是什么？算力券的期限呢？" and got[2] == "数字孪生什么时候失效？" and got[3] == "数字孪生"
+    asked = {(r["turn"], r["position"]): r["query"] for r in dialog.conversation_queries(spark.createDataFrame(rows, TURNS)).collect()}
+    assert asked[0, 1] == "数字孪生是什么？" and (0, 2) not in asked and asked[2, 2] == "算力券是什么？它的期限呢？ 数字孪生什么时候失效？"
 
-    asked = spark.createDataFrame([(1, "《数据 条例》和《城市名册2021》讲什么？"), (2, "没有书名")], "question_id int, question string")
-    files = spark.createDataFrame([("市政府关于数据条例的公告.pdf",), ("名册.docx",), ("别的.pdf",), (None,), ("",)], "source string")
-    assert {tuple(r) for r in scope.files_naming(asked, files).collect()} == {(1, "市政府关于数据条例的公告.pdf"), (1, "名册.docx")}
+
+def test_web_searches(spark):
+    unknown = "我还不懂这些，你可以换个问法再问一次。"
+    rows = [
+        (1, 1, 0, "user", "算力券的期限？", None, None), (2, 1, 1, "assistant", unknown, None, None), (3, 1, 2, "user", "好的，联网吧", None, None),
+        (4, 2, 0, "user", "帮我搜索一下算力券的期限。", None, None), (5, 3, 0, "user", "好的", None, None), (6, 4, 0, "assistant", "要。需要我帮你联网搜索相关的答案吗？", None, None), (7, 4, 1, "user", "行", None, None),
+    ]
+    got = {(r["conv_id"], r["turn"]): r["query"] for r in dialog.web_searches(spark.createDataFrame(rows, TURNS)).collect()}
+    assert got == {(1, 2): "算力券的期限？", (2, 0): "算力券的期限", (4, 1): ""}
+    past = {r["conv_id"]: (r["answer"], r["sources"]) for r in dialog.answers_from_history(spark.createDataFrame([*rows, (8, 5, 0, "assistant", "答", ["b", "a"], None), (9, 5, 1, "assistant", unknown, ["c", "b"], None)], TURNS)).collect()}
+    assert past[5] == ("答", ["b", "a", "c"]) and 1 not in past
+
+
+def test_captured_results(spark):
+    rss = "<rss><channel><title>x</title><item><title>甲 &amp;lt;b&amp;gt;乙</title><link>https://a.example/1?x=1&amp;y=2</link><description>&lt;p&gt;摘 要&lt;/p&gt;</description></item><item><title>无</title><link>ftp://b</link></item></channel></rss>"
+    listed = '<ol><li class="b_algo"><h2 x><a t href="https://c.example">标&nbsp;题<b>!</b></a></h2><div><p c>摘要&hellip;</p></div></li>\n<li class="b_algo"><h2><a href="javascript:x">no</a></h2></li></ol>'
+    headed = '<h3 class="v"> <a x href="http://d.example">一</a></h3><h3><a href="http://e.example"> </a></h3>'
+    boxed = '<body><div class="r c-container"><h3 t><a k href="https://f.example">二</a></h3><span class="content-right_1">文</span></div><div class="c-container x"><h3><a href="https://g.example">三</a></h3></div></body>'
+    rows = [("q", k, k, p) for k, p in (("rss", rss), ("listed", listed), ("headed", headed), ("boxed", boxed))] + [("q", "rss", "rss", "<broken"), ("q", "rss", "rss", None), ("q", "x", "other", "x")]
+    got = sorted(tuple(r) for r in web.parsed(spark.createDataFrame(rows, "query_text string, engine string, kind string, payload string")).collect())
+    assert got == sorted([
+        ("q", "rss", 1, "甲 乙", "https://a.example/1?x=1&y=2", "摘 要"), ("q", "listed", 1, "标 题 !", "https://c.example", "摘要…"),
+        ("q", "headed", 1, "一", "http://d.example", ""), ("q", "boxed", 1, "二", "https://f.example", "文"), ("q", "boxed", 2, "三", "https://g.example", ""),
+    ])
 
 
 def test_sources_completed_by_paths(spark):
