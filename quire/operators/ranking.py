@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.config import DEFAULTS, EngineConfig
+from quire.config import DEFAULTS, SECTION_STOPWORDS, EngineConfig
 from quire.functions import text as T
 
 
@@ -33,29 +33,44 @@ def relevant_only(hits: DataFrame, dense: DataFrame, keys: list[str]) -> DataFra
     return hits.join(dense.select(*keys), keys, "left_semi")
 
 
-def section_hits(sections: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """(`question_id`, `block_id`, `weight`, `rank`): sections that contain parts of a question.
+def _section_grams(c: Column) -> Column:
+    runs = F.regexp_extract_all(c, F.lit(r"[\x{4E00}-\x{9FFF}]+|[A-Za-z0-9]{2,}"), F.lit(0))
+    cut_ = lambda n: F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[A-Za-z0-9]"), F.array(r) if n == 2 else F.array().cast("array<string>")).when(F.length(r) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.substr(r, i, F.lit(n))))))
+    return F.array_distinct(F.concat(cut_(2), cut_(3)))
+
+
+def section_weights(sections: DataFrame, questions: DataFrame) -> DataFrame:
+    """(`question_id`, `section`, `weight`): sections that contain parts of a question.
 
     Every run of two and three ideographs or word of a question that stands in a
-    section adds the square of its length. Runs meet sections on equal strings (an
-    inverted join), the section's once each, never all against all.
+    section adds the square of its length; words that only ask count for nothing.
+    Runs meet sections on equal strings (an inverted join), each section once, never
+    all against all.
     """
+    asked = questions.select("question_id", F.explode(_section_grams(F.col("question"))).alias("gram")).filter(~F.col("gram").isin(*SECTION_STOPWORDS))
+    names = sections.filter("section IS NOT NULL AND section <> ''").select("section").distinct()
+    names = names.select("section", F.explode(_section_grams(F.col("section"))).alias("gram"))
+    return asked.join(names, "gram").groupBy("question_id", "section").agg(F.sum(F.length("gram") * F.length("gram")).alias("weight"))
 
-    def grams(c):
-        runs = F.regexp_extract_all(c, F.lit(r"[\x{4E00}-\x{9FFF}]+|[A-Za-z0-9]{2,}"), F.lit(0))
-        cut_ = lambda n: F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[A-Za-z0-9]"), F.array(r) if n == 2 else F.array().cast("array<string>")).when(F.length(r) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.substr(r, i, F.lit(n))))))
-        return F.array_distinct(F.concat(cut_(2), cut_(3)))
 
-    asked = questions.select("question_id", F.explode(grams(F.col("question"))).alias("gram"))
-    names = sections.filter("section IS NOT NULL AND section <> ''").select("section").distinct()
-    names = names.select("section", F.explode(grams(F.col("section"))).alias("gram"))
-    weights = asked.join(names, "gram").groupBy("question_id", "section").agg(F.sum(F.length("gram") * F.length("gram")).alias("weight"))
+def section_hits(sections: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(`question_id`, `block_id`, `weight`, `rank`): the k blocks whose sections weigh most for a question."""
+    weights = section_weights(sections, questions)
     # blocks of one section weigh the same, so only its first k can be among the best
     within = W.partitionBy("section").orderBy("block_id")
     first = sections.select("block_id", "section").withColumn("n", F.row_number().over(within)).filter(F.col("n") <= k).drop("n")
-    hits = weights.join(first, "section").select("question_id", "block_id", "weight")
-    best = W.partitionBy("question_id").orderBy(F.desc("weight"), "block_id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return top(weights.join(first, "section").select("question_id", "block_id", "weight"), ["question_id"], "weight", "block_id", k)
+
+
+def numbered(rows: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """Adds `position` from 1 within groups."""
+    return rows.withColumn("position", F.row_number().over(W.partitionBy(*groups).orderBy(*order)))
+
+
+def top(rows: DataFrame, groups: list[str], score: str, tie: str, k: int) -> DataFrame:
+    """The k rows of the highest score in each group, with `rank`; ties go to the lower `tie`."""
+    best = W.partitionBy(*groups).orderBy(F.desc(score), tie)
+    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def expand_small_sources(hits: DataFrame, chunks: DataFrame, limit: int, config: EngineConfig = DEFAULTS) -> DataFrame:
@@ -75,37 +90,43 @@ def expand_small_sources(hits: DataFrame, chunks: DataFrame, limit: int, config:
 
 
 def complete_sources(hits: DataFrame, chunks: DataFrame, limit: int, config: EngineConfig = DEFAULTS) -> DataFrame:
-    """All blocks of the sources that were hit, sources by first hit, up to a limit.
+    """(`question_id`, `block_id`, `position`): all blocks of the sources that were hit, sources by first hit, up to a limit.
+
+    `chunks` has `block_id`, `source`, `page`, `path`, `section` and `text`. A source
+    with more blocks than `summary_full_source_max` gives only blocks whose path
+    begins with the path of a hit in it or begins one; if no hit in it has a path, all.
+    Blocks without a path always count. Within a source blocks go by page (none last),
+    path, section and text, then id.
 
-    A source with more blocks than `summary_full_source_max` gives only blocks whose
-    section is one that was hit, or that have none. Where chunks have a `path`, it
-    decides instead: a path that begins with a hit's path or begins one stays.
+    Large sources are narrowed by their distinct paths, and blocks then meet what is
+    left on equality; only sources within the gate meet hits whole.
     """
-    if "path" in chunks.columns:
-        chunks = chunks.withColumn("section", F.trim("path"))
-    found = hits.join(chunks.select("block_id", "source", "section"), "block_id").withColumn("section", F.coalesce("section", F.lit("")))
-    first = found.groupBy("question_id", "source").agg(F.min("rank").alias("first_hit"))
+    chunks = chunks.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("path", "section")}).filter("source IS NOT NULL")
+    found = hits.join(chunks.select("block_id", "source", "path"), "block_id")
+    first = found.groupBy("question_id", "source").agg(F.min("rank").alias("first_hit"), F.collect_set(F.when(F.col("path") != "", F.col("path"))).alias("hits"))
     sizes = chunks.groupBy("source").agg(F.count("*").alias("n"))
     first = first.join(sizes, "source")
-    whole = chunks.select("block_id", "source", "page", "block_seq", F.coalesce("section", F.lit("")).alias("section"))
-    # no more than the first `limit` blocks of a section of a source can be kept
-    place = (F.col("page").isNull(), F.coalesce("page", F.lit(0)), "block_seq", "block_id")
-    whole = whole.withColumn("k", F.row_number().over(W.partitionBy("source", "section").orderBy(*place))).filter(F.col("k") <= limit).drop("k")
-    hit_sections = found.filter("section <> ''").select("question_id", "source", "section").distinct()
-    has = hit_sections.select("question_id", "source").distinct().withColumn("narrow", F.lit(True))
-    rows = first.join(has, ["question_id", "source"], "left").join(whole, "source")
-    if "path" in chunks.columns:  # the hit paths of a question in a source are no more than its hits
-        paths = hit_sections.groupBy("question_id", "source").agg(F.collect_set("section").alias("hits"))
-        under = F.exists("hits", lambda h: F.col("section").startswith(h) | h.startswith(F.col("section")))
-        rows = rows.join(paths, ["question_id", "source"], "left").withColumn("hit", F.coalesce(under, F.lit(False)))
-    else:
-        ok = hit_sections.withColumn("hit", F.lit(True))
-        rows = rows.join(ok, ["question_id", "source", "section"], "left")
-    rows = rows.filter((F.col("n") <= config.summary_full_source_max) | F.col("narrow").isNull() | (F.col("section") == "") | F.col("hit"))
+    place = (F.col("page").isNull(), F.coalesce("page", F.lit(0)), "path", "section", F.coalesce("text", F.lit("")), "block_id")
+    kept = ["question_id", "first_hit", "source", "block_id", "page", "path", "section", "text"]
+    small = first.filter(F.col("n") <= config.summary_full_source_max).join(chunks, "source").select(*kept)
+    large = first.filter(F.col("n") > config.summary_full_source_max)
+    under = F.exists("hits", lambda h: F.col("path").startswith(h) | h.startswith(F.col("path")))
+    paths = large.join(chunks.select("source", "path").distinct(), "source").filter((F.size("hits") == 0) | under)
+    # no more than the first `limit` blocks of a path of a source can be kept
+    heads = chunks.withColumn("_k", F.row_number().over(W.partitionBy("source", "path").orderBy(*place))).filter(F.col("_k") <= limit).drop("_k")
+    rows = small.unionByName(paths.select("question_id", "first_hit", "source", "path").join(heads, ["source", "path"]).select(*kept))
     order = W.partitionBy("question_id").orderBy("first_hit", "source", *place)
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("question_id", "block_id", "position")
 
 
+def append_new(hits: DataFrame, more: DataFrame, limit: int) -> DataFrame:
+    """(`question_id`, `block_id`, `position`): hits in order, then what `more` (by `rank`) has beside them."""
+    both = hits.select("question_id", "block_id", F.lit(0).alias("part"), F.col("position").alias("at")).unionByName(more.select("question_id", "block_id", F.lit(1).alias("part"), F.col("rank").alias("at")))
+    first = both.groupBy("question_id", "block_id").agg(F.min(F.struct("part", "at")).alias("m"))
+    order = W.partitionBy("question_id").orderBy("m.part", "m.at", "block_id")
+    return first.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("question_id", "block_id", "position")
+
+
 def contexts(hits: DataFrame, chunks: DataFrame, by: str = "position") -> DataFrame:
     """(`question_id`, `context`, `sources`): labelled texts in order, and sources by first use.
 

@@ -7,8 +7,10 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.config import DEFAULTS, EngineConfig
-from quire.operators import chunking, lexical, ranking, scope
+from quire.config import DEFAULTS, UNKNOWN_ANSWER, WEB_FAILED, WEB_NOTICE, WEB_OFFER, EngineConfig
+from quire.functions import text as T
+from quire.operators import ranking
+from quire.plans.retrieve import Corpus, retrieve
 
 
 class AnswerProvider(Protocol):
@@ -24,35 +26,43 @@ class Extractive:
         return F.get(F.split(F.coalesce(context, F.lit("")), "\n"), F.lit(1))
 
 
-def answers(blocks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAULTS, provider: AnswerProvider | None = None) -> DataFrame:
+def answers(found: Corpus, questions: DataFrame, config: EngineConfig = DEFAULTS, provider: AnswerProvider | None = None, queries: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
     """(`question_id`, `answer`, `sources`, `unknown`) for a batch of questions.
 
-    Summary questions take `summary_floor` hits of each list at least, up to
-    `summary_seed_limit` of them fused, and complete their sources; others take
-    `top_k`, up to `summary_top_k` fused, and are expanded by small sources. A question that names a tier only meets that tier.
-    Lists are fused from texts and sections. Without any hit a question is unknown.
+    What is found (see `retrieve`) becomes a labelled context for the provider, whose
+    answer is made fit to show. A question without hits is answered from `history`
+    (`question_id`, `answer`, `sources`), unless it asks for a report; without that,
+    or with an empty or blank question, it is unknown and offers a search.
     """
     provider = provider or Extractive()
-    classes = scope.question_classes(questions, config)
-    asked = questions.select("question_id", "question").join(classes, "question_id")
-    texts = blocks.select("block_id", "tier", "text")
-    k = max(config.top_k, config.summary_floor)
-    tiered = lexical.bm25(texts.filter("tier IS NOT NULL"), asked.filter("tier_found IS NOT NULL").withColumnRenamed("tier_found", "tier"), "block_id", "question_id", k, ["tier"], config)
-    free = lexical.bm25(texts.drop("tier"), asked.filter("tier_found IS NULL"), "block_id", "question_id", k, config=config)
-    sections = ranking.section_hits(blocks.select("block_id", "section"), questions, k)
-    summary = classes.filter("is_summary").select("question_id")
-    lists = [tiered.unionByName(free), sections]
-    many = ranking.fuse([x.join(summary, "question_id", "left_semi") for x in lists], "question_id", "block_id", config.summary_seed_limit, config)
-    few = ranking.fuse([x.filter(F.col("rank") <= config.top_k).join(summary, "question_id", "left_anti") for x in lists], "question_id", "block_id", config.summary_top_k, config)
-    chunks = blocks.select("block_id", "source", "page", "block_seq", "tier", "section", "text")
-    paths = chunks.select("block_id", "source", "page", "block_seq", "section").join(chunking.section_paths(blocks), "block_id", "left")
-    whole = ranking.complete_sources(many, paths, config.summary_retrieve_limit, config)
-    near = ranking.expand_small_sources(few, chunks, config.retrieve_limit, config)
-    context = ranking.contexts(whole.unionByName(near), chunks)
-    out = questions.select("question_id", "question").join(context, "question_id", "left")
-    return out.select(
-        "question_id",
-        provider.answer(F.col("question"), F.col("context")).alias("answer"),
-        F.coalesce("sources", F.array().cast("array<string>")).alias("sources"),
-        F.col("context").isNull().alias("unknown"),
-    )
+    hits, asked = retrieve(found, questions.filter("trim(question) <> ''"), queries, config)
+    context = ranking.contexts(hits, found.blocks.drop("path"))
+    out = questions.select("question_id", "question").join(context, "question_id", "left").join(asked.select("question_id", "is_report"), "question_id", "left")
+    none = F.array().cast("array<string>")
+    if history is None:
+        out = out.withColumns({"past": F.lit(None).cast("string"), "past_sources": none})
+    else:
+        out = out.join(history.select("question_id", F.col("answer").alias("past"), F.col("sources").alias("past_sources")), "question_id", "left")
+    given = T.outside_titles(provider.answer(F.col("question"), F.col("context")), config.sanitize_rules)
+    past = F.when(~F.coalesce("is_report", F.lit(False)), T.outside_titles(F.col("past"), config.sanitize_rules))
+    answer = F.when(F.col("context").isNotNull(), F.nullif(T.strip(given), F.lit(""))).otherwise(past)
+    sources = F.when(F.col("context").isNotNull(), F.col("sources")).otherwise(F.col("past_sources"))
+    out = out.select("question_id", answer.alias("answer"), sources.alias("sources"))
+    unknown = F.col("answer").isNull() | T.squeeze(F.col("answer")).isin(*["".join(u.split()) for u in config.unknown_answers])
+    return out.select("question_id", F.when(unknown, F.lit(UNKNOWN_ANSWER + WEB_OFFER)).otherwise(F.col("answer")).alias("answer"), F.when(unknown, none).otherwise(F.coalesce("sources", none)).alias("sources"), unknown.alias("unknown"))
+
+
+def web_answers(searches: DataFrame, results: DataFrame, config: EngineConfig = DEFAULTS, provider: AnswerProvider | None = None) -> DataFrame:
+    """(`conv_id`, `turn`, `answer`, `unknown`) of searches on the web (`conv_id`, `turn`, `query`), from merged results.
+
+    Results (`query_text`, `position`, `title`, `url`, `snippet`) become a numbered
+    context; an answer carries a notice that it is no file's content. A search without
+    results or answer is unknown and says that it failed.
+    """
+    provider = provider or Extractive()
+    piece = F.concat(F.col("position").cast("string"), F.lit(". 标题："), "title", F.lit("\n   链接："), "url", F.lit("\n   摘要："), F.coalesce("snippet", F.lit("")))
+    found = results.groupBy(F.col("query_text").alias("query")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", piece.alias("p")))), lambda x: x["p"]), "\n\n").alias("context"))
+    out = searches.join(found, "query", "left")
+    given = F.nullif(T.strip(T.outside_titles(provider.answer(F.col("query"), F.col("context")), config.sanitize_rules)), F.lit(""))
+    unknown = F.col("context").isNull() | given.isNull()
+    return out.select("conv_id", "turn", F.when(unknown, F.lit(WEB_FAILED)).otherwise(F.concat(F.lit(WEB_NOTICE + "\n\n"), given)).alias("answer"), unknown.alias("unknown"))

@@ -8,10 +8,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.config import DEFAULTS, SEARCH_STRIP, TOPIC_ENDS, TOPIC_PARTS, WEB_OFFER
+from quire.config import DEFAULTS, SEARCH_STRIP, SECTION_STOPWORDS, TOPIC_ENDS, TOPIC_PARTS, WEB_OFFER
 from quire.functions import text as T
 from quire.operators import chunking, dense, dialog, index, lexical, ranking, scope, web
-from quire.plans import answer
+from quire.plans import answer, retrieve
 from quire.session import once, table
 from quire.streaming import landing
 
@@ -123,9 +123,23 @@ def section_hits(spark, d):
 # ---------------------------------------------------------------- ranking
 
 
+def _corpus(spark, d):
+    """Blocks with the paths that the table has, their lexical index and their vectors."""
+    return once(spark, ("corpus", d), lambda: retrieve.corpus(table(spark, d, "blocks").withColumn("path", F.col("section_path"))))
+
+
+def _nearest_blocks(spark, d, k):
+    found = _corpus(spark, d)
+    asked = table(spark, d, "questions").select(F.col("question_id").alias("vec_id"), found.embedder.embed(F.col("question")).alias("embedding"))
+    return dense.nearest(found.vectors, asked, k, DEFAULTS.score_threshold).select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("block_id"), "relevance", "rank")
+
+
+def dense_blocks(spark, d):
+    return _nearest_blocks(spark, d, DEFAULTS.top_k)
+
+
 def rank_fusion(spark, d):
-    lists = [bm25_topk(spark, d), section_hits(spark, d)]
-    return ranking.fuse(lists, "question_id", "block_id", DEFAULTS.top_k)
+    return ranking.fuse([bm25_topk(spark, d), dense_blocks(spark, d)], "question_id", "block_id", DEFAULTS.top_k)
 
 
 def round_robin(spark, d):
@@ -133,9 +147,8 @@ def round_robin(spark, d):
 
 
 def relevant_hits(spark, d):
-    v, q = _vectors(spark, d)
-    hits = dense.nearest(v, q, k=DEFAULTS.recheck_depth).select("query_id", "vec_id", "rank")
-    return ranking.relevant_only(hits, dense.nearest(v, q, k=DEFAULTS.top_k, same="label"), ["query_id", "vec_id"])
+    hits = bm25_topk(spark, d).select("question_id", "block_id", "rank")
+    return ranking.relevant_only(hits, _nearest_blocks(spark, d, DEFAULTS.recheck_depth), ["question_id", "block_id"])
 
 
 def small_source_expansion(spark, d):
@@ -143,17 +156,21 @@ def small_source_expansion(spark, d):
 
 
 def source_completion(spark, d):
-    chunks = table(spark, d, "blocks").select("block_id", "source", "page", "block_seq", "section")
+    chunks = table(spark, d, "blocks").select("block_id", "source", "page", F.col("section_path").alias("path"), "section", "text")
     return ranking.complete_sources(bm25_topk(spark, d), chunks, DEFAULTS.summary_retrieve_limit)
 
 
+def retrieved_blocks(spark, d):
+    return retrieve.retrieve(_corpus(spark, d), table(spark, d, "questions"), config=TABLES)[0]
+
+
 def answer_contexts(spark, d):
     chunks = table(spark, d, "blocks").select("block_id", "source", "page", "tier", "section", "text")
     return ranking.contexts(bm25_topk(spark, d).withColumnRenamed("rank", "position"), chunks).select("question_id", F.length("context").alias("n_chars"), F.array_join("sources", "|").alias("sources"))
 
 
 def answered_questions(spark, d):
-    return answer.answers(table(spark, d, "blocks"), table(spark, d, "questions"))
+    return answer.answers(_corpus(spark, d), table(spark, d, "questions"), TABLES)
 
 
 # ---------------------------------------------------------------- scope
@@ -272,8 +289,8 @@ def audit_missing_lines(spark, d):
 
 _ALL: tuple[Query, ...] = (
     file_listing, page_cache_keys, reading_order, block_deduplication, line_explode, block_assembly, section_path, chunk_merge, repeated_lines_collapsed,
-    term_frequencies, bm25_statistics, bm25_topk, bm25_scoped, dense_topk, dense_threshold, dense_scoped, section_hits,
-    rank_fusion, round_robin, relevant_hits, small_source_expansion, source_completion, answer_contexts, answered_questions,
+    term_frequencies, bm25_statistics, bm25_topk, bm25_scoped, dense_topk, dense_threshold, dense_scoped, dense_blocks, section_hits,
+    rank_fusion, round_robin, relevant_hits, small_source_expansion, source_completion, retrieved_blocks, answer_contexts, answered_questions,
     scope_filter, question_classes, local_sources, named_files, scoped_sources,
     history_window, answered_turns, history_topics, resolved_questions, conversation_queries, pending_consent, web_searches, answers_from_history, history_sources, transcripts, turn_activity, answer_lines, sanitized_answers, answer_sentences,
     web_merge, web_query_urls, append_new_sources, audit_counts, audit_missing_lines,
@@ -343,10 +360,34 @@ _GRAMS = """list_distinct(flatten(list_transform(regexp_extract_all({0}, '[\\x{4
 _SECTION = f"""
         qa AS (SELECT question_id, unnest({_GRAMS.replace("{0}", "question")}) AS gram FROM questions),
         sa AS (SELECT section, unnest({_GRAMS.replace("{0}", "section")}) AS gram FROM (SELECT DISTINCT section FROM blocks WHERE section <> '')),
-        sw AS (SELECT question_id, section, sum(length(gram) * length(gram)) AS weight FROM qa JOIN sa USING (gram) GROUP BY ALL),
+        sw AS (SELECT question_id, section, sum(length(gram) * length(gram)) AS weight FROM qa JOIN sa USING (gram) WHERE gram NOT IN ({", ".join(repr(w) for w in SECTION_STOPWORDS)}) GROUP BY ALL),
         sh AS (SELECT question_id, block_id, CAST(weight AS BIGINT) AS weight, row_number() OVER (PARTITION BY question_id ORDER BY weight DESC, block_id) AS rank
                FROM sw JOIN blocks USING (section) QUALIFY rank <= {DEFAULTS.top_k})"""
 
+_VECTOR_TOKENS = """list_distinct(flatten(list_transform(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]+'), lambda r:
+    CASE WHEN regexp_matches(r, '^[a-z0-9]') THEN [r] ELSE list_concat(string_split(r, ''), list_transform(range(1, length(r)), lambda i: substring(r, i, 2))) END)))"""
+
+
+def _vectors_of(name: str, id_: str, text: str, of: str) -> str:
+    """Hashed unit vectors of a text column as rows (`id`, `dim`, `x`), and their squared lengths."""
+    return f"""
+        {name}h AS (SELECT id, ('0x' || substring(md5(tok), 1, 8))::BIGINT AS h FROM (SELECT {id_} AS id, unnest({_VECTOR_TOKENS.replace("{0}", text)}) AS tok FROM {of})),
+        {name}p AS (SELECT id, h % {DEFAULTS.embedding_dimensions} AS dim, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}h GROUP BY ALL),
+        {name}n AS (SELECT id, sqrt(sum(v * v)) AS n FROM {name}p GROUP BY id HAVING sum(v * v) > 0),
+        {name} AS (SELECT id, dim, (v / n)::FLOAT::DOUBLE AS x FROM {name}p JOIN {name}n USING (id) WHERE v <> 0),
+        {name}s AS (SELECT id, sum(x * x) AS s FROM {name} GROUP BY id)"""
+
+
+def _near(k: int, name: str) -> str:
+    return f"""
+        {name} AS (SELECT question_id, block_id, relevance, row_number() OVER (PARTITION BY question_id ORDER BY relevance DESC, block_id) AS rank
+              FROM rel WHERE relevance >= {DEFAULTS.score_threshold} QUALIFY rank <= {k})"""
+
+
+_BLOCK_VECTORS = f"""{_vectors_of("bv", "block_id", "text", "blocks")}, {_vectors_of("qv", "question_id", "question", "questions")},
+        dot AS (SELECT qv.id AS question_id, bv.id AS block_id, sum(qv.x * bv.x) AS dot FROM qv JOIN bv USING (dim) GROUP BY ALL),
+        rel AS (SELECT question_id, block_id, round(1 - greatest(qvs.s + bvs.s - 2 * dot, 0) / sqrt(2), 6) AS relevance FROM dot JOIN qvs ON qvs.id = question_id JOIN bvs ON bvs.id = block_id)"""
+
 _TURNS = f"""
         nt0 AS (SELECT turn_id, conv_id, turn, lower(trim(role)) AS role, {_strip("content")} AS content, sources,
                        coalesce("unknown", false) OR regexp_replace(coalesce(content, ''), '{_WS}+', '', 'g') IN ({", ".join(f"'{u}'" for u in DEFAULTS.unknown_answers)}) AS unk FROM turns),
@@ -468,18 +509,16 @@ def oracle_sql() -> dict[str, str]:
         "dense_threshold": f"WITH {_dense(c.recheck_depth, where=f'WHERE relevance >= {c.score_threshold}')} SELECT query_id, vec_id, relevance, CAST(rank AS INTEGER) AS rank FROM dn",
         "dense_scoped": f"WITH {_dense(c.top_k, 'AND q.label = v.label')} SELECT query_id, vec_id, relevance, CAST(rank AS INTEGER) AS rank FROM dn",
         "section_hits": f"WITH {_SECTION} SELECT question_id, block_id, weight, CAST(rank AS INTEGER) AS rank FROM sh",
+        "dense_blocks": f"WITH {_BLOCK_VECTORS}, {_near(c.top_k, 'nb')} SELECT question_id, block_id, relevance, CAST(rank AS INTEGER) AS rank FROM nb",
         "rank_fusion": f"""
-            WITH {_bm25(False)}, {_SECTION}, u AS (SELECT question_id, block_id, rank FROM bm UNION ALL SELECT question_id, block_id, rank FROM sh),
+            WITH {_bm25(False)}, {_BLOCK_VECTORS}, {_near(c.top_k, "nb")}, u AS (SELECT question_id, block_id, rank FROM bm UNION ALL SELECT question_id, block_id, rank FROM nb),
             f AS (SELECT question_id, block_id, round(sum({c.fusion_weight} / (rank + {c.fusion_constant})), 9) AS score FROM u GROUP BY ALL)
             SELECT question_id, block_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, block_id) AS INTEGER) AS rank FROM f QUALIFY rank <= {c.top_k}""",
         "round_robin": f"""
             WITH {_bm25(False)}, {_SECTION}, u AS (SELECT question_id, block_id, rank, 0 AS turn FROM bm UNION ALL SELECT question_id, block_id, rank, 1 FROM sh),
             f AS (SELECT question_id, block_id, min(rank * 10 + turn) AS pos FROM u GROUP BY ALL)
             SELECT question_id, block_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY pos, block_id) AS INTEGER) AS position FROM f QUALIFY position <= {c.top_k}""",
-        "relevant_hits": f"""
-            WITH {_dense(c.recheck_depth)}, own AS (SELECT query_id, vec_id FROM r JOIN v USING (vec_id) JOIN v AS q ON q.vec_id = r.query_id AND q.label = v.label
-                  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, vec_id) <= {c.top_k})
-            SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM dn SEMI JOIN own USING (query_id, vec_id)""",
+        "relevant_hits": f"WITH {_bm25(False)}, {_BLOCK_VECTORS}, {_near(c.recheck_depth, 'nb')} SELECT question_id, block_id, CAST(rank AS INTEGER) AS rank FROM bm SEMI JOIN nb USING (question_id, block_id)",
         "small_source_expansion": f"""
             WITH {_bm25(False)}, s AS (SELECT source FROM blocks GROUP BY source HAVING count(*) <= {c.small_source_max}),
             f AS (SELECT question_id, bm.block_id, rank, source FROM bm JOIN blocks USING (block_id)),
@@ -487,13 +526,14 @@ def oracle_sql() -> dict[str, str]:
             a AS (SELECT question_id, block_id, min(rank) AS rank FROM u GROUP BY ALL)
             SELECT question_id, block_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY rank, block_id) AS INTEGER) AS position FROM a QUALIFY position <= {c.retrieve_limit}""",
         "source_completion": f"""
-            WITH {_bm25(False)}, f AS (SELECT question_id, rank, source, coalesce(section, '') AS section FROM bm JOIN blocks USING (block_id)),
-            a AS (SELECT question_id, source, min(rank) AS first_hit FROM f GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM blocks GROUP BY source),
-            hs AS (SELECT DISTINCT question_id, source, section FROM f WHERE section <> ''),
-            rows AS (SELECT question_id, block_id, first_hit, source, page, block_seq, n, coalesce(b.section, '') AS section FROM a JOIN n USING (source) JOIN blocks AS b USING (source))
-            SELECT question_id, block_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY first_hit, source, page IS NULL, coalesce(page, 0), block_seq, block_id) AS INTEGER) AS position
-            FROM rows WHERE n <= {c.summary_full_source_max} OR section = '' OR NOT EXISTS (SELECT 1 FROM hs WHERE hs.question_id = rows.question_id AND hs.source = rows.source)
-               OR EXISTS (SELECT 1 FROM hs WHERE hs.question_id = rows.question_id AND hs.source = rows.source AND hs.section = rows.section)
+            WITH {_bm25(False)}, ch AS (SELECT block_id, source, page, trim(coalesce(section_path, '')) AS path, trim(coalesce(section, '')) AS section, coalesce(text, '') AS text FROM blocks WHERE source IS NOT NULL),
+            f AS (SELECT question_id, rank, source, path FROM bm JOIN ch USING (block_id)),
+            a AS (SELECT question_id, source, min(rank) AS first_hit FROM f GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM ch GROUP BY source),
+            hs AS (SELECT DISTINCT question_id, source, path FROM f WHERE path <> ''),
+            rows AS (SELECT question_id, block_id, first_hit, source, page, n, path, section, text FROM a JOIN n USING (source) JOIN ch USING (source))
+            SELECT question_id, block_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY first_hit, source, page IS NULL, coalesce(page, 0), path, section, text, block_id) AS INTEGER) AS position
+            FROM rows WHERE n <= {c.summary_full_source_max} OR NOT EXISTS (SELECT 1 FROM hs WHERE hs.question_id = rows.question_id AND hs.source = rows.source)
+               OR EXISTS (SELECT 1 FROM hs WHERE hs.question_id = rows.question_id AND hs.source = rows.source AND (starts_with(rows.path, hs.path) OR starts_with(hs.path, rows.path)))
             QUALIFY position <= {c.summary_retrieve_limit}""",
         "answer_contexts": f"""
             WITH {_bm25(False)}, pc AS (SELECT question_id, rank, source, '[来源: ' || coalesce(source, '未知来源') || CASE WHEN page IS NULL THEN '' ELSE '（第 ' || page::VARCHAR || ' 页）' END ||
