@@ -106,7 +106,7 @@ def page_blocks(pages: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
     rows = rows.withColumn("text", F.array_join(F.transform("p", lambda x: x["line"]), "\n")).drop("p")
     rows = rows.join(pages.select(*own, "page", F.trim("section").alias("_section"), "section_path", *CARRIED), own)
     first = F.row_number().over(W.partitionBy(*own).orderBy("block_no")) == 1
-    parts = F.filter(F.transform(F.split(F.col("section_path"), ">"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.col("section_path"), ">"), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.withColumn("_first", first).withColumn("seed", F.when(F.col("_first") & (F.size(parts) > 0), parts))
     rows = heading_paths(rows, ["seq", "block_no"], F.struct("seq", F.floor(F.col("block_no") / BUCKET)), config)
     section = F.coalesce("heading", "_section", F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,22 +21,18 @@ def new_rows(incoming: DataFrame, indexed_sources: DataFrame) -> DataFrame:
     return incoming.join(indexed_sources.select("source").distinct(), "source", "left_anti")
 
 
-def append(incoming: DataFrame, path: str, rebuild: bool = False) -> int:
-    """Write an index, or add to it what comes from new sources; returns rows added.
+def append(incoming: DataFrame, path: str) -> int:
+    """Add rows of new sources to a table of rows, which is made if it is not there; returns rows added.
 
-    The anti join is on the listing of sources, before anything is loaded or
-    embedded; rows are written by source.
+    What is added is counted by the write itself.
     """
     spark = incoming.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    if there and not rebuild:
-        indexed = spark.read.parquet(path)
-        before = indexed.count()
-        new_rows(incoming, indexed.select("source")).write.mode("append").parquet(path)
-        return spark.read.parquet(path).count() - before
-    incoming.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).count()
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        incoming = new_rows(incoming, spark.read.parquet(path).select("source"))
+    count = Observation()
+    incoming.observe(count, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return count.get["n"]
 
 
 def audit_counts(files: DataFrame, blocks: DataFrame) -> DataFrame:

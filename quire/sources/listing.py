@@ -14,36 +14,50 @@ from quire.sources import formats
 # Suffixes that have a loader.
 SUPPORTED = (".txt", ".md", ".csv", ".html", ".htm", ".rtf", ".docx", ".doc", ".wps", ".pptx", ".ppt", ".xlsx", ".xlsm")
 
+PAGE_COLUMNS = ("source", "path", "tier", "seq", "page", "slide", "section", "section_path", "ocr", "converted_from", "text", "error")
+_PAGES = "source string, path string, tier string, seq int, page int, slide int, section string, section_path string, ocr boolean, converted_from string, text string, error string"
+
+
+def described(files: DataFrame, root: str) -> DataFrame:
+    """Supported files among rows of (`path`, ...), with `source`, `suffix` and the `tier` their folder names.
+
+    Office lock files (`~$`) are left out.
+    """
+    inside = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    inside = F.replace(inside, F.lit("/" + root.removeprefix("file:").strip("/") + "/"), F.lit(""))
+    rows = files.withColumns({"source": T.basename(F.col("path")), "suffix": T.suffix(F.col("path")), "tier": T.tier_from_path(inside)})
+    return rows.filter(F.col("suffix").isin(*SUPPORTED) & ~F.col("source").startswith("~$"))
+
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(`path`, `source`, `suffix`, `tier`, `length`, `modified_at`, `content`) of supported files.
+    """(`path`, `source`, `suffix`, `tier`, `length`, `modified_at`, `content`) of supported files, by path.
 
-    Office lock files (`~$`) are left out; Spark itself passes over names that
-    begin with a dot or an underscore. Content is read only where it is used.
+    Spark itself passes over names that begin with a dot or an underscore. Content
+    is read only where it is used. A folder without supported files raises.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inside = F.replace(F.col("path"), F.lit(root.rstrip("/") + "/"), F.lit(""))
-    inside = F.regexp_replace(inside, "^file:/*", "")
-    return files.select(
-        "path", T.basename(F.col("path")).alias("source"), T.suffix(F.col("path")).alias("suffix"), T.tier_from_path(inside).alias("tier"), "length", F.col("modificationTime").alias("modified_at"), "content"
-    ).filter(F.col("suffix").isin(*SUPPORTED) & ~F.col("source").startswith("~$"))
+    rows = described(files, root).select("path", "source", "suffix", "tier", "length", F.col("modificationTime").alias("modified_at"), "content")
+    if rows.drop("content").isEmpty():
+        raise FileNotFoundError(f"no supported file in {root}; supported are {', '.join(SUPPORTED)}")
+    return rows
 
 
 def sniff(content: Column) -> Column:
     """What a file's first bytes say it is: ole, zip, rtf, html or text."""
-    head = F.hex(F.substring(content, 1, 16))
-    text = F.lower(F.decode(F.substring(content, 1, 16), "ISO-8859-1"))
+    head = F.substring(content, 1, 16)
+    low = F.lower(F.regexp_replace(F.decode(head, "ISO-8859-1"), r"^[ \t\n\r\x0B\f]+", ""))
+    starts = lambda c, words: F.concat_ws("", *[F.when(c.startswith(w), "1") for w in words]) != ""
     return (
-        F.when(head.startswith("D0CF11E0A1B11AE1"), "ole")
-        .when(head.startswith("504B"), "zip")
-        .when(head.startswith("7B5C727466"), "rtf")
-        .when(F.ltrim(text).rlike("^(<!doctype html|<html|<head|<meta)"), "html")
+        F.when(F.hex(head).startswith(formats.OLE_START.hex().upper()), "ole")
+        .when(starts(F.hex(head), [z.hex().upper() for z in formats.ZIP_STARTS]), "zip")
+        .when(low.startswith("{\\rtf"), "rtf")
+        .when(starts(low, [h.decode() for h in formats.HTML_STARTS]), "html")
         .otherwise("text")
     )
 
 
 def load_pages(files: DataFrame) -> DataFrame:
-    """(`source`, `path`, `tier`, `seq`, `page`, `slide`, `section`, `text`, `error`): pages of files.
+    """PAGE_COLUMNS of the pages of files (`path`, `source`, `suffix`, `tier`, `content`).
 
     Every file is read in a task by the loader of its kind, which its first bytes
     decide where the suffix may lie. A file that cannot be read gives one row with
@@ -57,9 +71,9 @@ def load_pages(files: DataFrame) -> DataFrame:
             for path, source, suffix, tier, kind, content in p.itertuples(index=False):
                 try:
                     pages = formats.load(suffix, kind, bytes(content))
-                    out += [(source, path, tier, i, g.get("page"), g.get("slide"), g.get("section"), g["text"], None) for i, g in enumerate(pages)]
+                    out += [(source, path, tier, i, *(g.get(c) for c in ("page", "slide", "section", "section_path", "ocr", "converted_from")), g["text"], None) for i, g in enumerate(pages)]
                 except Exception as e:  # noqa: BLE001 - any bad file is reported in its row
-                    out.append((source, path, tier, 0, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
-            yield pd.DataFrame(out, columns=["source", "path", "tier", "seq", "page", "slide", "section", "text", "error"]).astype({"page": "Int64", "slide": "Int64"})
+                    out.append((source, path, tier, 0, *[None] * 7, f"{type(e).__name__}: {e}"[:300]))
+            yield pd.DataFrame(out, columns=list(PAGE_COLUMNS)).astype({"page": "Int64", "slide": "Int64"})
 
-    return rows.mapInPandas(run, "source string, path string, tier string, seq int, page int, slide int, section string, text string, error string")
+    return rows.mapInPandas(run, _PAGES)

@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quire.config import DEFAULTS, EngineConfig
 from quire.operators.index import append
-from quire.sources.listing import SUPPORTED, load_pages
-from quire.functions import text as T
+from quire.plans.ingest import add_files, new_files
+from quire.sources.listing import described
 
 
-def ingest_files(spark: SparkSession, landing: str, index: str, checkpoint: str) -> StreamingQuery:
-    """Pages of files that are new in `landing` go to `index`; ends when all are in.
+def ingest_files(spark: SparkSession, landing: str, index: str, checkpoint: str, config: EngineConfig = DEFAULTS) -> StreamingQuery:
+    """Chunks of files that are new in `landing` go to `index`; ends when all are in.
 
     The file source remembers what it has read in `checkpoint`, and each batch is
-    joined against the indexed sources, so a restart adds nothing twice.
+    joined against the indexed sources before it is parsed, so a restart adds
+    nothing twice. Tiers come from folders, and lock files stay out, as in `ingest`.
     """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(landing)
-    files = files.select(F.col("path"), T.basename(F.col("path")).alias("source"), T.suffix(F.col("path")).alias("suffix"), F.lit("").alias("tier"), "content").filter(F.col("suffix").isin(*SUPPORTED))
 
     def add(batch: DataFrame, _: int) -> None:
-        append(load_pages(batch), index)
+        add_files(new_files(described(batch, landing), index), index, config)
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -88,3 +88,52 @@ def test_section_paths_match_fold(spark):
             data.append((len(data), f"s{k}", i * 1000, h))
     df = spark.createDataFrame(data, "block_id bigint, source string, block_seq int, section string")
     assert {r["block_id"]: r["path"] for r in chunking.section_paths(df).collect()} == want
+
+
+def test_pages_to_chunks(spark):
+    """Paths go on over pages, a page's own path begins anew, chunks take what their first block has."""
+    pages = [
+        ("a.pdf", 0, 1, "前言\n第一章 总则\n第一条 为了\n文", None, None),
+        ("a.pdf", 1, 2, "接着\n第二条 再\n第三条 又\n\n第二章 附则", None, None),
+        ("a.pdf", 2, 3, " \n", None, None),
+        ("b.xlsx", 0, None, "工作表：甲\n1.一", "工作表：甲", "甲 > 乙 > 丙"),
+        ("b.xlsx", 1, None, "工作表：丁", "工作表：丁", "丁"),
+        ("c.txt", 0, None, None, None, None),
+    ]
+    schema = "source string, seq int, page int, text string, section string, section_path string, tier string, slide int, ocr boolean, converted_from string"
+    df = spark.createDataFrame([(*p, "层级", None, None, ".doc") for p in pages], schema)
+    want = {
+        ("a.pdf", 0, 0): ("", ""), ("a.pdf", 0, 1): ("第一章 总则", "第一章 总则"), ("a.pdf", 0, 2): ("第一条 为了", "第一章 总则 > 第一条 为了"),
+        ("a.pdf", 1, 0): ("", "第一章 总则 > 第一条 为了"), ("a.pdf", 1, 1): ("第二条 再", "第一章 总则 > 第一条 为了 > 第二条 再"), ("a.pdf", 1, 2): ("第三条 又", "第一章 总则 > 第一条 为了 > 第三条 又"),
+        ("a.pdf", 1, 3): ("第二章 附则", "第二章 附则"), ("b.xlsx", 0, 0): ("工作表：甲", "甲 > 乙 > 丙"), ("b.xlsx", 0, 1): ("1.一", "甲 > 乙 > 1.一"), ("b.xlsx", 1, 0): ("工作表：丁", "丁"),
+    }
+    got = {(r["source"], r["seq"], r["block_no"]): (r["section"], r["path"]) for r in chunking.page_blocks(df).collect()}
+    assert got == want
+    chunks = {(r["source"], r["segment"]): r for r in chunking.chunks_of(df).collect()}
+    assert chunks["a.pdf", 2]["text"] == "【来源：a.pdf】\n第一条 为了\n文\n接着" and chunks["a.pdf", 2]["page"] == 1 and chunks["a.pdf", 2]["path"].endswith("第一条 为了")
+    assert {r["tier"] for r in chunks.values()} == {"层级"} and chunks["b.xlsx", 1]["converted_from"] == ".doc"
+    assert chunking.chunks_of(df.limit(0)).count() == 0
+
+
+def test_headings_are_told_from_text(spark):
+    lines = {"第二节 经费": (True, True), "第三部分 附": (False, True), "第一条的规定": (False, False), "第一千条 末": (True, False), "一．总则": (True, True), "（3）丙": (True, False), "12、丁": (True, False), "1234.戊": (False, False), "一、": (False, False)}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id int, text string")
+    got = {r["line"]: (r["is_heading"], r["is_top"]) for r in chunking.heading_lines(df, "doc_id").collect()}
+    assert got == lines
+
+
+def test_paths_over_many_buckets(spark):
+    """The closed form is the fold, with buckets of a few rows too."""
+    rng = random.Random(3)
+    old = chunking.BUCKET
+    data, want = [], {}
+    heads = [rng.choice(["", "", "（一）丙", "1.丁", "2.己", "一、甲"]) if i > 60 else rng.choice(["", "（一）丙", "1.丁", "2.己"]) for i in range(150)]
+    for i, (h, p) in enumerate(zip(heads, path_by_hand(heads, ("一、",)))):
+        want[i] = p
+        data.append((i, "s", i, h))
+    df = spark.createDataFrame(data, "block_id bigint, source string, block_seq int, section string")
+    try:
+        chunking.BUCKET = 4
+        assert {r["block_id"]: r["path"] for r in chunking.section_paths(df).collect()} == want
+    finally:
+        chunking.BUCKET = old
