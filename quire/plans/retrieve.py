@@ -24,12 +24,12 @@ class Corpus:
     embedder: EmbeddingProvider
 
 
-def corpus(blocks: DataFrame, embedder: EmbeddingProvider | None = None, config: EngineConfig = DEFAULTS) -> Corpus:
-    """Indexes blocks once, in the shared folder, for any number of questions."""
+def corpus(blocks: DataFrame, embedder: EmbeddingProvider | None = None, config: EngineConfig = DEFAULTS, index: lexical.Index | None = None) -> Corpus:
+    """Indexes blocks once, in the shared folder, for any number of questions; an `index` that is there is taken."""
     embedder = embedder or HashEmbedder(config.embedding_dimensions)
     blocks = blocks.select("block_id", "source", "page", "tier", "section", "path", "text")
     vectors = cut(blocks.select(F.col("block_id").alias("vec_id"), "source", "tier", embedder.embed(F.col("text")).alias("embedding")))
-    return Corpus(blocks, lexical.build(blocks.select("block_id", "text"), "block_id", config=config), vectors, embedder)
+    return Corpus(blocks, index or lexical.build(blocks.select("block_id", "text"), "block_id", config=config), vectors, embedder)
 
 
 def scopes(blocks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -125,7 +125,7 @@ def section_hits(spark, d):
 
 def _corpus(spark, d):
     """Blocks with the paths that the table has, their lexical index and their vectors."""
-    return once(spark, ("corpus", d), lambda: retrieve.corpus(table(spark, d, "blocks").withColumn("path", F.col("section_path"))))
+    return once(spark, ("corpus", d), lambda: retrieve.corpus(table(spark, d, "blocks").withColumn("path", F.col("section_path")), index=_index(spark, d)))
 
 
 def _nearest_blocks(spark, d, k):
