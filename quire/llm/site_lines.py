@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,8 @@ SHINGLE, BANDS, ROWS = 3, 4, 3
 SIMILARITY = 0.8
 #: Lines of a bucket that meet in one group.
 CHUNK = 4096
+#: Members of a group that are compared without an index of their shingles.
+FEW = 12
 
 # Labels after which a person or site is named.
 NAME_LABELS = "责任编辑|编辑|供稿|作者|来源|审核|撰稿|分享人|发布人|联系人|记者|通讯员|校对|by|author|editor|source|contact"
@@ -104,7 +107,11 @@ def _bands(lines: pd.Series) -> pd.Series:
 
 
 def _alike(x: set, y: set) -> bool:
-    return len(x & y) >= SIMILARITY * len(x | y)
+    a, b = len(x), len(y)
+    if min(a, b) < SIMILARITY * max(a, b):
+        return False
+    both = len(x & y)
+    return both >= SIMILARITY * (a + b - both)
 
 
 def _set(mask: str) -> set[str]:
@@ -115,8 +122,20 @@ def linked(members: list[tuple[int, str]]) -> list[tuple[int, int]]:
     """Links that join all alike members of a group: a forest, never all pairs.
 
     Two sets alike by `SIMILARITY` share one of the rarest shingles of each, as
-    many as may be missing and one more, so only members that do are compared.
+    many as may be missing and one more, so only members that do are compared;
+    a few members are simply compared with each other.
     """
+    if len(members) <= FEW:
+        few = [(m, _set(mask)) for m, mask in members]
+        part = list(range(len(few)))
+        found = []
+        for i, (m, x) in enumerate(few):
+            for j in range(i):
+                if part[i] != part[j] and _alike(x, few[j][1]):
+                    found.append((m, few[j][0]))
+                    old, new = part[i], part[j]
+                    part = [new if p == old else p for p in part]
+        return found
     sets = sorted(((len(g := _set(mask)), m, g) for m, mask in members), key=lambda x: x[:2])
     often = Counter(g for *_, s in sets for g in s)
     up = list(range(len(sets)))
@@ -139,18 +158,26 @@ def linked(members: list[tuple[int, str]]) -> list[tuple[int, int]]:
     return out
 
 
-def _link(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _link(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of groups whose rows come one after the other."""
     group, members = None, {}
+    out: list[tuple[int, int]] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
     for p in parts:
         out = []
-        for key, m, mask in zip(zip(p["_q_bucket"], p["_q_lo"], p["_q_hi"]), p["_q_m"], p["_q_mask"]):
-            if key != group:
-                out += linked(list(members.items())) if len(members) > 1 else []
-                group, members = key, {}
+        rows = zip(*(p.column(c).to_pylist() for c in ("_q_bucket", "_q_lo", "_q_hi", "_q_m", "_q_mask")))
+        for bucket, lo, hi, m, mask in rows:
+            if group != (bucket, lo, hi):
+                if len(members) > 1:
+                    out += linked(list(members.items()))
+                group, members = (bucket, lo, hi), {}
             members[m] = mask
-        yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-    yield pd.DataFrame(linked(list(members.items())) if len(members) > 1 else [], columns=["u", "v"], dtype="int64")
+        yield batch()
+    out = linked(list(members.items())) if len(members) > 1 else []
+    yield batch()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,8 +250,8 @@ def site_clusters(blocks: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64(F.col("_q_m")), chunks)
     near = near.withColumn("_q_mine", mine).withColumn("_q_other", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
     near = near.select("_q_m", "_q_bucket", F.least("_q_mine", "_q_other").alias("_q_lo"), F.greatest("_q_mine", "_q_other").alias("_q_hi"))
-    groups = near.join(lines.select("_q_m", "_q_mask").dropDuplicates(["_q_m"]), "_q_m").repartition("_q_bucket", "_q_lo", "_q_hi").sortWithinPartitions("_q_bucket", "_q_lo", "_q_hi")
-    roots = components(groups.select("_q_bucket", "_q_lo", "_q_hi", "_q_m", "_q_mask").mapInPandas(_link, "u bigint, v bigint"))
+    groups = near.join(lines.select("_q_m", "_q_mask"), "_q_m").repartition("_q_bucket", "_q_lo", "_q_hi").sortWithinPartitions("_q_bucket", "_q_lo", "_q_hi")
+    roots = components(groups.select("_q_bucket", "_q_lo", "_q_hi", "_q_m", "_q_mask").mapInArrow(_link, "u bigint, v bigint"))
     placed = lines.select("_q_a", "_q_b", "_q_m", "_q_df", "_q_n").join(roots.withColumnRenamed("u", "_q_m"), "_q_m", "left").withColumn("root", F.coalesce("root", "_q_m")).drop("_q_m")
     total = placed.groupBy("root").agg(F.sum("_q_df").alias("_q_total"), F.max("_q_n").alias("_q_of")).filter(_heavy("_q_total", "_q_of")).select("root")
     return cut(placed.join(total, "root", "left_semi").select("_q_a", "_q_b", "root", F.col("_q_df").alias("blocks"), F.col("_q_n").alias("source_blocks")))

@@ -98,6 +98,9 @@ def test_links_match_all_pairs():
 
     got = site_lines.linked(list(enumerate(lines)))
     assert alike and len(got) < len(lines) and parts(got) == parts(alike)
+    for n in range(1, 20):
+        few = [(i, lines[i]) for i in range(n)]
+        assert parts(site_lines.linked(few)) == parts([(i, j) for i, j in alike if i < n])
 
 
 def test_recall_of_near_duplicates(spark, data):
