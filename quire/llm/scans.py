@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.boosting import Boosted
-from quire.llm.common import bounded_sample
+from quire.llm.common import PART_ROWS, bounded_sample
 from quire.session import cut
 
 #: Rows of the samples that models and the list of well-known tokens come from,
@@ -184,11 +184,7 @@ def furniture(scans: DataFrame) -> DataFrame:
     """(`k1`, `k2`, `line_no`, `noise`) of running lines and page numbers."""
     edges = cut(page_lines(scans))
     first = scans.groupBy("source").agg(F.min("page").alias("first_page"), F.countDistinct("page").alias("pages"))
-    # page numbers: the distance from the page's own number is kept within a source
-    nums = edges.filter("num IS NOT NULL").withColumn("off", F.col("num") - F.col("page"))
-    kept = nums.groupBy("source", "off", "form").agg(F.countDistinct("page").alias("agree"))
-    nums = nums.join(kept, ["source", "off", "form"]).join(first, "source").filter("form <> 'bare' OR agree >= 2 OR (pages = 1 AND num < 1000 AND idx <= 1)")
-    nums = nums.filter("form <> 'roman' OR agree >= 2 OR pages = 1").select("k1", "k2", "line_no", F.lit("page_number").alias("noise")).distinct()
+    nums = printed_numbers(edges, first)
     # running lines
     texts = edges.filter("num IS NULL AND length(key) >= 3").filter(~F.col("line").rlike(NOT_RUNNING))
     # what also stands inside pages is no running line, however often it meets an edge
@@ -221,6 +217,58 @@ def furniture(scans: DataFrame) -> DataFrame:
     return nums.unionByName(found.join(nums.select("k1", "k2", "line_no"), ["k1", "k2", "line_no"], "left_anti"))
 
 
+_NUMBER_COLUMNS = ["same", "twin", "form", "idx", "foot", "gap", "num", "page", "agree", "pages"]
+
+
+def _number_features(p: pd.DataFrame) -> np.ndarray:
+    num = p["num"].to_numpy(float)
+    return np.column_stack([
+        p["same"], p["twin"], p["form"] == "dressed", p["form"] == "roman", p["idx"], p["foot"], np.abs(p["gap"]), np.log1p(num), np.log1p(np.abs(num - p["page"].to_numpy(float))), np.minimum(p["agree"], 5), np.log1p(p["pages"].to_numpy(float)),
+    ]).astype(float)
+
+
+def printed_numbers(edges: DataFrame, first: DataFrame) -> DataFrame:
+    """(`k1`, `k2`, `line_no`, `noise`) of edge lines that print the page's number.
+
+    Lines that hold a number are paired with those of the pages around them, at the
+    same end; a classifier of the pairs judges whether the numbers go with the pages
+    (`same`), the form around them and how many pages of the work agree. A line
+    without a pair is judged by itself.
+    """
+    nums = edges.filter("num IS NOT NULL").withColumn("off", F.col("num") - F.col("page"))
+    kept = nums.groupBy("source", "off", "form").agg(F.countDistinct("page").alias("agree"))
+    known = kept.groupBy("source").agg(F.max("agree").alias("most"))
+    nums = cut(nums.join(kept, ["source", "off", "form"]).join(first.select("source", "pages"), "source").join(known, "source"))
+    other = nums.select(F.col("source").alias("s2"), F.col("page").alias("page2"), F.col("foot").alias("foot2"), F.col("num").alias("num2"), F.col("form").alias("form2")).distinct()
+    gaps = nums.withColumn("gap", F.explode(F.array(*map(F.lit, (-4, -3, -2, -1, 1, 2, 3, 4)))))
+    met = gaps.join(other, F.expr("source = s2 AND page + gap = page2 AND foot = foot2"))
+    alone = nums.withColumns({"gap": F.lit(0), "same": F.lit(-1), "twin": F.lit(0)})
+    pairs = met.withColumns({"same": (F.col("num2") - F.col("num") == F.col("gap")).cast("int"), "twin": (F.col("form") == F.col("form2")).cast("int")}).select(alone.columns)
+    model = edges.sparkSession.sparkContext.broadcast(_fit_numbers(pairs.unionByName(alone)))
+
+    @F.pandas_udf(T.DoubleType())
+    def prints(p: pd.DataFrame) -> pd.Series:
+        return pd.Series(model.value.score(_number_features(p)))
+
+    # a line with pairs is judged by the best of them, one without by itself
+    lone = alone.join(met.select("k1", "k2", "line_no").distinct(), ["k1", "k2", "line_no"], "left_anti")
+    judged = pairs.unionByName(lone).withColumn("p", prints(F.struct(*_NUMBER_COLUMNS)))
+    return judged.filter("p > 0.5").select("k1", "k2", "line_no", F.lit("page_number").alias("noise")).distinct()
+
+
+def _fit_numbers(pairs: DataFrame) -> Boosted:
+    """Numbers in a form of their own, or on which pages agree, are printed; those that
+    stand against pages that agree are none. Both are shown to the model alone too.
+    """
+    label = F.when((F.col("form") == "dressed") | (F.col("agree") >= 3), 1).when((F.col("agree") == 1) & (F.col("most") >= 3), 0)
+    rows = pairs.withColumn("label", label).filter("label IS NOT NULL").withColumn("_h", F.xxhash64("k1", "k2", "line_no", "gap")).withColumn("_s", F.concat_ws("|", "label", "form", F.col("same") < 0))
+    got = bounded_sample(rows, "_s", "_h", PART_ROWS).select(*_NUMBER_COLUMNS, "label", "_h").toPandas().sort_values(["label", "_h"]).reset_index(drop=True)
+    # rules of thumb where a corpus shows too little: a number in a form is printed, a year by itself is not
+    thumb = pd.DataFrame([(-1, 0, form, i, foot, 0, n, 1, 1, 1, int(form == "dressed" or n < 1000)) for form in ("bare", "dressed", "roman") for i in (0, 1) for foot in (False, True) for n in (1, 3, 9, 27, 81, 243, 729, 1999, 2023, 9999)], columns=[*_NUMBER_COLUMNS, "label"])
+    taught = pd.concat([got.drop(columns="_h"), got.drop(columns="_h").query("same >= 0").assign(same=-1, twin=0, gap=0, agree=1, pages=1).query("label == 1"), thumb], ignore_index=True)
+    return Boosted().fit(_number_features(taught), taught["label"].to_numpy(float))
+
+
 def _fit_pairs(pairs: DataFrame) -> Boosted:
     """Pairs of equal keys that many pages share are one line; keys seen once are none."""
     rows = pairs.withColumn("_h", F.xxhash64("key", "key2", "gap", "line_no", "k1")).filter("(key = key2 AND share >= 0.3 AND seen >= 3) OR (key <> key2 AND seen = 1 AND spread = 1)")
