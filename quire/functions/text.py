@@ -48,10 +48,14 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
+# Fixed value: the numbering before the name of a tier's folder.
+TIER_NUMBER = r"^\s*[0-9]+\s*[-_\x{3000}]?\s*"
+
+
 def tier_from_path(path: Column) -> Column:
     """Name of the parent folder without its numbering; empty at the root."""
     parent = F.when(F.size(F.split(path, "/")) >= 2, F.element_at(F.split(path, "/"), -2)).otherwise("")
-    return F.regexp_replace(parent, r"^[0-9]+[\s._\-、]*", "")
+    return F.trim(F.regexp_replace(F.trim(parent), TIER_NUMBER, ""))
 
 
 # Fixed value: suffixes that a name is compared without; those of images stay.
@@ -186,8 +190,8 @@ def with_offer(answer: Column, offer: str = WEB_OFFER) -> Column:
 
 
 def printable_share(c: Column) -> Column:
-    """Share of the characters of a text that can be printed; null for an empty one."""
-    return (F.length(c) - F.length(F.regexp_replace(c, r"[\p{Print}\P{ASCII}\r\n\t&&[^\p{C}]]|[\r\n\t]", ""))) / F.nullif(F.length(c), F.lit(0))
+    """Share of the characters of a text that can be printed, line ends and tabs among them; null for an empty one."""
+    return 1 - F.regexp_count(c, F.lit(r"[\p{C}\p{Z}&&[^ \r\n\t]]")) / F.nullif(F.length(c), F.lit(0))
 
 
 def ideographs(c: Column) -> Column:

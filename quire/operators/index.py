@@ -35,12 +35,24 @@ def append(incoming: DataFrame, path: str) -> int:
     return count.get["n"]
 
 
-def audit_counts(files: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(`source`, `listed`, `stored`, `issue`): sources whose block counts differ or that miss on a side."""
+def _audited(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every listed or stored source with its numbers of blocks on both sides and what is amiss."""
     stored = blocks.groupBy("source").agg(F.countDistinct("block_seq").alias("stored"))
     both = listed_files(files).select("source", F.col("n_blocks").alias("listed")).join(stored, "source", "full_outer")
     issue = F.when(F.col("stored").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when(F.col("listed") != F.col("stored"), "count")
-    return both.select("source", "listed", "stored", issue.alias("issue")).filter("issue IS NOT NULL")
+    return both.select("source", "listed", "stored", issue.alias("issue"))
+
+
+def audit_counts(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(`source`, `listed`, `stored`, `issue`): sources whose block counts differ or that miss on a side."""
+    return _audited(files, blocks).filter("issue IS NOT NULL")
+
+
+def audit_totals(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(`checked`, `issues`, `listed_again`): sources looked at, those with an issue, and listings beyond the first of a source."""
+    totals = _audited(files, blocks).agg(F.count("*").alias("checked"), F.count_if(F.col("issue").isNotNull()).alias("issues"))
+    again = files.filter("source IS NOT NULL").groupBy("source").agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("listed_again"))
+    return totals.crossJoin(again)  # one row each
 
 
 def missing_lines(blocks: DataFrame, chunks: DataFrame) -> DataFrame:

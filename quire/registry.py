@@ -275,25 +275,46 @@ def web_query_urls(spark, d):
 
 def append_new_sources(spark, d):
     files = table(spark, d, "source_files").select("source", "rel_path")
-    return index.new_rows(files, table(spark, d, "blocks").filter("ocr"))
+    return index.new_rows(files, table(spark, d, "blocks").filter("source IS NOT NULL"))
 
 
 def audit_counts(spark, d):
     return index.audit_counts(table(spark, d, "source_files"), table(spark, d, "blocks").select("source", "block_seq"))
 
 
+def audit_totals(spark, d):
+    return index.audit_totals(table(spark, d, "source_files"), table(spark, d, "blocks").select("source", "block_seq"))
+
+
+def document_chunks(spark, d):
+    """Every document as a file of one page, structured and cut into chunks."""
+    pages = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit(0).alias("seq"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("section_path"), "text", "tier", F.lit(None).cast("int").alias("slide"), F.lit(None).cast("boolean").alias("ocr"), F.lit(None).cast("string").alias("converted_from"))
+    return chunking.chunks_of(pages).select("source", "segment", "chunk_seq", "section", "path", "tier", "text")
+
+
+def conversation_answers(spark, d):
+    """An answer to the last question of each conversation, after the messages before it."""
+    turns = _turns(spark, d)
+    last = dialog.normal_turns(turns).filter("role = 'user'").groupBy("conv_id").agg(F.max(F.struct("turn", "content")).alias("m")).select("conv_id", "m.turn", F.col("m.content").alias("question"))
+    last = last.join(dialog.web_searches(turns).select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+    queries = dialog.conversation_queries(turns).join(last.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
+    queries = queries.select(F.col("conv_id").alias("question_id"), F.col("position").alias("turn"), "query")
+    history = dialog.answers_from_history(turns).withColumnRenamed("conv_id", "question_id")
+    return answer.answers(_corpus(spark, d), last.select(F.col("conv_id").alias("question_id"), "question"), TABLES, queries=queries, history=history)
+
+
 def audit_missing_lines(spark, d):
     blocks = table(spark, d, "blocks").select("block_id", "source", "block_seq", "page", "section", "text")
     return index.missing_lines(blocks, chunking.merge_chunks(chunking.current_blocks(blocks)))
 
 
 _ALL: tuple[Query, ...] = (
-    file_listing, page_cache_keys, reading_order, block_deduplication, line_explode, block_assembly, section_path, chunk_merge, repeated_lines_collapsed,
+    file_listing, page_cache_keys, reading_order, block_deduplication, line_explode, block_assembly, section_path, chunk_merge, document_chunks, repeated_lines_collapsed,
     term_frequencies, bm25_statistics, bm25_topk, bm25_scoped, dense_topk, dense_threshold, dense_scoped, dense_blocks, section_hits,
-    rank_fusion, round_robin, relevant_hits, small_source_expansion, source_completion, retrieved_blocks, answer_contexts, answered_questions,
+    rank_fusion, round_robin, relevant_hits, small_source_expansion, source_completion, retrieved_blocks, answer_contexts, answered_questions, conversation_answers,
     scope_filter, question_classes, local_sources, named_files, scoped_sources,
     history_window, answered_turns, history_topics, resolved_questions, conversation_queries, pending_consent, web_searches, answers_from_history, history_sources, transcripts, turn_activity, answer_lines, sanitized_answers, answer_sentences,
-    web_merge, web_query_urls, append_new_sources, audit_counts, audit_missing_lines,
+    web_merge, web_query_urls, append_new_sources, audit_counts, audit_totals, audit_missing_lines,
 )
 
 
@@ -480,7 +501,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "file_listing": rf"""
             WITH {files} SELECT source, regexp_extract(rel_path, '[^/]*$') AS name, lower(regexp_extract(rel_path, '(\.[^./]+)$', 1)) AS suffix,
-                   regexp_replace(CASE WHEN contains(rel_path, '/') THEN regexp_extract(rel_path, '([^/]*)/[^/]*$', 1) ELSE '' END, '^[0-9]+[\s._\-、]*', '') AS path_tier, n_blocks FROM lf""",
+                   trim(regexp_replace(trim(CASE WHEN contains(rel_path, '/') THEN regexp_extract(rel_path, '([^/]*)/[^/]*$', 1) ELSE '' END), '{T.TIER_NUMBER}', '')) AS path_tier, n_blocks FROM lf""",
         "page_cache_keys": "SELECT source, loaded_at, substring(sha1(concat_ws('|', rel_path, n_blocks::VARCHAR, epoch_us(modified_at)::VARCHAR)), 1, 20) AS key FROM source_files",
         "reading_order": "SELECT source, page, string_agg(text, chr(10) ORDER BY block_seq, length(text), text) AS text FROM blocks WHERE ocr AND page IS NOT NULL AND text IS NOT NULL GROUP BY source, page",
         "block_deduplication": f"WITH {current} SELECT block_id, source, block_seq FROM cb",
@@ -602,7 +623,12 @@ def oracle_sql() -> dict[str, str]:
             f AS (SELECT * FROM r WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY query_text, url, title ORDER BY e, result_rank, result_id) = 1)
             SELECT query_text, CAST(row_number() OVER (PARTITION BY query_text ORDER BY e, result_rank, result_id) AS INTEGER) AS position, title, url, snippet FROM f QUALIFY position <= {c.web_results}""",
         "web_query_urls": "SELECT DISTINCT query_text, replace(url_encode(query_text), '%20', '+') AS encoded FROM web_results",
-        "append_new_sources": "SELECT source, rel_path FROM source_files WHERE source NOT IN (SELECT source FROM blocks WHERE ocr AND source IS NOT NULL)",
+        "append_new_sources": "SELECT source, rel_path FROM source_files WHERE source NOT IN (SELECT source FROM blocks WHERE source IS NOT NULL)",
+        "audit_totals": f"""
+            WITH {files}, s AS (SELECT source, count(DISTINCT block_seq) AS stored FROM blocks GROUP BY source),
+            j AS (SELECT coalesce(lf.source, s.source) AS source, n_blocks AS listed, stored FROM lf FULL JOIN s ON lf.source = s.source),
+            e AS (SELECT count(*) - count(DISTINCT source) AS twice FROM source_files WHERE source IS NOT NULL)
+            SELECT count(*) AS checked, count_if(stored IS NULL OR listed IS NULL OR listed <> stored)::BIGINT AS issues, any_value(twice) AS listed_again FROM j, e""",
         "audit_counts": f"""
             WITH {files}, s AS (SELECT source, count(DISTINCT block_seq) AS stored FROM blocks GROUP BY source),
             j AS (SELECT coalesce(lf.source, s.source) AS source, n_blocks AS listed, stored FROM lf FULL JOIN s ON lf.source = s.source)

@@ -174,3 +174,16 @@ def test_sources_completed_by_paths(spark):
     for hit, want in ((0, {0, 1, 2, 5}), (2, {0, 1, 2, 5}), (4, {3, 4, 5}), (5, {0, 1, 2, 3, 4, 5}), (9, {9})):
         hits = spark.createDataFrame([(7, hit, 1)], "question_id int, block_id int, rank int")
         assert {r["block_id"] for r in ranking.complete_sources(hits, chunks, 200, config).collect()} == want
+
+
+def test_small_functions(spark):
+    c = F.col("t")
+    assert one(spark, T.query_lines(c), t="1. 甲\n\n二、乙\n" + "长" * 81 + "\n（丙\n3）丁\n戊") == ["甲", "乙", "（丙", "丁"]
+    offered = one(spark, T.with_offer(c), t=" 答 ")
+    assert offered == "答需要我帮你联网搜索相关的答案吗？" and one(spark, T.with_offer(c), t=offered) == offered
+    assert one(spark, T.printable_share(c), t="ab\x01\u3000") == 0.5 and one(spark, T.printable_share(c), t="a\n数 ") == 1 and one(spark, T.printable_share(c), t="") is None
+    assert one(spark, T.ideographs(c), t="a数据1") == 2
+    assert one(spark, T.inline_markup(c), t="a **b** *c* `<d>` 2*3") == "a <b>b</b> <i>c</i> <code>&lt;d&gt;</code> 2*3"
+    assert one(spark, T.tier_from_path(c), t="x/01国家政策/a.txt") == "国家政策" and one(spark, T.tier_from_path(c), t="x/02 _ 省级/a") == "省级" and one(spark, T.tier_from_path(c), t="a.txt") == ""
+    assert one(spark, T.tokens(c), t="A-1数据条例，法") == ["a", "1", "数据", "据条", "条例", "法"]
+    assert one(spark, T.clean_html(c), t="&#x6570;<br>&amp;lt;&nbsp;x") == "数 &lt; x"
