@@ -47,6 +47,8 @@ from quire.session import cut
 #: Rows of the samples that models and the list of well-known tokens come from,
 #: substitutions learned, and synthetic tokens trained on.
 SAMPLE, PAIRS, TRAINED = 4000, 300, 3000
+#: Share of the most frequent substitution's evidence below which one is not taught.
+CHANCE = 0.02
 #: A clean token that stands so often needs no judging; one below is in doubt.
 KNOWN, DOUBT = 3, 3
 #: Trigrams by which a word in doubt meets the vocabulary.
@@ -460,7 +462,8 @@ def candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     Characters in context meet the vocabulary on what stands on both sides.
     Words meet it on their RARE rarest trigrams: a wrong character (or two for
     one) spoils at most four, so the right word of a word with two wrong places
-    is always among the meetings.
+    is always among the meetings. What has more than half of its characters in
+    another place is no candidate.
     """
     sides = lambda c: F.concat(F.substr(c, F.lit(1), F.lit(1)), F.substr(c, F.lit(3), F.lit(1)))
     chars = (
@@ -473,7 +476,7 @@ def candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     asked = tokens.filter("kind = 'w' AND length(token) >= 3").select("token", F.explode(_grams(F.col("token"))).alias("q")).join(common, "q")
     rare = asked.withColumn("r", F.row_number().over(W.partitionBy("token").orderBy("df", "q"))).filter(F.col("r") <= RARE).select("token", "q")
     met = rare.join(words, "q").filter((F.abs(F.length("other") - F.length("token")) <= 2) & (F.col("other") != F.col("token"))).groupBy("token", "other").agg(F.first("n_other").alias("n_other"), F.count("*").alias("shared"))
-    met = met.filter(F.levenshtein("token", "other", 3) >= 0).select(F.lit("w").alias("kind"), "token", "other", "n_other", F.col("shared").cast("int").alias("shared"))
+    met = met.filter((F.levenshtein("token", "other", 3) >= 0) & (2 * F.levenshtein("token", "other", 3) <= F.length("token") + 1)).select(F.lit("w").alias("kind"), "token", "other", "n_other", F.col("shared").cast("int").alias("shared"))
     both = chars.unionByName(met).withColumn("d", _diff("token", "other"))
     return both.select("kind", "token", "other", "n_other", "shared", "d.was", "d.is", "d.at")
 
@@ -498,6 +501,9 @@ def misread_tokens(doubt: DataFrame, counted: DataFrame) -> DataFrame:
     pairs = cut(strong.groupBy("kind", "was", "is").agg(F.countDistinct("token").alias("pair"), F.sum("scanned").alias("pair_n")))
     wholes = pairs.groupBy("kind", "was").agg(F.sum("pair").alias("was_pairs"))
     top = pairs.filter("was <> '' AND is <> '' AND length(was) <= 3 AND length(is) <= 3 AND lower(was) <> lower(is)").orderBy(F.desc(F.col("pair") * 3 + F.col("pair_n")), "kind", "was", "is").limit(PAIRS).collect()
+    # what is seen far less often than the most frequent substitution of its kind is chance, in corpora of any size
+    most = {kind: max(q["pair"] * 3 + q["pair_n"] for q in top if q["kind"] == kind) for kind in {q["kind"] for q in top}}
+    top = [q for q in top if q["pair"] * 3 + q["pair_n"] >= CHANCE * most[q["kind"]]]
     singles = cut(counted.filter("kind = 't'").groupBy(F.substr("token", F.lit(2), F.lit(1)).alias("was")).agg(F.sum("clean").alias("was_clean")))
 
     # clean tokens with learned substitutions, and rare clean tokens that are right
@@ -507,7 +513,7 @@ def misread_tokens(doubt: DataFrame, counted: DataFrame) -> DataFrame:
     rng = random.Random(20)
     made = {}
     for kind, token in sorted((r["kind"], r["token"]) for r in good):
-        fits = [(q["was"], q["is"], q["pair"] * (1 + q["pair_n"])) for q in top if q["kind"] == kind and q["is"] in (token if kind == "w" else token[1:2])]
+        fits = [(q["was"], q["is"], q["pair"] + q["pair_n"]) for q in top if q["kind"] == kind and q["is"] in (token if kind == "w" else token[1:2])]
         if fits:
             was, to, _ = rng.choices(fits, [f[2] for f in fits])[0]
             spots = [m.start() for m in re.finditer(re.escape(to), token)] if kind == "w" else [1]
