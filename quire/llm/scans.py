@@ -468,14 +468,15 @@ def candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     sides = lambda c: F.concat(F.substr(c, F.lit(1), F.lit(1)), F.substr(c, F.lit(3), F.lit(1)))
     chars = (
         tokens.filter("kind = 't'").select("kind", "token", sides(F.col("token")).alias("q"))
-        .join(vocabulary.filter("kind = 't'").select(sides(F.col("token")).alias("q"), F.col("token").alias("other"), F.col("n").alias("n_other")), "q")
+        .join(vocabulary.filter("kind = 't'").select(sides(F.col("token")).alias("q"), F.col("token").alias("other"), F.col("n").alias("n_other")).hint("merge"), "q")
         .filter("other <> token").select("kind", "token", "other", "n_other", F.lit(1).alias("shared"))
     )
     words = vocabulary.filter("kind = 'w' AND length(token) >= 2").select(F.col("token").alias("other"), F.col("n").alias("n_other"), F.explode(_grams(F.col("token"))).alias("q"))
     common = words.groupBy("q").agg(F.count("*").alias("df"))
-    asked = tokens.filter("kind = 'w' AND length(token) >= 3").select("token", F.explode(_grams(F.col("token"))).alias("q")).join(common, "q")
+    asked = tokens.filter("kind = 'w' AND length(token) >= 3").select("token", F.explode(_grams(F.col("token"))).alias("q")).hint("merge").join(common, "q")
     rare = asked.withColumn("r", F.row_number().over(W.partitionBy("token").orderBy("df", "q"))).filter(F.col("r") <= RARE).select("token", "q")
-    met = rare.join(words, "q").filter((F.abs(F.length("other") - F.length("token")) <= 2) & (F.col("other") != F.col("token"))).groupBy("token", "other").agg(F.first("n_other").alias("n_other"), F.count("*").alias("shared"))
+    # by merging: what a broadcast would hold is the vocabulary's trigrams, many times the table that Spark measures
+    met = rare.join(words.hint("merge"), "q").filter((F.abs(F.length("other") - F.length("token")) <= 2) & (F.col("other") != F.col("token"))).groupBy("token", "other").agg(F.first("n_other").alias("n_other"), F.count("*").alias("shared"))
     met = met.filter((F.levenshtein("token", "other", 3) >= 0) & (2 * F.levenshtein("token", "other", 3) <= F.length("token") + 1)).select(F.lit("w").alias("kind"), "token", "other", "n_other", F.col("shared").cast("int").alias("shared"))
     both = chars.unionByName(met).withColumn("d", _diff("token", "other"))
     return both.select("kind", "token", "other", "n_other", "shared", "d.was", "d.is", "d.at")
