@@ -240,10 +240,11 @@ def printed_numbers(edges: DataFrame, first: DataFrame) -> DataFrame:
     nums = edges.filter("num IS NOT NULL").withColumn("off", F.col("num") - F.col("page"))
     kept = nums.groupBy("source", "off", "form").agg(F.countDistinct("page").alias("agree"))
     known = kept.groupBy("source").agg(F.max("agree").alias("most"))
-    nums = cut(nums.join(kept, ["source", "off", "form"]).join(first.select("source", "pages"), "source").join(known, "source"))
+    nums = nums.join(kept, ["source", "off", "form"]).join(first.select("source", "pages"), "source").join(known, "source")
+    nums = cut(nums.select("k1", "k2", "line_no", "source", "page", "foot", "idx", "num", "form", "agree", "pages", "most"))
     other = nums.select(F.col("source").alias("s2"), F.col("page").alias("page2"), F.col("foot").alias("foot2"), F.col("num").alias("num2"), F.col("form").alias("form2")).distinct()
     gaps = nums.withColumn("gap", F.explode(F.array(*map(F.lit, (-4, -3, -2, -1, 1, 2, 3, 4)))))
-    met = gaps.join(other, F.expr("source = s2 AND page + gap = page2 AND foot = foot2"))
+    met = gaps.hint("merge").join(other, F.expr("source = s2 AND page + gap = page2 AND foot = foot2"))
     alone = nums.withColumns({"gap": F.lit(0), "same": F.lit(-1), "twin": F.lit(0)})
     pairs = met.withColumns({"same": (F.col("num2") - F.col("num") == F.col("gap")).cast("int"), "twin": (F.col("form") == F.col("form2")).cast("int")}).select(alone.columns)
     model = edges.sparkSession.sparkContext.broadcast(_fit_numbers(pairs.unionByName(alone)))
