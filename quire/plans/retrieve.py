@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULTS, EngineConfig
@@ -50,18 +51,28 @@ def scopes(blocks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAU
     return cut(asked), named, local
 
 
-def _within(rows: DataFrame, asked: DataFrame, named: DataFrame, local: DataFrame) -> DataFrame:
-    """Rows (`question_id`, `block_id`, `source`, `tier`, ...) that lie in the scope of their question."""
-    rows = rows.join(asked.select("question_id", "kind", "tier_found"), "question_id")
-    rows = rows.join(named.withColumn("_named", F.lit(True)), ["question_id", "source"], "left").join(local.withColumn("_local", F.lit(True)), "source", "left")
-    same = F.col("tier_found").isNull() | (F.coalesce("tier", F.lit("")) == F.col("tier_found"))
-    ok = (
-        F.when(F.col("kind") == "tier", same)
-        .when(F.col("kind") == "named", F.coalesce("_named", F.lit(False)) & same)
-        .when(F.col("kind") == "local", F.coalesce("_local", F.lit(False)))
-        .otherwise(F.lit(True))
-    )
-    return rows.filter(ok).drop("kind", "tier_found", "_named", "_local")
+def section_places(found: Corpus, questions: DataFrame, asked: DataFrame, named: DataFrame, local: DataFrame, depth: int) -> DataFrame:
+    """(`question_id`, `block_id`, `weight`, `rank`): the blocks in scope whose paths weigh most for a question.
+
+    Paths are weighed once. How many blocks each has in a scope tells which of them
+    can reach the first `depth`; only these meet their blocks, the first `depth` of a
+    path in a tier. Blocks of files that a question names are met through the file.
+    """
+    weights = cut(ranking.section_weights(found.blocks.select(F.col("path").alias("section")), questions).withColumnRenamed("section", "path"))
+    blocks = found.blocks.filter("path IS NOT NULL AND path <> ''").select("block_id", "source", "path", F.coalesce("tier", F.lit("")).alias("tier"))
+    blocks = cut(blocks.join(local.withColumn("home", F.lit(True)), "source", "left").withColumn("home", F.coalesce("home", F.lit(False))))
+    part = ["path", "tier", "home"]
+    counted = blocks.groupBy(*part).agg(F.count("*").alias("n"))
+    kinds = asked.select("question_id", "kind", "tier_found")
+    ok = F.when(F.col("kind") == "tier", F.col("tier") == F.col("tier_found")).when(F.col("kind") == "local", F.col("home")).otherwise(F.col("kind") == "all")
+    near = weights.join(kinds, "question_id").join(counted, "path").filter(ok)
+    heavier = W.partitionBy("question_id").orderBy(F.desc("weight")).rangeBetween(W.unboundedPreceding, -1)
+    near = near.withColumn("before", F.coalesce(F.sum("n").over(heavier), F.lit(0))).filter(F.col("before") < depth).select("question_id", "weight", *part)
+    heads = ranking.numbered(blocks, part, ["block_id"]).filter(F.col("position") <= depth).select("block_id", *part)
+    wide = near.join(heads, part).select("question_id", "block_id", "weight")
+    own = kinds.filter("kind = 'named'").join(named, "question_id").join(blocks, "source").filter("tier_found IS NULL OR tier = tier_found")
+    own = own.join(weights, ["question_id", "path"]).select("question_id", "block_id", "weight")
+    return ranking.top(wide.unionByName(own), ["question_id"], "weight", "block_id", depth)
 
 
 def ranked_lists(found: Corpus, queries: DataFrame, asked: DataFrame, named: DataFrame, local: DataFrame, depth: int, config: EngineConfig = DEFAULTS) -> DataFrame:
@@ -125,9 +136,7 @@ def retrieve(found: Corpus, questions: DataFrame, queries: DataFrame | None = No
     hits = cut(hits.select("question_id", "block_id", F.col("position").alias("rank")))
     depth = max(config.summary_seed_limit, config.retrieve_limit)
     whole = ranking.expand_small_sources(hits, found.blocks.select("block_id", "source"), depth, config)
-    sections = ranking.section_weights(found.blocks.select(F.col("path").alias("section")), queries.filter("turn = 1").select("question_id", F.col("query").alias("question")))
-    places = sections.join(found.blocks.select("block_id", "source", "tier", F.col("path").alias("section")), "section")
-    places = ranking.top(_within(places, asked, named, local), ["question_id"], "weight", "block_id", depth)
+    places = section_places(found, queries.filter("turn = 1").select("question_id", F.col("query").alias("question")), asked, named, local, depth)
     merged = ranking.append_new(whole, places, depth).join(kinds, "question_id").filter(F.col("position") <= most)
     merged = cut(merged)
     seeds = merged.filter("summary").select("question_id", "block_id", F.col("position").alias("rank"))

@@ -4,7 +4,7 @@ import numpy as np
 
 from quire.config import EngineConfig
 from quire.functions import embedding
-from quire.operators import lexical
+from quire.operators import lexical, ranking
 from quire.plans import answer, retrieve
 
 BLOCKS = "block_id bigint, source string, page int, tier string, section string, path string, text string"
@@ -104,3 +104,20 @@ def test_index_of_nothing(spark):
     none = spark.createDataFrame([], "block_id bigint, text string")
     asked = spark.createDataFrame([(1, "数据")], "question_id bigint, question string")
     assert lexical.bm25(none, asked, "block_id", "question_id", 3).count() == 0
+
+
+def test_section_places_are_the_heaviest_in_scope(spark):
+    """The same blocks as weighing every block of the scope."""
+    df = spark.createDataFrame(rows(), BLOCKS)
+    found = retrieve.corpus(df)
+    asked = spark.createDataFrame([(1, "省级数据登记确权"), (2, "算力券申请条件第3节"), (3, "外地公共数据授权运营"), (4, "《算力券申请条件》第2节数据")], "question_id bigint, question string")
+    kinds, named, local = retrieve.scopes(df, asked)
+    weights = {(r["question_id"], r["section"]): r["weight"] for r in ranking.section_weights(df.selectExpr("path AS section"), asked).collect()}
+    inside = {1: lambda b: b[3] == "省级政策", 2: lambda b: b[0] != 200, 3: lambda b: True, 4: lambda b: "算力券申请条件" in b[1]}
+    for depth in (3, 20, 500):
+        got = {}
+        for r in retrieve.section_places(found, asked, kinds, named, local, depth).orderBy("question_id", "rank").collect():
+            got.setdefault(r["question_id"], []).append(r["block_id"])
+        for n, ok in inside.items():
+            want = sorted((-weights[n, b[5]], b[0]) for b in rows() if ok(b) and (n, b[5]) in weights)
+            assert got.get(n, []) == [i for _, i in want[:depth]], (n, depth)
