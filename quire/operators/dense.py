@@ -11,61 +11,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions.best import Best
+
 #: Queries that are sent to all tasks at once; more go in several passes over the rows.
 QUERY_BLOCK = 20_000
 #: Numbers that a task holds of distances between its rows and queries.
 CELLS = 4_000_000
 
 
-def relevance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """1 - d / sqrt(2) of squared distances d between all of two sets, to six places, as of a flat index."""
-    d = np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0)
-    return np.round(1 - d / np.sqrt(2), 6)
-
-
 def _packed(batch: pa.RecordBatch, column: str) -> np.ndarray:
     lists = batch.column(column)
     values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
 
 
-def _pass(vectors: DataFrame, asked: pd.DataFrame, k: int, threshold: float | None, same: str | None) -> DataFrame:
-    """The k best rows of each query in every task; queries are bounded by QUERY_BLOCK."""
-    order = np.argsort(asked["query_id"].to_numpy(), kind="stable")
-    ids = asked["query_id"].to_numpy()[order]
-    matrix = np.array([asked["embedding"].iloc[i] for i in order], np.float64)
-    scopes = asked["scope"].iloc[order].astype("object").to_numpy()
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, scopes))
+def _by_scope(scopes: list) -> dict[object, np.ndarray]:
+    out: dict[object, list[int]] = {}
+    for i, s in enumerate(scopes):
+        out.setdefault(s, []).append(i)
+    return {s: np.array(at) for s, at in out.items()}
+
+
+def _pass(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, scopes: list, k: int, threshold: float | None, same: str | None) -> DataFrame:
+    """The k best rows of each query in every task; queries are bounded by QUERY_BLOCK.
+
+    Relevance is 1 - d / sqrt(2) of squared distances d, to six places, as of a flat
+    index. Of a block of distances only those that can still be among the k best of
+    their query are looked at.
+    """
+    # distances by one product: the last column takes half of a row's own square from it
+    half = np.concatenate([matrix, np.ones((len(matrix), 1))], 1)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, half, (matrix**2).sum(1), _by_scope(scopes)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, scopes = shared.value
-        n = len(ids)
-        rel, found = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        ids, half, squares, scoped = shared.value
+        best = Best(len(ids), k, -np.inf if threshold is None else threshold - 1e-9)
         for batch in batches:
-            step = max(1, CELLS // n)
-            for at in range(0, len(batch), step):
-                part = batch.slice(at, step)
-                x = np.asarray(part.column("vec_id").to_numpy(zero_copy_only=False), np.int64)
-                r = relevance(matrix, _packed(part, "embedding"))
-                if threshold is not None:
-                    r[r < threshold - 1e-9] = -np.inf
-                if same is not None:
-                    r[scopes[:, None] != np.array(part.column("scope").to_pylist(), object)[None]] = -np.inf
-                # what is above the worst kept so far joins it, then the k best stay, lower ids first among ties
-                r = np.concatenate([rel, r], 1)
-                x = np.concatenate([found, np.broadcast_to(x, (n, len(x)))], 1)
-                if r.shape[1] > 4 * k:
-                    near = np.argpartition(-r, 2 * k, axis=1)[:, : 2 * k]
-                    edge = -np.partition(-r, k - 1, axis=1)[:, k - 1]
-                    clear = (np.take_along_axis(r, near, 1) >= edge[:, None]).sum(1) == (r >= edge[:, None]).sum(1)
-                    if clear.all():  # no tie at the edge is left out
-                        r, x = np.take_along_axis(r, near, 1), np.take_along_axis(x, near, 1)
-                best = np.lexsort((x, -r), axis=1)[:, :k]
-                rel, found = np.take_along_axis(r, best, 1), np.take_along_axis(x, best, 1)
-        keep = np.isfinite(rel)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1)), pa.int64()), pa.array(found[keep], pa.int64()), pa.array(rel[keep], pa.float64())], names=["query_id", "vec_id", "relevance"])
-
-    columns = [F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", *([F.col(same).alias("scope")] if same else [])]
+            x = _packed(batch, "embedding")
+            x = np.concatenate([x, -(x**2).sum(1)[:, None] / 2], 1)
+            rows = np.asarray(batch.column("vec_id").to_numpy(zero_copy_only=False), np.int64)
+            for scope, own in _by_scope(batch.column("scope").to_pylist()).items() if same is not None else [(None, np.arange(len(batch)))]:
+                asked = scoped.get(scope, ()) if same is not None else np.arange(len(ids))
+                step = max(1, CELLS // max(1, len(asked)))
+                for at in range(0, len(own) if len(asked) else 0, step):
+                    part = own[at : at + step]
+                    near = half[asked] @ x[part].T
+                    # the edge a little lower than it is, because relevance is rounded
+                    edge = (squares[asked] - (1 - best.edge[asked] + 1e-6) * np.sqrt(2)) / 2
+                    q, r = np.nonzero(near >= edge[:, None])
+                    d = np.maximum(squares[asked[q]] - 2 * near[q, r], 0)
+                    best.offer(asked[q], np.round(1 - d / np.sqrt(2), 6), rows[part[r]])
+        q, score, row = best.settle()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(row, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "relevance"])
+
+    columns = [F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", *([F.col(same).cast("string").alias("scope")] if same else [])]
     rows = vectors.select(*columns).filter("embedding IS NOT NULL AND size(embedding) > 0")
     return rows.mapInArrow(meet, "query_id bigint, vec_id bigint, relevance double")
 
@@ -81,16 +80,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | N
     column (a scope); null equals null. `threshold` keeps what is relevant enough.
     Rows without a vector are never found; no queries or no rows give no rows.
     """
-    asked = queries.filter("embedding IS NOT NULL AND size(embedding) > 0").select(F.col("vec_id").cast("bigint").alias("query_id"), "embedding", (F.col(same) if same else F.lit(0)).alias("scope"))
+    spark = queries.sparkSession
+    asked = queries.filter("embedding IS NOT NULL AND size(embedding) > 0").select(F.col("vec_id").cast("bigint").alias("query_id"), "embedding", (F.col(same).cast("string") if same else F.lit(None).cast("string")).alias("scope"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     met = None
-    for b in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        rows = block.toPandas()
-        if len(rows):
-            part = _pass(vectors, rows, k, threshold, same)
-            met = part if met is None else met.unionByName(part)
-    if met is None:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, relevance double, rank int")
     best = W.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    for b in range(blocks):
+        # equal queries are in one block, and one of them stands for all
+        block = asked.filter(F.pmod(F.xxhash64("embedding", "scope"), F.lit(blocks)) == b) if blocks > 1 else asked
+        rows = block.toPandas().sort_values("query_id", kind="stable")
+        if not len(rows):
+            continue
+        scopes = [s if isinstance(s, str) else None for s in rows["scope"]]
+        ids, first = rows["query_id"].to_numpy(np.int64), {}
+        stands = np.array([first.setdefault((np.asarray(e, np.float64).tobytes(), s), i) for i, (e, s) in enumerate(zip(rows["embedding"], scopes))])
+        own = np.unique(stands)
+        part = _pass(vectors, ids[own], np.array([rows["embedding"].iloc[i] for i in own], np.float64), [scopes[i] for i in own], k, threshold, same)
+        part = part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        if len(own) < len(ids):
+            equal = spark.createDataFrame(pd.DataFrame({"query_id": ids[stands], "_q": ids}), "query_id bigint, _q bigint")
+            part = part.join(equal, "query_id").select(F.col("_q").alias("query_id"), "vec_id", "relevance", "rank")
+        met = part if met is None else met.unionByName(part)
+    return spark.createDataFrame([], "query_id bigint, vec_id bigint, relevance double, rank int") if met is None else met

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULTS, SECTION_STOPWORDS, EngineConfig
 from quire.functions import text as T
+from quire.functions.best import Best, places
+from quire.operators.dense import CELLS, QUERY_BLOCK
 
 
 def fuse(lists: list[DataFrame], query_id: str, id_col: str, k: int, config: EngineConfig = DEFAULTS) -> DataFrame:
@@ -53,6 +58,104 @@ def section_weights(sections: DataFrame, questions: DataFrame) -> DataFrame:
     return asked.join(names, "gram").groupBy("question_id", "section").agg(F.sum(F.length("gram") * F.length("gram")).alias("weight"))
 
 
+def question_grams(question: Column) -> Column:
+    """The parts of a question that sections are looked through for (see `section_weights`)."""
+    return F.filter(_section_grams(question), lambda g: ~g.isin(*SECTION_STOPWORDS))
+
+
+def pair_weight(asked: Column, named: Column) -> Column:
+    """The weight of a section for a question from the grams of both (see `section_weights`)."""
+    return F.aggregate(F.array_intersect(asked, named), F.lit(0).cast("bigint"), lambda a, g: a + F.length(g) * F.length(g))
+
+
+def heaviest_blocks(groups: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(`question_id`, `block_id`, `weight`): the k blocks in scope whose paths weigh most for a question; ties go to the lower id.
+
+    `groups` (`path`, `tier`, `home`, `ids`) has the first k blocks of each path in a
+    tier, in order; `questions` (`question_id`, `grams`, `kind`, `tier_found`) is a stated
+    set that is sent to the groups, QUERY_BLOCK at a time, equal ones once. Weights are
+    as of `section_weights`; of all pairs only those that can be among the k best
+    leave a task.
+    """
+    blocks = max(1, -(-questions.count() // QUERY_BLOCK))
+    best = W.partitionBy("question_id").orderBy(F.desc("weight"), "block_id")
+    rows, out = groups.select(_section_grams(F.col("path")).alias("grams"), "tier", "home", "ids"), None
+    for b in range(blocks):
+        asked = questions.filter(F.pmod(F.xxhash64("grams", "kind", "tier_found"), F.lit(blocks)) == b).collect() if blocks > 1 else questions.collect()
+        equal: dict[tuple, list[int]] = {}
+        for r in asked:
+            equal.setdefault((tuple(sorted(r["grams"] or ())), r["kind"], r["tier_found"]), []).append(r["question_id"])
+        cases = [c for c in equal if c[0]]
+        if not cases:
+            continue
+        stands = [min(equal[c]) for c in cases]
+        met = rows.mapInArrow(_meet_groups(groups.sparkSession, stands, cases, k), "question_id bigint, block_id bigint, weight bigint")
+        met = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        same = groups.sparkSession.createDataFrame([(at, i) for at, c in zip(stands, cases) for i in equal[c]], "question_id bigint, _q bigint")
+        met = met.join(same, "question_id").select(F.col("_q").alias("question_id"), "block_id", "weight", "rank")
+        out = met if out is None else out.unionByName(met)
+    return groups.sparkSession.createDataFrame([], "question_id bigint, block_id bigint, weight bigint, rank int") if out is None else out
+
+
+def _meet_groups(spark: SparkSession, stands: list[int], cases: list[tuple], k: int):
+    """What a task does with its groups of blocks: weigh their paths for all questions, keep the k best blocks of each."""
+    grams: dict[str, list[int]] = {}
+    for i, (parts, _, _) in enumerate(cases):
+        for g in parts:
+            grams.setdefault(g, []).append(i)
+    lists = [np.array(x, np.int64) for x in grams.values()]
+    shared = spark.sparkContext.broadcast((
+        np.array(stands, np.int64),
+        {g: i for i, g in enumerate(grams)},
+        np.array([len(g) ** 2 for g in grams], np.float64),
+        np.cumsum([0, *map(len, lists)]),
+        np.concatenate(lists),
+        np.array([kind == "all" for _, kind, _ in cases]),
+        np.array([kind == "local" for _, kind, _ in cases]),
+        np.array([tier if kind == "tier" and tier is not None else "" for _, kind, tier in cases], object),
+        np.array([kind == "tier" and tier is not None for _, kind, tier in cases]),
+    ))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stands, known, squares, begins, askers, free, local, tiers, tiered = shared.value
+        n = len(stands)
+        best, step = Best(n, k), max(1, CELLS // n)
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                m = len(batch)
+                pairs = [(r, v) for r, gs in enumerate(batch.column("grams").to_pylist()) for g in gs or () if (v := known.get(g)) is not None]
+                if not pairs:
+                    continue
+                r, v = np.array(pairs, np.int64).T
+                many = begins[v + 1] - begins[v]
+                # every gram of a path meets all who ask for it
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                cell = np.repeat(r, many) + m * askers[np.repeat(begins[v], many) + place]
+                weight = np.bincount(cell, np.repeat(squares[v], many), n * m).reshape(n, m)
+                home, tier = np.array(batch.column("home").to_pylist(), bool), np.array(batch.column("tier").to_pylist(), object)
+                fits = free[:, None] | local[:, None] & home[None] | tiered[:, None] & (tiers[:, None] == tier[None])
+                q, r = np.nonzero((weight > 0) & (weight >= best.edge[:, None]) & fits)
+                w = weight[q, r]
+                ids = batch.column("ids")
+                starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+                size = np.diff(starts)
+                # a group that k others stand before has no block among the best
+                order = np.lexsort((flat[starts[:-1]][r], -w, q))
+                q, r, w = q[order], r[order], w[order]
+                kept = places(q) < k
+                q, r, w = q[kept], r[kept], w[kept]
+                part = max(1, CELLS // k)
+                for a in range(0, len(q), part):
+                    each = size[r[a : a + part]]
+                    place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    best.offer(np.repeat(q[a : a + part], each), np.repeat(w[a : a + part], each), flat[np.repeat(starts[:-1][r[a : a + part]], each) + place])
+        q, w, i = best.settle()
+        yield pa.RecordBatch.from_arrays([pa.array(stands[q], pa.int64()), pa.array(i, pa.int64()), pa.array(w.astype(np.int64))], names=["question_id", "block_id", "weight"])
+
+    return meet
+
+
 def section_hits(sections: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(`question_id`, `block_id`, `weight`, `rank`): the k blocks whose sections weigh most for a question."""
     weights = section_weights(sections, questions)
@@ -98,23 +201,31 @@ def complete_sources(hits: DataFrame, chunks: DataFrame, limit: int, config: Eng
     Blocks without a path always count. Within a source blocks go by page (none last),
     path, section and text, then id.
 
-    Large sources are narrowed by their distinct paths, and blocks then meet what is
-    left on equality; only sources within the gate meet hits whole.
+    Sources that begin after the limit is reached are left out before any block is
+    met. Large sources are narrowed by their distinct paths, and blocks then meet what
+    is left on equality; only sources within the gate meet hits whole.
     """
     chunks = chunks.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("path", "section")}).filter("source IS NOT NULL")
     found = hits.join(chunks.select("block_id", "source", "path"), "block_id")
     first = found.groupBy("question_id", "source").agg(F.min("rank").alias("first_hit"), F.collect_set(F.when(F.col("path") != "", F.col("path"))).alias("hits"))
     sizes = chunks.groupBy("source").agg(F.count("*").alias("n"))
-    first = first.join(sizes, "source")
+    # a small source gives all its blocks, a large one at least the one that was hit
+    least = F.when(F.col("n") <= config.summary_full_source_max, F.col("n")).otherwise(1)
+    before = F.sum(least).over(W.partitionBy("question_id").orderBy("first_hit", "source").rowsBetween(W.unboundedPreceding, -1))
+    first = first.join(sizes, "source").withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < limit).drop("_before")
     place = (F.col("page").isNull(), F.coalesce("page", F.lit(0)), "path", "section", F.coalesce("text", F.lit("")), "block_id")
     kept = ["question_id", "first_hit", "source", "block_id", "page", "path", "section", "text"]
     small = first.filter(F.col("n") <= config.summary_full_source_max).join(chunks, "source").select(*kept)
     large = first.filter(F.col("n") > config.summary_full_source_max)
-    under = F.exists("hits", lambda h: F.col("path").startswith(h) | h.startswith(F.col("path")))
-    paths = large.join(chunks.select("source", "path").distinct(), "source").filter((F.size("hits") == 0) | under)
+    # which paths of a source belong to a path that was hit, once for all questions that hit it
+    named = chunks.select("source", "path").distinct()
+    asked = large.select("question_id", "first_hit", "source", F.explode("hits").alias("hit"))
+    belong = asked.select("source", "hit").distinct().join(named, "source").filter(F.col("path").startswith(F.col("hit")) | F.col("hit").startswith(F.col("path")))
+    paths = asked.join(belong, ["source", "hit"]).select("question_id", "first_hit", "source", "path").distinct()
+    paths = paths.unionByName(large.filter(F.size("hits") == 0).join(named, "source").select("question_id", "first_hit", "source", "path"))
     # no more than the first `limit` blocks of a path of a source can be kept
-    heads = chunks.withColumn("_k", F.row_number().over(W.partitionBy("source", "path").orderBy(*place))).filter(F.col("_k") <= limit).drop("_k")
-    rows = small.unionByName(paths.select("question_id", "first_hit", "source", "path").join(heads, ["source", "path"]).select(*kept))
+    heads = chunks.join(sizes.filter(F.col("n") > config.summary_full_source_max).select("source"), "source", "left_semi").withColumn("_k", F.row_number().over(W.partitionBy("source", "path").orderBy(*place))).filter(F.col("_k") <= limit).drop("_k")
+    rows = small.unionByName(paths.join(heads, ["source", "path"]).select(*kept))
     order = W.partitionBy("question_id").orderBy("first_hit", "source", *place)
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("question_id", "block_id", "position")
 

@@ -11,6 +11,7 @@ from quire.config import DEFAULTS, UNKNOWN_ANSWER, WEB_FAILED, WEB_NOTICE, WEB_O
 from quire.functions import text as T
 from quire.operators import ranking
 from quire.plans.retrieve import Corpus, retrieve
+from quire.session import cut
 
 
 class AnswerProvider(Protocol):
@@ -35,23 +36,39 @@ def answers(found: Corpus, questions: DataFrame, config: EngineConfig = DEFAULTS
     or with an empty or blank question, it is unknown and offers a search.
     """
     provider = provider or Extractive()
-    hits, asked = retrieve(found, questions.filter("trim(question) <> ''"), queries, config)
-    context = ranking.contexts(hits, found.blocks.drop("path"))
-    out = questions.select("question_id", "question").join(context, "question_id", "left").join(asked.select("question_id", "is_report"), "question_id", "left")
+    asked_for = questions.filter("trim(question) <> ''").select("question_id", "question")
+    stands = alike(asked_for, queries)
+    first = stands.filter("question_id = first_id").select("question_id")
+    hits, asked = retrieve(found, asked_for.join(first, "question_id", "left_semi"), None if queries is None else queries.join(first, "question_id", "left_semi"), config)
+    # what is given is made once for all that ask the same, whose words are equal
+    given = F.nullif(T.strip(T.outside_titles(provider.answer(F.col("question"), F.col("context")), config.sanitize_rules)), F.lit(""))
+    made = asked.select("question_id", "question", "is_report").join(ranking.contexts(hits, found.blocks.drop("path")), "question_id", "left")
+    made = made.select(F.col("question_id").alias("first_id"), "is_report", "sources", F.col("context").isNotNull().alias("hit"), F.when(F.col("context").isNotNull(), given).alias("given"))
+    out = questions.select("question_id").join(stands, "question_id", "left").join(made, "first_id", "left")
     none = F.array().cast("array<string>")
     if history is None:
         out = out.withColumns({"past": F.lit(None).cast("string"), "past_sources": none})
     else:
         out = out.join(history.select("question_id", F.col("answer").alias("past"), F.col("sources").alias("past_sources")), "question_id", "left")
-    given = T.outside_titles(provider.answer(F.col("question"), F.col("context")), config.sanitize_rules)
     past = F.when(~F.coalesce("is_report", F.lit(False)), T.outside_titles(F.col("past"), config.sanitize_rules))
-    answer = F.when(F.col("context").isNotNull(), F.nullif(T.strip(given), F.lit(""))).otherwise(past)
-    sources = F.when(F.col("context").isNotNull(), F.col("sources")).otherwise(F.col("past_sources"))
+    answer = F.when(F.col("hit"), F.col("given")).otherwise(past)
+    sources = F.when(F.col("hit"), F.col("sources")).otherwise(F.col("past_sources"))
     out = out.select("question_id", answer.alias("answer"), sources.alias("sources"))
     unknown = F.col("answer").isNull() | T.squeeze(F.col("answer")).isin(*["".join(u.split()) for u in config.unknown_answers])
     return out.select("question_id", F.when(unknown, F.lit(UNKNOWN_ANSWER + WEB_OFFER)).otherwise(F.col("answer")).alias("answer"), F.when(unknown, none).otherwise(F.coalesce("sources", none)).alias("sources"), unknown.alias("unknown"))
 
 
+def alike(questions: DataFrame, queries: DataFrame | None) -> DataFrame:
+    """(`question_id`, `first_id`): the first of the questions with the same words and the same queries, which find the same blocks."""
+    if queries is None:
+        rows = questions.withColumn("listed", F.lit(None).cast("string"))
+    else:
+        listed = queries.groupBy("question_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "query")))).alias("listed"))
+        rows = questions.join(listed, "question_id", "left")
+    rows = rows.select("question_id", F.struct("question", "listed").alias("asks"))
+    return cut(rows.join(rows.groupBy("asks").agg(F.min("question_id").alias("first_id")), "asks").select("question_id", "first_id"))
+
+
 def web_answers(searches: DataFrame, results: DataFrame, config: EngineConfig = DEFAULTS, provider: AnswerProvider | None = None) -> DataFrame:
     """(`conv_id`, `turn`, `answer`, `unknown`) of searches on the web (`conv_id`, `turn`, `query`), from merged results.
 

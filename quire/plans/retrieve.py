@@ -54,25 +54,20 @@ def scopes(blocks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAU
 def section_places(found: Corpus, questions: DataFrame, asked: DataFrame, named: DataFrame, local: DataFrame, depth: int) -> DataFrame:
     """(`question_id`, `block_id`, `weight`, `rank`): the blocks in scope whose paths weigh most for a question.
 
-    Paths are weighed once. How many blocks each has in a scope tells which of them
-    can reach the first `depth`; only these meet their blocks, the first `depth` of a
-    path in a tier. Blocks of files that a question names are met through the file.
+    Questions are sent to the paths, each with the first `depth` of its blocks in a
+    tier, and only what can be among the best of a question leaves a task. Blocks of
+    files that a question names are met through the file.
     """
-    weights = cut(ranking.section_weights(found.blocks.select(F.col("path").alias("section")), questions).withColumnRenamed("section", "path"))
+    grams = questions.select("question_id", ranking.question_grams(F.col("question")).alias("grams"))
+    grams = cut(grams.join(asked.select("question_id", "kind", "tier_found"), "question_id"))
     blocks = found.blocks.filter("path IS NOT NULL AND path <> ''").select("block_id", "source", "path", F.coalesce("tier", F.lit("")).alias("tier"))
     blocks = cut(blocks.join(local.withColumn("home", F.lit(True)), "source", "left").withColumn("home", F.coalesce("home", F.lit(False))))
     part = ["path", "tier", "home"]
-    counted = blocks.groupBy(*part).agg(F.count("*").alias("n"))
-    kinds = asked.select("question_id", "kind", "tier_found")
-    ok = F.when(F.col("kind") == "tier", F.col("tier") == F.col("tier_found")).when(F.col("kind") == "local", F.col("home")).otherwise(F.col("kind") == "all")
-    near = weights.join(kinds, "question_id").join(counted, "path").filter(ok)
-    heavier = W.partitionBy("question_id").orderBy(F.desc("weight")).rangeBetween(W.unboundedPreceding, -1)
-    near = near.withColumn("before", F.coalesce(F.sum("n").over(heavier), F.lit(0))).filter(F.col("before") < depth).select("question_id", "weight", *part)
-    heads = ranking.numbered(blocks, part, ["block_id"]).filter(F.col("position") <= depth).select("block_id", *part)
-    wide = near.join(heads, part).select("question_id", "block_id", "weight")
-    own = kinds.filter("kind = 'named'").join(named, "question_id").join(blocks, "source").filter("tier_found IS NULL OR tier = tier_found")
-    own = own.join(weights, ["question_id", "path"]).select("question_id", "block_id", "weight")
-    return ranking.top(wide.unionByName(own), ["question_id"], "weight", "block_id", depth)
+    heads = ranking.numbered(blocks, part, ["block_id"]).filter(F.col("position") <= depth).groupBy(*part).agg(F.sort_array(F.collect_list("block_id")).alias("ids"))
+    wide = ranking.heaviest_blocks(heads, grams.filter("kind <> 'named'"), depth)
+    own = grams.filter("kind = 'named'").join(named, "question_id").join(blocks, "source").filter("tier_found IS NULL OR tier = tier_found")
+    own = own.select("question_id", "block_id", ranking.pair_weight(F.col("grams"), ranking.question_grams(F.col("path"))).alias("weight")).filter("weight > 0")
+    return wide.unionByName(ranking.top(own, ["question_id"], "weight", "block_id", depth))
 
 
 def ranked_lists(found: Corpus, queries: DataFrame, asked: DataFrame, named: DataFrame, local: DataFrame, depth: int, config: EngineConfig = DEFAULTS) -> DataFrame:

@@ -121,3 +121,30 @@ def test_section_places_are_the_heaviest_in_scope(spark):
         for n, ok in inside.items():
             want = sorted((-weights[n, b[5]], b[0]) for b in rows() if ok(b) and (n, b[5]) in weights)
             assert got.get(n, []) == [i for _, i in want[:depth]], (n, depth)
+
+
+def test_questions_that_ask_the_same_are_looked_up_once(spark):
+    asked = spark.createDataFrame([(i, f"第{i % 3}项由谁组织") for i in range(30)], "question_id bigint, question string")
+    queries = spark.createDataFrame([(i, 1, f"问{i % 2}") for i in range(30)], "question_id bigint, turn int, query string")
+    stands = {r["question_id"]: r["first_id"] for r in answer.alike(asked, queries).collect()}
+    assert stands == {i: i % 6 for i in range(30)}
+
+
+def test_heaviest_blocks_against_all_pairs(spark):
+    """No pair of a question and a path is written; what comes out is what all pairs give."""
+    df = spark.createDataFrame(rows(), BLOCKS)
+    part = {}
+    for i, source, _, tier, _, path, _ in rows():
+        if path:
+            part.setdefault((path, tier or "", source.startswith("关于")), []).append(i)
+    asked = [(1, TOPICS[0], "all", None), (2, TOPICS[1] + TOPICS[0], "tier", "省级政策"), (3, TOPICS[2] + "第三节", "local", None), (4, TOPICS[0], "all", None), (5, "的", "all", None)]
+    questions = spark.createDataFrame(asked, "question_id bigint, question string, kind string, tier_found string")
+    weights = {(r["question_id"], r["section"]): r["weight"] for r in ranking.section_weights(df.selectExpr("path AS section"), questions).collect()}
+    groups = spark.createDataFrame([(*k, sorted(v)[:4]) for k, v in part.items()], "path string, tier string, home boolean, ids array<bigint>")
+    grams = questions.withColumn("grams", ranking.question_grams(questions.question))
+    got = {}
+    for r in ranking.heaviest_blocks(groups, grams, 4).orderBy("question_id", "rank").collect():
+        got.setdefault(r["question_id"], []).append((-r["weight"], r["block_id"]))
+    for n, _, kind, tier in asked:
+        want = [(-weights[n, path], i) for (path, t, home), ids in part.items() for i in ids if (n, path) in weights and (kind == "all" or kind == "tier" and t == tier or kind == "local" and home)]
+        assert got.get(n, []) == sorted(want)[:4], n
