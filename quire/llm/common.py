@@ -69,14 +69,3 @@ def bounded_sample(df: DataFrame, strata: str, key: str, per_stratum: int) -> Da
     order = W.partitionBy(strata, "_part").orderBy(F.xxhash64(F.col(key)), F.col(key))
     df = df.withColumn("_part", F.pmod(F.hash(F.col(key)), F.lit(parts)))
     return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= per_stratum // parts).drop("_rn", "_part")
-
-
-def pool(df: DataFrame, key: str, rows: int = 40_000) -> DataFrame:
-    """About `rows` rows, those of smallest hash of `key`: all of a small table.
-
-    Bounds what tagging and stratifying a sample costs, whatever the table's size.
-    """
-    n = df.count()
-    if n <= rows:
-        return df
-    return df.filter(F.xxhash64(F.col(key)) < F.lit(int(2**64 * (rows / n)) - 2**63))

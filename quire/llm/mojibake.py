@@ -5,8 +5,8 @@ dictionaries, one a language; the chain of decodings with the least
 description length, its own cost included, is chosen, and a field stays as it
 is when none is shorter.
 
-The model (dictionaries and character costs) is fitted on a bounded sample of
-`SAMPLE_PER_LANGUAGE` rows a language; every field of every row is judged.
+The model (dictionaries, character costs and known contexts) is counted over all
+rows; every field of every row is judged.
 
 Defined results
 ---------------
@@ -21,33 +21,38 @@ from __future__ import annotations
 
 import codecs
 import math
+import random
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import LETTERS, bounded_sample, language, pool
+from quire.llm.common import FUNCTION_WORDS, LETTERS, SCRIPT_LANGUAGES
+from quire.session import cut
 
-#: Rows of each language that the dictionaries are trained on, and their size.
-SAMPLE_PER_LANGUAGE = 800
-DICTIONARY_BYTES = 40_000
+#: Size of a language's dictionary, and of the pieces of most use that it is made from.
+DICTIONARY_BYTES, PIECE_BYTES = 40_000, 400_000
+#: Code points of a piece, and times that it stands in what the dictionary is made from.
+LONGEST_PIECE, MOST_TIMES = 64, 50
 #: Cost in bytes of one step of a chain, and of one character that is lost.
 CHAIN_COST, LOST_COST = 3.0, 6.0
 #: Bits a character must get cheaper before a single-byte map may touch it.
 CHEAPER_BITS = 4.0
 UNSEEN_BITS = 22.0
-#: Rows of the sample whose characters cost so many times the median are not trained on.
+#: Rows whose characters cost so many times the median are not learned from.
 DEAREST = 1.3
 MOST_STEPS = 3
-#: Share of a language's fitted rows, two rows at least, that make a context known.
+#: Share of a language's rows, two rows at least, that make a character or a context known.
 KNOWN_SHARE = 0.0025
 
 # Encodings that texts were written in and wrongly read as.
@@ -131,7 +136,7 @@ def _unit(data: bytes, encoding: str) -> str:
 
 
 class _Bits(dict):
-    """Bits of characters; UNSEEN_BITS of those that the sample lacks."""
+    """Bits of characters; UNSEEN_BITS of those that are not known."""
 
     def __missing__(self, c: str) -> float:
         return UNSEEN_BITS
@@ -157,7 +162,7 @@ def _read_singly(text: str, own: set[str], bits: _Bits) -> set[str]:
 
 
 class Model:
-    """Per-language dictionaries, character costs and known contexts of the sample."""
+    """Per-language dictionaries, character costs and known contexts of the corpus."""
 
     def __init__(self, dictionaries: dict[str, bytes], bits: dict[str, float], contexts: set[str]):
         self.bits, self.contexts = _Bits(bits), contexts
@@ -180,8 +185,8 @@ class Model:
         return _cost(self.bits, text)
 
     def odd(self, text: str) -> set[str]:
-        """Characters that the sample does not have, or has in other or too rare contexts only,
-        and such as read as UTF-8 are cheaper, however often the sample has them.
+        """Characters that the corpus has too rarely, or in other or too rare contexts only,
+        and such as read as UTF-8 are cheaper, however often the corpus has them.
         """
         own = set(text)
         out = own.difference(self.known)
@@ -399,57 +404,276 @@ class Model:
         return broken or fixed != text or not all(map(_assigned, odd)), fixed
 
 
+#: What is counted in rows of a language: `counts[kind][form]`.
+Counts = dict[str, Counter]
+#: Counted forms that a task holds before it passes them on.
+MOST_FORMS = 400_000
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts one after the other, and the length of each text."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _chars(counts: Counts, texts: list[str]) -> None:
+    """Characters, the rows that have them, and rows."""
+    codes, size = _codes(texts)
+    n = np.bincount(codes)
+    present = np.flatnonzero(n)
+    place = np.zeros(len(n), np.uint16 if len(present) <= 65536 else np.uint32)
+    place[present] = np.arange(len(present))
+    places = place[codes]
+    order = np.argsort(places, kind="stable")  # by character, and the rows of each in order
+    places, row = places[order], np.repeat(np.arange(len(texts), dtype=np.int32), size)[order]
+    first = np.ones(len(row), bool)
+    first[1:] = (places[1:] != places[:-1]) | (row[1:] != row[:-1])
+    chars = list(map(chr, present.tolist()))
+    counts["char"].update(dict(zip(chars, n[present].tolist())))
+    counts["having"].update(dict(zip(chars, np.bincount(places[first]).tolist())))
+    counts["rows"][""] += len(texts)
+
+
+class _Prices:
+    """Bits a character of each row, in thousandths."""
+
+    def __init__(self, bits: dict[str, float]):
+        self.bits = _Bits(bits)
+        self.table = np.full(0x110000, UNSEEN_BITS)
+        self.table[[ord(c) for c in bits]] = list(bits.values())
+
+    def of(self, texts: list[str]) -> list[int]:
+        codes, size = _codes(texts)
+        return np.rint(1000 * np.add.reduceat(self.table[codes], np.cumsum(size) - size) / size).astype(int).tolist()
+
+    def count(self, counts: Counts, texts: list[str]) -> None:
+        counts["price"].update(map(str, self.of(texts)))
+
+
+def pieces(texts: list[str]) -> Iterator[str]:
+    """Texts cut wherever two characters have a certain hash, so that equal passages give equal pieces."""
+    text = "".join(texts)
+    codes, size = _codes([text])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    cut_after = np.zeros(len(codes), bool)
+    cut_after[1:] = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)) >> np.uint32(29) == 0
+    cut_after[ends[:-1]] = False  # the hash of two rows
+    cut_after[ends - 1] = True
+    at = 0
+    for to in (np.flatnonzero(cut_after) + 1).tolist():
+        while to - at > LONGEST_PIECE:
+            yield text[at : at + LONGEST_PIECE]
+            at += LONGEST_PIECE
+        yield text[at:to]
+        at = to
+
+
+#: Code points that begin UTF-8 read by single bytes, and those that are judged in context.
+_LEADS_READ, _IN_CONTEXT = 1, 2
+_FLAGS = np.zeros(0x110000, np.uint8)
+_FLAGS[[ord(c) for c in _LEADING]] |= _LEADS_READ
+_FLAGS[[ord(c) for c in _LETTERS]] |= _IN_CONTEXT
+
+
+class _Kept:
+    """Characters, contexts and pieces of the rows that are learned from."""
+
+    def __init__(self, bits: dict[str, float], most: dict[str, float]):
+        self.prices, self.most = _Prices(bits), most
+
+    def count(self, counts: Counts, texts: list[str], lang: str) -> None:
+        bits, most = self.prices.bits, self.most[lang]
+        codes, size = _codes(texts)
+        flags = np.bitwise_or.reduceat(_FLAGS[codes], np.cumsum(size) - size).tolist()
+        kept = []
+        for price, flag, t in zip(self.prices.of(texts), flags, texts):
+            if price <= most and not (flag & _LEADS_READ and _read_singly(t, set(t), bits)):
+                kept.append(t)
+                if flag & _IN_CONTEXT:
+                    counts["context"].update({m.group(0) + t[m.end() : m.end() + 1] for m in _CONTEXT.finditer(t)})
+        if kept:
+            _chars(counts, kept)
+            counts["piece"].update(pieces(kept))
+
+
+def _bits(counts: dict[str, Counts]) -> dict[str, float]:
+    """Cost of a character where it is likeliest; one in too few rows is not known."""
+    out: dict[str, float] = {}
+    for c in counts.values():
+        total, least = sum(c["char"].values()), max(2, KNOWN_SHARE * c["rows"][""])
+        for char in (char for char, k in c["having"].items() if k >= least):
+            out[char] = min(out.get(char, UNSEEN_BITS), -math.log2(c["char"][char] / total))
+    return out
+
+
+def _most(prices: Counter) -> float:
+    """The dearest price of a row that is learned from."""
+    middle, upto = sum(prices.values()) // 2, 0
+    for price in sorted(map(int, prices)):
+        upto += prices[str(price)]
+        if upto > middle:
+            return DEAREST * price
+    return 0.0
+
+
+def dictionary(counted: dict[str, int]) -> bytes:
+    """A dictionary from pieces, each as often as it stands in the corpus beside the rarest of them."""
+    least = min(counted.values(), default=1)
+    often = [p.encode("utf-8", "surrogatepass") for p, n in sorted(counted.items()) for _ in range(min(MOST_TIMES, round(n / least)))]
+    random.Random(1).shuffle(often)
+    data = [b"".join(often[i : i + 30]) for i in range(0, len(often), 30)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, data, level=1).as_bytes()
+    except zstandard.ZstdError:  # too few of them: the pieces themselves
+        return b"".join(data)[-DICTIONARY_BYTES:].ljust(8, b" ")
+
+
+def _learned(tally: Callable[[Callable], dict[str, Counts]]) -> tuple:
+    """The model's parts; `tally` counts in all rows what it is told to."""
+    bits = _bits(tally(lambda counts, texts, lang: _chars(counts, texts)))
+    prices = _Prices(bits)
+    most = {lang: _most(c["price"]) for lang, c in tally(lambda counts, texts, lang: prices.count(counts, texts)).items()}
+    kept = tally(_Kept(bits, most).count)
+    # a row by itself, or a few that are decoded wrongly alike, make no context known
+    contexts = {k for c in kept.values() for k, n in c["context"].items() if n >= max(2, KNOWN_SHARE * c["rows"][""])}
+    return {lang: dictionary(c["piece"]) for lang, c in kept.items()}, _bits(kept), contexts
+
+
+def _gain(n: int, size: int) -> int:
+    """Step of the bytes that a piece has in the corpus."""
+    return int(8 * math.log2(n * size))
+
+
+def _room(steps: dict[int, int]) -> tuple[int, float]:
+    """The step down to which pieces fit PIECE_BYTES, and the share of that last step that fits."""
+    room = PIECE_BYTES
+    for step in sorted(steps, reverse=True):
+        if steps[step] > room:
+            return step, room / steps[step]
+        room -= steps[step]
+    return min(steps, default=0), 1.0
+
+
+def train(by: dict[str, list[str]]) -> tuple:
+    """The model's parts from rows at hand, all of them."""
+
+    def tally(count: Callable) -> dict[str, Counts]:
+        out: dict[str, Counts] = {lang: defaultdict(Counter) for lang in by}
+        for lang, rows in by.items():
+            if texts := [t for t in rows if t]:
+                count(out[lang], texts, lang)
+            if held := out[lang].get("piece"):
+                size = {p: len(p.encode("utf-8", "surrogatepass")) for p in held}
+                steps = Counter()
+                for p, n in held.items():
+                    steps[_gain(n, size[p])] += size[p]
+                last, share = _room(steps)
+                rest = sorted(p for p, n in held.items() if _gain(n, size[p]) == last)
+                rest = set(rest[: math.ceil(share * len(rest))])
+                out[lang]["piece"] = Counter({p: n for p, n in held.items() if _gain(n, size[p]) > last or p in rest})
+        return out
+
+    return _learned(tally)
+
+
+def _tables() -> tuple[np.ndarray, dict[str, str]]:
+    """The script of each code point by its place among SCRIPT_LANGUAGES, and the language of each function word."""
+    script = np.zeros(0x110000, np.uint8)
+    for i, cls in enumerate(SCRIPT_LANGUAGES.values(), 1):
+        ends = [int(x, 16) for x in re.findall(r"x\{(\w+)\}", cls)]
+        for first, last in zip(ends[::2], ends[1::2]):
+            script[first : last + 1] = i
+    script[[0xFFFD, *range(0x80, 0x85), *range(0x86, 0xA0), *range(0xE000, 0xF900)]] = len(SCRIPT_LANGUAGES) + 1
+    return script, {word: lang for lang, words in FUNCTION_WORDS.items() for word in words.split("|")}
+
+
+_SCRIPT, _WORD_OF = _tables()
+
+
+def parted(texts: list[str], lang: str | None = None) -> dict[str, list[str]]:
+    """Texts without broken code points by a coarse language tag, or under the one given.
+
+    Eight characters of a script tell it, else the most frequent function words.
+    """
+    out: dict[str, list[str]] = defaultdict(list)
+    if not texts:
+        return out
+    codes, size = _codes(texts)
+    kinds = len(SCRIPT_LANGUAGES) + 2
+    n = np.bincount(np.repeat(np.arange(len(texts)) * kinds, size) + _SCRIPT[codes], minlength=kinds * len(texts)).reshape(-1, kinds)
+    many = n[:, 1:-1] >= 8
+    langs = list(SCRIPT_LANGUAGES)
+    for t, broken, found, first in zip(texts, n[:, -1].tolist(), many.any(1).tolist(), many.argmax(1).tolist()):
+        if not broken:
+            if found or lang:
+                out[lang or langs[first]].append(t)
+            else:
+                hits = Counter(map(_WORD_OF.get, t.lower().split()))
+                out[max(FUNCTION_WORDS, key=lambda x: (hits[x], x))].append(t)
+    return out
+
+
+def _counted(rows: DataFrame, count: Callable) -> DataFrame:
+    """(`lang`, `kind`, `form`, `n`): what `count` counts in all rows (`text`, `lang` or null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counts] = defaultdict(lambda: defaultdict(Counter))
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for lang, kinds in held.items():
+                for kind, forms in kinds.items():
+                    names = [pa.array([x] * len(forms), pa.string()) for x in (lang, kind)]
+                    yield pa.RecordBatch.from_arrays([*names, pa.array(list(forms), pa.string()), pa.array(list(forms.values()), pa.int64())], names=["lang", "kind", "form", "n"])
+            held.clear()
+
+        for batch in batches:
+            by = defaultdict(list)
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                by[lang].append(text)
+            for name, of in by.items():
+                for lang, texts in parted(of, name).items():
+                    count(held[lang], texts, lang)
+            if sum(len(forms) for kinds in held.values() for forms in kinds.values()) > MOST_FORMS:
+                yield from passed_on()
+        yield from passed_on()
+
+    return rows.mapInArrow(run, "lang string, kind string, form string, n bigint").groupBy("lang", "kind", "form").agg(F.sum("n").alias("n"))
+
+
 def fit(fields: DataFrame) -> tuple:
-    """The model's parts from a bounded sample of (`_id`, `text`, `source`).
+    """The model's parts from all rows of (`_id`, `text`, `source`).
 
     Rows with broken code points are left out, and so are the dearest rows of
     each language under a first estimate of the costs and those with passages that
-    are cheaper as UTF-8, which is where wrongly decoded rows of the sample are. Names of sources are a stratum of their own.
+    are cheaper as UTF-8, which is where wrongly decoded rows are. Names of sources are a stratum of their own.
+    Counts are summed where the rows lie; the driver gets those of characters, prices
+    and known contexts, bounded by Unicode and KNOWN_SHARE, and PIECE_BYTES of pieces a language.
     """
-    clean = ~F.col("text").rlike("[\\x{FFFD}\\x{80}-\\x{84}\\x{86}-\\x{9F}\\x{E000}-\\x{F8FF}]")
-    fields = pool(fields, "_id")
-    texts = fields.select("_id", "text").filter(F.length("text") >= 12).withColumn("_lang", language(F.col("text"))).filter(clean)
-    names = fields.select(F.xxhash64("source").alias("_id"), F.col("source").alias("text")).filter(clean).distinct().withColumn("_lang", F.lit("source"))
-    both = texts.select("_lang", "_id", "text").unionByName(names.select("_lang", "_id", "text"))
-    by: dict[str, list[str]] = {}
-    for lang, text in sorted(tuple(r) for r in bounded_sample(both, "_lang", "_id", SAMPLE_PER_LANGUAGE).select("_lang", "text").collect()):
-        by.setdefault(lang, []).append(text)
-    return train(by)
-
-
-def _bits(texts: dict[str, list[str]]) -> _Bits:
-    """Cost of a character where it is likeliest."""
-    out = _Bits()
-    for rows in texts.values():
-        n = Counter(c for t in rows for c in t)
-        rows_with = Counter(c for t in rows for c in set(t))
-        total = sum(n.values())
-        for c in (c for c, k in rows_with.items() if k >= 2):
-            out[c] = min(out.get(c, UNSEEN_BITS), -math.log2(n[c] / total))
-    return out
-
+    names = cut(fields.select(F.col("source").alias("text")).filter(F.length("text") > 0).distinct())
+    rows = fields.select("text", F.lit(None).cast("string").alias("lang")).filter(F.length("text") >= 12).unionByName(names.withColumn("lang", F.lit("source")))
+
+    def tally(count: Callable) -> dict[str, Counts]:
+        out: dict[str, Counts] = defaultdict(lambda: defaultdict(Counter))
+        found = _counted(rows, count)
+        if isinstance(getattr(count, "__self__", None), _Kept):
+            found = cut(found)
+            of = found.filter("kind = 'rows'").select("lang", F.col("n").alias("_of"))
+            known = found.filter("kind = 'context'").join(F.broadcast(of), "lang").filter(F.col("n") >= F.greatest(F.lit(2), KNOWN_SHARE * F.col("_of"))).drop("_of")
+            size = F.octet_length("form")
+            held = found.filter("kind = 'piece'").withColumn("_step", F.floor(8 * F.log2(F.col("n") * size)))
+            steps: dict[str, dict[int, int]] = defaultdict(dict)
+            for lang, step, n in held.groupBy("lang", "_step").agg(F.sum(size)).collect():
+                steps[lang][step] = n
+            last = [(lang, *_room(s)) for lang, s in steps.items()]
+            last = fields.sparkSession.createDataFrame(last, "lang string, _last bigint, _share double")
+            # of the last step as many as fit, by their hash: they are worth the same
+            fits = (F.col("_step") > F.col("_last")) | (F.col("_step") == F.col("_last")) & (F.pmod(F.xxhash64("form"), F.lit(1000)) < 1000 * F.col("_share"))
+            held = held.join(F.broadcast(last), "lang").filter(fits).drop("_step", "_last", "_share")
+            found = found.filter("kind NOT IN ('context', 'piece')").unionByName(known).unionByName(held)
+        for lang, kind, form, n in found.collect():
+            out[lang][kind][form] = n
+        return out
 
-def train(by: dict[str, list[str]]) -> tuple:
-    bits = _bits(by)
-    kept = {}
-    for lang, rows in by.items():
-        price = [_cost(bits, t) / max(1, len(t)) for t in rows]
-        most = DEAREST * sorted(price)[len(price) // 2]
-        kept[lang] = [t for p, t in zip(price, rows) if p <= most and not _read_singly(t, set(t), bits)]
-    bits = _bits(kept)
-    out = {}
-    for lang, rows in kept.items():
-        data = [t.encode("utf-8", "surrogatepass") for t in rows]
-        try:
-            out[lang] = zstandard.train_dictionary(DICTIONARY_BYTES, data, level=1).as_bytes()
-        except zstandard.ZstdError:  # too few samples: the rows themselves
-            out[lang] = b"\n".join(data)[-DICTIONARY_BYTES:].ljust(8, b" ")
-    contexts = set()
-    for rows in kept.values():
-        # a row by itself, or a few that are decoded wrongly alike, make no context known
-        seen = Counter(k for t in rows for k in {m.group(0) + t[m.end() : m.end() + 1] for m in _CONTEXT.finditer(t)})
-        contexts |= {k for k, n in seen.items() if n >= max(2, KNOWN_SHARE * len(rows))}
-    return out, dict(bits), contexts
+    return _learned(tally)
 
 
 JUDGED = T.StructType([T.StructField("bad", T.BooleanType()), T.StructField("fixed", T.StringType())])
@@ -461,7 +685,7 @@ def _field_udf(spark: SparkSession, fields: DataFrame, ask, kind: T.DataType):
     """A vectorised function of a string column: what a fitted model says of each field.
 
     What is sent to every executor is bounded: DICTIONARY_BYTES a language and
-    one number for each code point of the sample.
+    one number for each code point of the corpus.
     """
     shared = spark.sparkContext.broadcast(fit(fields))
 

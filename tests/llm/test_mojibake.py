@@ -89,3 +89,13 @@ def test_shortest_of_all_offers(model, monkeypatch):
     offers = [(text[i:][::-1] + text[:i], 1) for i in range(8, 0, -1)] + [(text, 1)]
     monkeypatch.setattr(model, "steps", lambda t, odd: iter(offers if t == wrong else ()))
     assert model.judge(wrong) == (True, text)
+
+
+def test_model_is_counted_over_all_rows(spark):
+    """Rows beyond any draw count: the model of a table is that of all its rows, however they lie."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(ZH).format(rng.randint(1, 9999)) for _ in range(2)) + chr(0x5000 + i // 40) for i in range(2400)]
+    df = spark.createDataFrame([(i, t, f"{i % 30}号.pdf") for i, t in enumerate(texts)], "_id bigint, text string, source string")
+    fitted = mojibake.fit(df)
+    assert fitted == mojibake.train({"zh": texts, "source": [f"{i}号.pdf" for i in range(30)]}) == mojibake.fit(df.repartition(7))
+    assert {chr(0x5000 + i) for i in range(60)} <= set(fitted[1])
