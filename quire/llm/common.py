@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,6 +54,11 @@ def language(text: Column) -> Column:
     return out.otherwise(F.array_max(hits)["lang"])
 
 
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts one after the other, and the length of each text."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
 #: Rows that a window keeps of a part of a stratum; up to here Spark limits it before the shuffle.
 PART_ROWS = 1000
 

@@ -33,12 +33,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import LETTERS
+from quire.llm.common import LETTERS, code_points
 from quire.llm.mojibake import wrong_udf
 from quire.session import cut
 
@@ -94,6 +95,9 @@ def _ranges(chars) -> list[tuple[int, int]]:
 _COMBINING = [chr(o) for o in range(0x300, 0x3100) if unicodedata.combining(chr(o)) and (o < 0x370 or o in (0x653, 0x654, 0x655, 0x3099, 0x309A))]
 _JAMO = [chr(o) for o in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))]
 _SUSPECT = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges([*VARIANTS, *_COMBINING, *_JAMO, "ﾞ", "ﾟ", *LETTERS])) + "]|ํา")
+#: Whether a code point has to be in a field in question.
+_ASKED = np.zeros(0x110000, bool)
+_ASKED[[ord(c) for c in (*VARIANTS, *_COMBINING, *_JAMO, "ﾞ", "ﾟ", *LETTERS, "ํ")]] = True
 #: Plain forms of more than one character, counted where they stand.
 _LONG = sorted({p for p in VARIANTS.values() if len(p) > 1 and p.isascii()})
 #: A variant with its marks, or a letter with marks of its own or its jamo.
@@ -187,9 +191,15 @@ def _scan(columns: tuple[str, ...]):
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            text = "\n".join(t for c in columns for t in p[c] if t)
-            fields = [(b, c, t) for c in columns for b, t in zip(p["block_id"], p[c]) if t and _SUSPECT.search(t)]
-            strings = Counter(text)
+            every = [(b, c, t) for c in columns for b, t in zip(p["block_id"], p[c]) if t]
+            if not every:
+                continue
+            texts = [t for _, _, t in every]
+            codes, size = code_points(texts)
+            asked = np.logical_or.reduceat(_ASKED[codes], np.cumsum(size) - size).tolist()
+            fields = [x for x, a in zip(every, asked) if a and _SUSPECT.search(x[2])]
+            text, n = "\n".join(texts), np.bincount(codes)
+            strings = Counter({chr(c): int(n[c]) for c in np.flatnonzero(n)})
             strings.update(s for _, _, t in fields for s in _STRING.findall(t) if 1 < len(s) <= LONGEST)
             strings.update({s: text.count(s) for s in _LONG})
             words = Counter(_WORD.findall(text))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import FUNCTION_WORDS, LETTERS, SCRIPT_LANGUAGES
+from quire.llm.common import FUNCTION_WORDS, LETTERS, SCRIPT_LANGUAGES, code_points
 from quire.session import cut
 
 #: Size of a language's dictionary, and of the pieces of most use that it is made from.
@@ -410,14 +410,9 @@ Counts = dict[str, Counter]
 MOST_FORMS = 400_000
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of texts one after the other, and the length of each text."""
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
-
-
 def _chars(counts: Counts, texts: list[str]) -> None:
     """Characters, the rows that have them, and rows."""
-    codes, size = _codes(texts)
+    codes, size = code_points(texts)
     n = np.bincount(codes)
     present = np.flatnonzero(n)
     place = np.zeros(len(n), np.uint16 if len(present) <= 65536 else np.uint32)
@@ -442,7 +437,7 @@ class _Prices:
         self.table[[ord(c) for c in bits]] = list(bits.values())
 
     def of(self, texts: list[str]) -> list[int]:
-        codes, size = _codes(texts)
+        codes, size = code_points(texts)
         return np.rint(1000 * np.add.reduceat(self.table[codes], np.cumsum(size) - size) / size).astype(int).tolist()
 
     def count(self, counts: Counts, texts: list[str]) -> None:
@@ -452,7 +447,7 @@ class _Prices:
 def pieces(texts: list[str]) -> Iterator[str]:
     """Texts cut wherever two characters have a certain hash, so that equal passages give equal pieces."""
     text = "".join(texts)
-    codes, size = _codes([text])
+    codes, size = code_points([text])
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     cut_after = np.zeros(len(codes), bool)
     cut_after[1:] = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)) >> np.uint32(29) == 0
@@ -482,7 +477,7 @@ class _Kept:
 
     def count(self, counts: Counts, texts: list[str], lang: str) -> None:
         bits, most = self.prices.bits, self.most[lang]
-        codes, size = _codes(texts)
+        codes, size = code_points(texts)
         flags = np.bitwise_or.reduceat(_FLAGS[codes], np.cumsum(size) - size).tolist()
         kept = []
         for price, flag, t in zip(self.prices.of(texts), flags, texts):
@@ -597,7 +592,7 @@ def parted(texts: list[str], lang: str | None = None) -> dict[str, list[str]]:
     out: dict[str, list[str]] = defaultdict(list)
     if not texts:
         return out
-    codes, size = _codes(texts)
+    codes, size = code_points(texts)
     kinds = len(SCRIPT_LANGUAGES) + 2
     n = np.bincount(np.repeat(np.arange(len(texts)) * kinds, size) + _SCRIPT[codes], minlength=kinds * len(texts)).reshape(-1, kinds)
     many = n[:, 1:-1] >= 8

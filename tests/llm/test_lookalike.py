@@ -1,6 +1,6 @@
 import unicodedata
 
-from quire.llm import lookalike
+from quire.llm import lookalike, mojibake
 
 SCHEMA = "block_id bigint, text string, section string, source string, field string, value string"
 
@@ -69,3 +69,12 @@ def test_unify(spark):
     assert got[102]["text_plain"].startswith("Перечень") and got[102]["section_plain"] == "一、总则" and got[103]["section_plain"] == "A1"
     assert got[104]["text_plain"] == "São Vérde" and got[104]["section_plain"] == "ab" and got[105]["text_plain"] is None and got[107]["section_plain"] == "A B"
     assert lookalike.lookalike_fields(df.limit(0)).count() == 0
+
+
+def test_fields_are_left_out_by_the_model_of_all_rows(spark, monkeypatch):
+    made, fit = [], mojibake.fit
+    monkeypatch.setattr(mojibake, "fit", lambda fields: made.append(fit(fields)) or made[-1])
+    texts = [f"平台开放接口{i}个，参考{'Оffiсе' if i == 7 else 'Office'}的做法{chr(0x5000 + i // 40)}。" for i in range(2400)]
+    df = spark.createDataFrame([(i, t, None, "s.pdf") for i, t in enumerate(texts)], "block_id bigint, text string, section string, source string")
+    assert [tuple(r) for r in lookalike.lookalike_fields(df).collect()] == [(7, "text")]
+    assert made == [mojibake.train({"zh": texts, "source": ["s.pdf"]})]
