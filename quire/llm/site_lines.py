@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,6 +217,15 @@ def block_lines(blocks: DataFrame) -> DataFrame:
     )
 
 
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """(`_q_m`, `_q_bucket`, `_q_size`), each once, of the buckets that have two masks at least.
+
+    Members are shuffled once; what follows keeps to the buckets.
+    """
+    size = F.count("*").over(W.partitionBy("_q_bucket"))
+    return members.repartition("_q_bucket").distinct().withColumn("_q_size", size).filter("_q_size > 1")
+
+
 def site_clusters(blocks: DataFrame) -> DataFrame:
     """Lines (`_q_a`, `_q_b`, `root`, `blocks`, `source_blocks`) of clusters that may repeat enough.
 
@@ -243,9 +253,7 @@ def site_clusters(blocks: DataFrame) -> DataFrame:
         .drop("_q_source")
     )
     lines = cut(lines)
-    members = lines.select("_q_m", F.explode("_q_bands").alias("_q_bucket"))
-    shared = members.groupBy("_q_bucket").agg(F.count("*").alias("_q_size")).filter("_q_size > 1")
-    near = members.join(shared, "_q_bucket").distinct()
+    near = shared_buckets(lines.select("_q_m", F.explode("_q_bands").alias("_q_bucket")))
     chunks = F.ceil(F.col("_q_size") / CHUNK)
     mine = F.pmod(F.xxhash64(F.col("_q_m")), chunks)
     near = near.withColumn("_q_mine", mine).withColumn("_q_other", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))

@@ -116,3 +116,11 @@ def test_recall_of_near_duplicates(spark, data):
             by.setdefault(g, []).append(i)
     near = [(i, j) for i, j in pairs if lines[i] != lines[j] and site_lines._alike(sets[i], sets[j])]
     assert near and sum((bands[i] == bands[j]).any() for i, j in near) >= 0.9 * len(near)
+
+
+def test_members_are_shuffled_once(spark):
+    """Buckets of one mask are left out, and members go through one exchange."""
+    members = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 10), (3, 12), (3, 13), (1, 13)], "_q_m bigint, _q_bucket bigint")
+    near = site_lines.shared_buckets(members)
+    assert sorted(tuple(r) for r in near.collect()) == [(1, 10, 2), (1, 13, 2), (2, 10, 2), (3, 13, 2)]
+    assert near._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
