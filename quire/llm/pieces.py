@@ -179,31 +179,55 @@ def split(documents: DataFrame, profiles: DataFrame, folder: str = TOKENIZERS) -
         cases.append(
             F.when(
                 (F.col("tokenizer") == r["tokenizer"]) & (F.length("shape") > r["max_tokens"]),
-                F.struct(F.lit(r["profile"]).alias("profile"), F.lit(int(r["overlap_tokens"])).alias("overlap"), F.lit(int(r["max_tokens"])).alias("most"), ends_of(takes).alias("cuts")),
+                F.struct(F.lit(r["profile"]).alias("profile"), F.lit(int(r["overlap_tokens"])).alias("overlap"), F.lit(int(r["max_tokens"])).alias("most"), takes.alias("takes")),
             )
         )
-    # exploded with their cuts, which would else be computed anew for every piece
+    # exploded with what the pattern took, which would else be looked for anew wherever it is used
     columns = ("doc_id", "text", "ends")
-    one = shaped.select(*columns, F.explode(F.array_compact(F.array(*cases))).alias("p")).select(*columns, "p.profile", "p.overlap", "p.most", "p.cuts")
-
-    def piece(to, i):
-        before = F.when(i == 0, 0).otherwise(F.get("cuts", i - 1))
-        back = F.greatest(F.lit(0), before - F.col("overlap"))
-        first = F.when(back == 0, 0)
-        for k in range(SPARE):  # out of a character, to where it begins
-            first = first.when(F.get("ends", back - (k + 1)) >= 0, back - k)
-        first = first.otherwise(0)
-        if tight:  # the limit holds: to the first character that it leaves room for
-            low, fits = to - F.col("most"), F.when(first >= to - F.col("most"), first)
-            for k in range(SPARE):
-                fits = fits.when((low + k <= before) & (F.get("ends", low + (k - 1)) >= 0), low + k)
-            first = fits.otherwise(before)
-        start, end = F.when(first == 0, F.lit(0).cast("bigint")).otherwise(F.get("ends", first - 1)), F.get("ends", to - 1)
-        byte, char = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(0xFFFFFFFF).cast("int"))
-        text = F.substr("text", byte(start) + 1, byte(end) - byte(start)).cast("string")
-        return F.struct((i + 1).alias("piece_no"), char(start).alias("char_start"), char(end).alias("char_end"), (to - first).alias("n_tokens"), text.alias("piece"))
-
+    one = shaped.select(*columns, F.explode(F.array_compact(F.array(*cases))).alias("p")).select(*columns, "p.profile", "p.overlap", "p.most", "p.takes")
     # a row's pieces are made inside it, so that no row carries its text once a piece
-    return one.select("profile", "doc_id", F.explode(F.transform("cuts", piece)).alias("p")).select(
+    return one.select("profile", "doc_id", F.explode(pieces_of(ends_of(F.col("takes")), tight)).alias("p")).select(
         "profile", "doc_id", F.col("p.piece_no").cast("int").alias("piece_no"), "p.char_start", "p.char_end", F.col("p.n_tokens").cast("int").alias("n_tokens"), "p.piece"
     )
+
+
+def pieces_of(cuts: Column, tight: bool) -> Column:
+    """The pieces between cuts of a row's `text`.
+
+    A step's results are held as the elements of an array, because an expression
+    inside a lambda is worked out anew for each mention.
+    """
+
+    def first(cuts, to, i):
+        before = F.when(i == 0, 0).otherwise(F.get(cuts, i - 1))
+        return before, F.greatest(F.lit(0), before - F.col("overlap")), to, i
+
+    def begun(x):
+        before, back, to = x["before"], x["back"], x["to"]
+        out = F.when(back == 0, 0)
+        for k in range(SPARE):  # out of a character, to where it begins
+            out = out.when(F.get("ends", back - (k + 1)) >= 0, back - k)
+        return F.struct(before.alias("before"), out.otherwise(0).alias("first"), to.alias("to"), x["i"].alias("i"))
+
+    def fitting(x):
+        """The limit holds: to the first character that it leaves room for."""
+        before, at, to = x["before"], x["first"], x["to"]
+        low = to - F.col("most")
+        fits = F.when(at >= low, at)
+        for k in range(SPARE):
+            fits = fits.when((low + k <= before) & (F.get("ends", low + (k - 1)) >= 0), low + k)
+        return F.struct(before.alias("before"), fits.otherwise(before).alias("first"), to.alias("to"), x["i"].alias("i"))
+
+    def placed(x):
+        start = F.when(x["first"] == 0, F.lit(0).cast("bigint")).otherwise(F.get("ends", x["first"] - 1))
+        return F.struct((x["i"] + 1).alias("no"), (x["to"] - x["first"]).alias("n"), start.alias("start"), F.get("ends", x["to"] - 1).alias("end"))
+
+    def piece(x):
+        byte, char = (lambda e: F.shiftright(e, 32).cast("int")), (lambda e: e.bitwiseAND(0xFFFFFFFF).cast("int"))
+        text = F.substr("text", byte(x["start"]) + 1, byte(x["end"]) - byte(x["start"])).cast("string")
+        return F.struct(x["no"].alias("piece_no"), char(x["start"]).alias("char_start"), char(x["end"]).alias("char_end"), x["n"].alias("n_tokens"), text.alias("piece"))
+
+    held = F.flatten(F.transform(F.array(cuts), lambda c: F.transform(c, lambda to, i: F.struct(*(v.alias(n) for v, n in zip(first(c, to, i), ("before", "back", "to", "i")))))))
+    for step in (begun, *([fitting] if tight else ()), placed, piece):
+        held = F.transform(held, step)
+    return held

@@ -108,3 +108,13 @@ def test_pieces(spark, data):
     for most, lap in ((3, 0), (10, 10)):
         with pytest.raises(ValueError):
             pieces.split(docs, spark.createDataFrame([("x", NAMES[0], most, lap)], PROFILES))
+
+
+def test_texts_are_cut_once_a_profile(spark):
+    """What the pattern takes is held, not looked for anew wherever it is used."""
+    documents = spark.createDataFrame([(1, "数据局每年安排。" * 40)], "doc_id bigint, text string")
+    profiles = spark.createDataFrame([("a", "byte_bpe_50k", 64, 8), ("b", "byte_bpe_50k", 32, 0)], "profile string, tokenizer string, max_tokens int, overlap_tokens int")
+    out = pieces.split(documents, profiles)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    got = out.filter("profile = 'b'").orderBy("piece_no").collect()
+    assert "".join(r["piece"] for r in got) == "数据局每年安排。" * 40 and all(0 < r["n_tokens"] <= 32 for r in got)
