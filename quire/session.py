@@ -40,15 +40,26 @@ def _new_path(spark: SparkSession) -> str:
     return os.path.join(shared_dir(spark), f"quire-{spark.sparkContext.applicationId}", uuid.uuid4().hex)
 
 
+#: Whether an execution removes the files of its shuffles at its end.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends in files that every executor can read, so a lost executor
-    costs nothing and a result that is used several times is computed once.
+    costs nothing and a result that is used several times is computed once. Files of
+    the shuffles that led to it go as soon as it is written, not when the driver
+    happens to collect its garbage.
     """
     spark = df.sparkSession
     path = _new_path(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_FREED)
+    spark.conf.set(_FREED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_FREED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -124,3 +124,25 @@ def test_members_are_shuffled_once(spark):
     near = site_lines.shared_buckets(members)
     assert sorted(tuple(r) for r in near.collect()) == [(1, 10, 2), (1, 13, 2), (2, 10, 2), (3, 13, 2)]
     assert near._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_shuffle_files_go_with_the_cut(spark):
+    """What led to a table that is written is not kept on disk beside it."""
+    import time
+
+    from quire import session
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        kept = disk.getAllFiles()
+        return {name for name in (kept.apply(i).getName() for i in range(kept.size())) if name.startswith("shuffle_")}
+
+    before = files()
+    table = session.cut(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    deadline = time.time() + 10
+    while files() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not files() - before
+    assert sorted(r["count"] for r in table.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    assert spark.conf.get(session._FREED) == "false"
