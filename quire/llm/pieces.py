@@ -75,22 +75,41 @@ _KIND, _LETTER = _kinds(), _letters()
 
 
 def boundaries(text: str) -> np.ndarray:
-    """Letter of the boundary at each offset 0..len of a text, as bytes."""
-    k = _KIND[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    n = len(k)
-    out = np.full(n + 1, ord("x"), np.uint8)
-    at = out[1:]
+    """Letter of the boundary after each character of a text, as bytes."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = _KIND[code]
+    at = np.full(len(k), ord("x"), np.uint8)
     at[:-1] = _LETTER[(k[:-1].astype(np.uint16) << 5) | k[1:]]
     done = at[:-1] == ord("s")
     at[1:][done & (k[1:] == _SPACE)] = ord("s")  # the space after a sentence goes with it
     line = k == _SPACE | _LINE
     blank = line[1:] & line[:-1] & (at[1:] == ord("l"))
     if "\r" in text:
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         blank[1:] |= line[2:] & (code[1:-1] == 13) & line[:-2] & (at[2:] == ord("l"))
     at[1:][blank] = ord("p")
-    out[n] = ord("p")
-    return out
+    at[-1:] = ord("p")
+    return at
+
+
+def places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all offsets in the bytes of texts, one after the other: letters and places, and where each text begins.
+
+    A place is the bytes up to the offset times 2^32 plus the characters, within its
+    text; inside a character the letter is b and the place -1. One zero stands
+    between texts, so that no boundary is made by the characters of two.
+    """
+    joined = "\x00".join([*texts, ""])
+    data = np.frombuffer(joined.encode("utf-8", "replace"), np.uint8)
+    starts = np.flatnonzero((data & 0xC0) != 0x80)  # one a character
+    chars = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    begins = np.cumsum(chars) - chars
+    at = boundaries(joined)
+    at[begins + chars - 2] = ord("p")  # of an empty text, that of the zero before it, which no text asks for
+    letters = np.full(len(data), ord("b"), np.uint8)
+    letters[starts[1:]] = at[:-1]
+    place = np.full(len(data), -1, np.int64)
+    place[starts] = (starts << 32 | np.arange(len(starts))) - np.repeat(starts[begins] << 32 | begins, chars)
+    return letters, place, starts[begins]
 
 
 def shapes(documents: DataFrame, tokenizers: dict[str, int], folder: str = TOKENIZERS) -> DataFrame:
@@ -104,39 +123,39 @@ def shapes(documents: DataFrame, tokenizers: dict[str, int], folder: str = TOKEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(names, folder)
-        for batch, texts in slices(batches, "text", 2_000_000):
+        for batch, texts in slices(batches, "text", 1_000_000):
             encoded = enc.batch(texts)
-            rows: list[tuple] = []
-            for i, text in enumerate(texts):
-                letters = None
-                for k, name in enumerate(names):
-                    ids = encoded[k][i]
-                    if len(ids) <= tokenizers[name]:
-                        continue
-                    if letters is None:
-                        letters = boundaries(text)
-                        first = (np.frombuffer(text.encode("utf-8", "replace"), np.uint8) & 0xC0) != 0x80
-                        chars = np.cumsum(first, dtype=np.int32)  # characters begun up to each byte
-                    ends = np.cumsum(enc.tries[k].lengths[ids], dtype=np.int64)
-                    whole = np.ones(len(ends), bool)
-                    whole[:-1] = first[ends[:-1]]
-                    at = chars[ends - 1]
-                    shape = np.where(whole, letters[at], ord("b")).astype(np.uint8)
-                    rows.append((i, name, shape.tobytes().decode(), np.where(whole, ends << 32 | at, -1)))
-            if rows:
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[3]) for r in rows)]), pa.int32()), pa.array(np.concatenate([r[3] for r in rows])))
-                docs = batch.take(pa.array([r[0] for r in rows]))
-                yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), lists, docs.column("text").cast(pa.binary())], names=["doc_id", "tokenizer", "shape", "ends", "text"])
+            rows = [(i, k) for i in range(len(texts)) for k, name in enumerate(names) if len(encoded[k][i]) > tokenizers[name]]
+            if not rows:
+                continue
+            large = list(dict.fromkeys(i for i, _ in rows))
+            letters, place, begins = places([texts[i] for i in large])
+            begin = dict(zip(large, begins))
+            upto = np.cumsum([0, *(len(encoded[k][i]) for i, k in rows)])
+            shape, ends = np.empty(upto[-1], np.uint8), np.empty(upto[-1], np.int64)
+            for (i, k), a, b in zip(rows, upto, upto[1:]):
+                at = np.cumsum(enc.tries[k].lengths[encoded[k][i]], dtype=np.int64)
+                at += begin[i]
+                shape[a:b], ends[a:b] = letters[at], place[at]
+            upto = pa.array(upto, pa.int32())
+            docs = batch.take(pa.array([i for i, _ in rows]))
+            yield pa.RecordBatch.from_arrays(
+                [docs.column("doc_id"), pa.array([names[k] for _, k in rows]), pa.StringArray.from_buffers(len(rows), upto.buffers()[1], pa.py_buffer(shape)), pa.ListArray.from_arrays(upto, pa.array(ends)), docs.column("text").cast(pa.binary())],
+                names=["doc_id", "tokenizer", "shape", "ends", "text"],
+            )
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokenizer string, shape string, ends array<bigint>, text binary")
 
 
 def pattern(room: int) -> str:
-    """Alternatives from strong to weak boundaries, up to `room` tokens each."""
+    """Alternatives from strong to weak boundaries, up to `room` tokens each.
+
+    The half in which no strong boundary counts is passed once for all of them, the
+    rest of a shape is taken only as a whole, and the dot needn't ask for line ends.
+    """
     half = room // 2
-    strong = [f".{{{half},{room - 1}}}{s}" for s in STRENGTHS[:-1]]
-    weak = [f".{{0,{room - 1}}}[{STRENGTHS}]", f".{{1,{room}}}"]
-    return "|".join([f".{{1,{room}}}$", *strong, *weak])
+    strong = "|".join(f".{{0,{room - 1 - half}}}{s}" for s in STRENGTHS[:-1])
+    return f"(?s).{{1,{room}}}+$|.{{{half}}}(?:{strong})|.{{0,{room - 1}}}[{STRENGTHS}]|.{{1,{room}}}"
 
 
 def ends_of(takes: Column) -> Column:

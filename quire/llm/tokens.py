@@ -21,6 +21,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -43,6 +44,23 @@ CLAUSE_ENDS = "。，；！？、：.,;:!?"
 _WORDS = regex.compile(WORDS)
 
 
+def _plain_words() -> re.Pattern:
+    """WORDS for texts without code points above 0xFFFF, told by ranges: the same words in less than half the time."""
+    plane = "".join(map(chr, range(0x10000)))
+    ranges = {c: "".join(rf"\u{ord(m[0][0]):04x}-\u{ord(m[0][-1]):04x}" for m in regex.finditer(f"{c}+", plane)) for c in (r"\p{L}", r"\p{N}", r"\s")}
+    letter, number, space = ranges.values()
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+_PLAIN_WORDS = _plain_words()
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text as the tokenizers part it."""
+    plain = len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+    return (_PLAIN_WORDS if plain else _WORDS).findall(text)
+
+
 def read_ranks(name: str, folder: str = TOKENIZERS) -> dict[bytes, int]:
     """Byte strings and their ids of a `.tiktoken` vocabulary."""
     lines = Path(folder, f"{name}.tiktoken").read_bytes().splitlines()
@@ -166,7 +184,7 @@ class Encoder:
                 known.clear()
         parted = [self.clauses_of(t) for t in texts]
         new = {c for p in parted for c in p} - self.clauses[0].keys()
-        split = {c: _WORDS.findall(c) for c in new}
+        split = {c: words_of(c) for c in new}
         words = {w for ws in split.values() for w in ws}
         for trie, known in zip(self.tries, self.clauses):
             trie.learn(words)

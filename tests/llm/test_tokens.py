@@ -118,3 +118,39 @@ def test_texts_are_cut_once_a_profile(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
     got = out.filter("profile = 'b'").orderBy("piece_no").collect()
     assert "".join(r["piece"] for r in got) == "数据局每年安排。" * 40 and all(0 < r["n_tokens"] <= 32 for r in got)
+
+
+def test_words_by_ranges():
+    """Texts of the first plane are parted by plain ranges, into the same words as by the classes."""
+    import random
+
+    rng = random.Random(7)
+    plane = "".join(map(chr, range(0x10000)))
+    assert tokens._PLAIN_WORDS.findall(plane) == tokens._WORDS.findall(plane) == tokens.words_of(plane)
+    for _ in range(2000):
+        text = "".join(rng.choice([rng.choice(plane), rng.choice(" \n\t 'sdlmrevt.,09１中aé\x1c\x85　🙂𝐀")]) for _ in range(40))
+        assert tokens.words_of(text) == tokens._WORDS.findall(text)
+
+
+def test_places_of_many_texts():
+    """Texts worked out together have the places and letters that each has alone."""
+    texts = ["。", "a. b", "", "🙂\x00 数", "x。", " y\n", "\n\nz\r\n\r\n", "\ud800é", "\n"]
+    letters, place, begins = pieces.places(texts)
+    for text, begin in zip(texts, begins):
+        data = text.encode("utf-8", "replace")
+        want = [(len(text[:i].encode("utf-8", "replace")) << 32) + i for i in range(1, len(text) + 1)]
+        got = place[begin + 1 : begin + len(data) + 1]
+        assert got[got >= 0].tolist() == want
+        alone = pieces.boundaries(text).tobytes().decode()
+        assert letters[begin + 1 : begin + len(data) + 1][got >= 0].tobytes().decode() == alone
+        assert (letters[begin + 1 : begin + len(data) + 1][got < 0] == ord("b")).all() and alone[-1:] in ("p", "")
+
+
+def test_takes_of_the_pattern():
+    """A strong boundary is taken in the second half of the room, the last and strongest there."""
+    import re
+
+    takes = lambda shape: re.findall(pieces.pattern(8), shape)
+    assert takes("xxxxxsxcxxxx") == ["xxxxxs", "xcxxxx"] and takes("xpxxxwxxxxxxxp") == ["xpxxxw", "xxxxxxxp"]
+    assert takes("x" * 8) == ["x" * 8] and takes("b" * 10) == ["b" * 8, "bb"] and takes("bbxbbbbbbbbx") == ["bbx", "bbbbbbbb", "x"]
+    assert pieces.pattern(8).count(".{4}") == 1
