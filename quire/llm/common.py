@@ -63,15 +63,15 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 PART_ROWS = 1000
 
 
-def bounded_sample(df: DataFrame, strata: str, key: str, per_stratum: int) -> DataFrame:
+def bounded_sample(df: DataFrame, strata: str, key: str, per_stratum: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """At most ``per_stratum`` rows of each stratum, those with the smallest hash of ``key``.
 
-    The same rows for the same data whatever its partitioning; used only to
-    fit models, never to answer for rows. Strata are drawn in parts by another
-    hash, each small enough for tasks to drop all other rows before the shuffle,
-    so that no stratum is ever gathered in one task.
+    The same rows for the same data whatever its partitioning, if ``key`` and then
+    ``ties`` tell rows apart; used only to fit models, never to answer for rows.
+    Strata are drawn in parts by another hash, each small enough for tasks to drop
+    all other rows before the shuffle, so that no stratum is ever gathered in one task.
     """
     parts = -(-per_stratum // PART_ROWS)
-    order = W.partitionBy(strata, "_part").orderBy(F.xxhash64(F.col(key)), F.col(key))
+    order = W.partitionBy(strata, "_part").orderBy(F.xxhash64(F.col(key)), F.col(key), *ties)
     df = df.withColumn("_part", F.pmod(F.hash(F.col(key)), F.lit(parts)))
     return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= per_stratum // parts).drop("_rn", "_part")

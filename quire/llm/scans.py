@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,8 +54,12 @@ CHANCE = 0.02
 KNOWN, DOUBT = 3, 3
 #: Trigrams by which a word in doubt meets the vocabulary.
 RARE = 9
-#: Lines at either end of a page that may be furniture.
-EDGE = 2
+#: Lines at either end of a page that may be furniture; pages around it that it is looked for in.
+EDGE, AROUND = 2, 4
+#: Pages by which lines of neighbouring pages meet, in works with at most so many blocks a page.
+RUN, CROWD = 16, 16
+#: Distinct tokens that a task counts before it passes them on.
+HELD = 200_000
 
 # Marks that part a word at a line end; digits and their look-alikes.
 CUT_MARKS = "-‐‑­¬"
@@ -128,95 +133,146 @@ def running_key(line: str) -> str:
     return s.casefold().translate(_LEVELLED)
 
 
+def running_keys(lines: list[str]) -> list[str]:
+    """`running_key` of lines without line ends, levelled all at once."""
+    kept = (line if line.isascii() else unicodedata.normalize("NFKC", line) for line in lines)
+    text = "\n".join([_NUMBER.sub("", s) if _DIGIT.search(s) else s for s in kept]).casefold()
+    for c, to in _LEVELLED.items():  # what a character becomes is not levelled again
+        text = text.replace(chr(c), to)
+    return text.split("\n") if lines else []
+
+
+def _bigrams(key: str) -> Counter:
+    return Counter(map(str.__add__, key, key[1:]))
+
+
+def _dice(x: Counter, y: Counter, n: int) -> float:
+    if len(x) > len(y):
+        x, y = y, x
+    return 2 * sum([min(k, y[g]) for g, k in x.items() if g in y]) / n if n > 0 else 0.0
+
+
 def likeness(a: str, b: str) -> float:
     """Dice likeness of the character pairs of two keys."""
     if a == b:
         return 1.0
-    x, y = (Counter(s[i : i + 2] for i in range(len(s) - 1)) for s in (a, b))
-    n = sum(x.values()) + sum(y.values())
-    return 2 * sum((x & y).values()) / n if n else 0.0
+    return _dice(_bigrams(a), _bigrams(b), max(len(a) - 1, 0) + max(len(b) - 1, 0))
 
 
-# ---------------------------------------------------------------- furniture
-
-
-def _edge_rows(text: str) -> list[dict]:
-    """The first and last few non-blank lines of a block."""
-    full = [(i + 1, x.strip()) for i, x in enumerate(text.split("\n")) if x.strip()]
-    out = []
-    for foot, part in ((False, full[:EDGE]), (True, full[::-1][:EDGE])):
-        for idx, (no, line) in enumerate(part):
-            num = page_number(line)
-            out.append({"line_no": no, "idx": idx, "foot": foot, "line": line, "key": running_key(line), "num": num[0] if num else None, "form": num[1] if num else None})
+def likenesses(left: list[str], right: list[str]) -> np.ndarray:
+    """`likeness` of many pairs of keys; equal keys are taken apart once, equal pairs judged once."""
+    grams: dict[str, Counter] = {}
+    known: dict[tuple[str, str], float] = {}
+    out = np.ones(len(left))
+    for i, (a, b) in enumerate(zip(left, right)):
+        if a == b:
+            continue
+        pair = (a, b) if a < b else (b, a)
+        like = known.get(pair)
+        if like is None:
+            for s in pair:
+                if s not in grams:
+                    grams[s] = _bigrams(s)
+            like = known[pair] = _dice(grams[a], grams[b], max(len(a) - 1, 0) + max(len(b) - 1, 0))
+        out[i] = like
     return out
 
 
-_EDGES = T.ArrayType(
-    T.StructType(
-        [T.StructField(n, t) for n, t in (("line_no", T.IntegerType()), ("idx", T.IntegerType()), ("foot", T.BooleanType()), ("line", T.StringType()), ("key", T.StringType()), ("num", T.IntegerType()), ("form", T.StringType()))]
-    )
-)
+# ---------------------------------------------------------------- furniture
 
 
-@F.pandas_udf(_EDGES)
-def _edges(text: pd.Series) -> pd.Series:
-    return pd.Series([_edge_rows(t) if t else [] for t in text], dtype=object)
+_EDGES = "k1 bigint, k2 int, source string, page int, line_no int, idx int, foot boolean, line string, key string, num int, form string"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _keys_of(text: pd.Series) -> pd.Series:
-    return pd.Series([[running_key(x) for x in t.split("\n") if x.strip()] for t in text], dtype=object)
+def _edges(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first non-blank lines of the blocks that begin a page, the last of those that end one."""
+    for p in parts:
+        of, lines, places = [], [], []
+        for row, (text, head, foot) in enumerate(zip(*(p.column(c).to_pylist() for c in ("text", "begins", "ends")))):
+            full = [(i + 1, x.strip()) for i, x in enumerate(text.split("\n")) if x.strip()]
+            for at, part in ((False, full[:EDGE] if head else []), (True, full[::-1][:EDGE] if foot else [])):
+                for idx, (no, line) in enumerate(part):
+                    of.append(row)
+                    lines.append(line)
+                    places.append((no, idx, at))
+        nos, idxs, feet = zip(*places) if places else ((), (), ())
+        nums, forms = zip(*(page_number(x) or (None, None) for x in lines)) if lines else ((), ())
+        rows = pa.array(of, pa.int32())
+        own = [p.column(c).take(rows) for c in ("k1", "k2", "source", "page")]
+        yield pa.RecordBatch.from_arrays(
+            [*own, *(pa.array(v, t) for v, t in ((nos, pa.int32()), (idxs, pa.int32()), (feet, pa.bool_()), (lines, pa.string()), (running_keys(lines), pa.string()), (nums, pa.int32()), (forms, pa.string())))],
+            ["k1", "k2", "source", "page", "line_no", "idx", "foot", "line", "key", "num", "form"],
+        )
+
+
+def _count_keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of all lines, with how many lines of a batch have them."""
+    for p in parts:
+        keys = Counter(running_keys([x for t in p.column("text").to_pylist() for x in t.split("\n") if x.strip()]))
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys.keys(), pa.string()), "n": pa.array(keys.values(), pa.int64())})
 
 
 def _pair_features(p: pd.DataFrame) -> np.ndarray:
-    like = np.array([likeness(a, b) for a, b in zip(p["key"], p["key2"])])
-    la, lb = p["key"].str.len().to_numpy(float), p["key2"].str.len().to_numpy(float)
-    return np.column_stack([like, np.minimum(la, lb), np.abs(la - lb), p["idx"], p["idx2"], p["idx"] == p["idx2"], p["gap"].abs(), p["line"].str.len(), p["spread"], p["share"]]).astype(float)
+    like = likenesses(p["key"].tolist(), p["key2"].tolist())
+    la, lb = (np.fromiter(map(len, p[c]), float, len(p)) for c in ("key", "key2"))
+    return np.column_stack([like, np.minimum(la, lb), np.abs(la - lb), p["idx"], p["idx2"], p["idx"] == p["idx2"], p["gap"].abs(), p["size"], p["spread"], p["share"]]).astype(float)
 
 
 def page_lines(scans: DataFrame) -> DataFrame:
     """Edge lines of pages: (`k1`, `k2`, `source`, `page`, `line_no`, `idx`, `foot`, `line`, `key`, `num`, `form`)."""
     ends = scans.groupBy("source", "page").agg(F.min("block_seq").alias("lo"), F.max("block_seq").alias("hi"))
-    rows = scans.join(ends, ["source", "page"])
-    rows = rows.filter("block_seq = lo OR block_seq = hi").withColumn("e", F.explode(_edges("text")))
-    return rows.filter("(NOT e.foot AND block_seq = lo) OR (e.foot AND block_seq = hi)").select("k1", "k2", "source", "page", "e.*")
+    rows = scans.join(ends, ["source", "page"]).filter("block_seq = lo OR block_seq = hi")
+    return rows.select("k1", "k2", "source", "page", "text", F.expr("block_seq = lo").alias("begins"), F.expr("block_seq = hi").alias("ends")).mapInArrow(_edges, _EDGES)
+
+
+def around(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` with those of `other` (`s2`, `page2`, `foot2`, `width2`) that stand at the same end, up to AROUND pages away.
+
+    They meet by runs of `width` pages, which is far fewer rows than one for each
+    distance. Where many blocks share a page a run is one page, and a page does not
+    meet itself, so that no more meet than are paired.
+    """
+    runs = F.expr(f"sequence(floor((page2 - {AROUND}L) / width2), floor((page2 + {AROUND}L) / width2))")
+    met = other.withColumn("run2", F.explode(runs)).filter("width2 > 1 OR run2 <> page2")
+    on = f"source = s2 AND run = run2 AND foot = foot2 AND abs(page2 - CAST(page AS BIGINT)) BETWEEN 1 AND {AROUND}"
+    return rows.withColumn("run", F.expr("floor(CAST(page AS BIGINT) / width)")).hint("merge").join(met, F.expr(on), how).drop("run", "run2")
 
 
 def furniture(scans: DataFrame) -> DataFrame:
     """(`k1`, `k2`, `line_no`, `noise`) of running lines and page numbers."""
     edges = cut(page_lines(scans))
-    first = scans.groupBy("source").agg(F.min("page").alias("first_page"), F.countDistinct("page").alias("pages"))
-    nums = printed_numbers(edges, first)
+    first = scans.groupBy("source", "page").agg(F.count("*").alias("n")).groupBy("source").agg(F.min("page").alias("first_page"), F.count("*").alias("pages"), F.max("n").alias("n"))
+    first = cut(first.select("source", "first_page", "pages", F.when(F.col("n") <= CROWD, RUN).otherwise(1).alias("width")))
+    nums = cut(printed_numbers(edges, first))
     # running lines
     texts = edges.filter("num IS NULL AND length(key) >= 3").filter(~F.col("line").rlike(NOT_RUNNING))
+    texts = texts.select("k1", "k2", "source", "page", "line_no", "idx", "foot", "key", F.length("line").alias("size"))
+    pages = texts.groupBy("source", "key", "page").agg(F.count("*").alias("edge"), F.sum(F.col("foot").cast("int")).alias("feet"))
+    shares = pages.groupBy("source", "key").agg(F.count("*").alias("seen"), F.sum("edge").alias("edge"), F.sum("feet").alias("feet"))
+    keys = shares.groupBy("key").agg(F.count("*").alias("spread"), F.sum("edge").alias("edge"), F.sum("feet").alias("feet"))
     # what also stands inside pages is no running line, however often it meets an edge
-    counted = scans.select(F.explode(_keys_of("text")).alias("key")).groupBy("key").agg(F.count("*").alias("all"))
-    inner = texts.groupBy("key").agg(F.count("*").alias("edge")).join(counted, "key").filter(F.col("all") <= 1.25 * F.col("edge")).select("key")
-    texts = texts.join(inner, "key", "left_semi")
-    keys = texts.groupBy("key").agg(F.countDistinct("source").alias("spread"))
-    shares = texts.groupBy("source", "key").agg(F.countDistinct("page").alias("seen"))
-    texts = texts.join(keys, "key").join(shares, ["source", "key"]).join(first, "source").withColumn("share", F.col("seen") / F.col("pages"))
-    texts = cut(texts.drop("num", "form"))
-    other = texts.select(F.col("source").alias("s2"), F.col("page").alias("page2"), F.col("foot").alias("foot2"), F.col("idx").alias("idx2"), F.col("key").alias("key2")).distinct()
-    gaps = texts.withColumn("gap", F.explode(F.array(*map(F.lit, (-4, -3, -2, -1, 1, 2, 3, 4)))))
-    pairs = gaps.join(other, F.expr("source = s2 AND page + gap = page2 AND foot = foot2"))
+    counted = scans.select("text").mapInArrow(_count_keys, "key string, n long").filter("length(key) >= 3").groupBy("key").agg(F.sum("n").alias("all"))
+    keys = keys.join(counted, "key").filter(F.col("all") <= 1.25 * F.col("edge")).select("key", "spread", (F.col("feet") / F.col("edge")).alias("low"))
+    texts = texts.join(shares.select("source", "key", "seen"), ["source", "key"]).join(keys, "key").join(first, "source").withColumn("share", F.col("seen") / F.col("pages"))
+    texts = cut(texts)
+    other = texts.select(F.col("source").alias("s2"), F.col("page").alias("page2"), F.col("foot").alias("foot2"), F.col("width").alias("width2"), F.col("idx").alias("idx2"), F.col("key").alias("key2")).distinct()
+    pairs = around(texts, other).withColumn("gap", F.expr("CAST(page2 - CAST(page AS BIGINT) AS INT)"))
     model = scans.sparkSession.sparkContext.broadcast(_fit_pairs(pairs))
 
     @F.pandas_udf(T.DoubleType())
     def same(p: pd.DataFrame) -> pd.Series:
         return pd.Series(model.value.score(_pair_features(p)))
 
-    chance = same(F.struct("key", "key2", "idx", "idx2", "gap", "line", "spread", "share"))
-    repeats = pairs.withColumn("p", chance).groupBy("k1", "k2", "line_no").agg(F.max("p").alias("p"))
-    lone = texts.filter("pages < 3 AND spread >= 8").select("k1", "k2", "line_no", "line", "first_page", "page", "idx", "foot")
-    many = texts.join(repeats.filter("p > 0.5"), ["k1", "k2", "line_no"]).select("k1", "k2", "line_no", "line", "first_page", "page", "idx", "foot")
+    chance = same(F.struct("key", "key2", "idx", "idx2", "gap", "size", "spread", "share"))
+    repeats = pairs.withColumn("p", chance).filter("p > 0.5").select("k1", "k2", "line_no").distinct()
+    columns = ["k1", "k2", "line_no", "first_page", "page", "foot", "low"]
+    lone = texts.filter("pages < 3 AND spread >= 8").select(columns)
+    many = texts.join(repeats, ["k1", "k2", "line_no"], "left_semi").select(columns)
     # the title where the work begins is none: a line with letters and a number, or the only such line, at the head of the first page
-    notice = texts.groupBy("key").agg(F.avg(F.col("foot").cast("int")).alias("low"))
-    lines = many.unionByName(lone).distinct()
-    lines = lines.join(texts.select("k1", "k2", "line_no", "key").distinct(), ["k1", "k2", "line_no"]).join(notice, "key")
-    lines = lines.filter("page > first_page OR foot OR low > 0.2")
+    lines = many.unionByName(lone).filter("page > first_page OR foot OR low > 0.2")
     found = lines.select("k1", "k2", "line_no", F.lit("running_header").alias("noise")).distinct()
-    return nums.unionByName(found.join(nums.select("k1", "k2", "line_no"), ["k1", "k2", "line_no"], "left_anti"))
+    # by merging, here and in `around`: a table read back is many times larger than the files that Spark measures
+    return nums.unionByName(found.hint("merge").join(nums.select("k1", "k2", "line_no"), ["k1", "k2", "line_no"], "left_anti"))
 
 
 _NUMBER_COLUMNS = ["same", "twin", "form", "idx", "foot", "gap", "num", "page", "agree", "pages"]
@@ -237,25 +293,25 @@ def printed_numbers(edges: DataFrame, first: DataFrame) -> DataFrame:
     (`same`), the form around them and how many pages of the work agree. A line
     without a pair is judged by itself.
     """
-    nums = edges.filter("num IS NOT NULL").withColumn("off", F.col("num") - F.col("page"))
+    nums = edges.filter("num IS NOT NULL").withColumn("off", F.col("num") - F.col("page").cast("long"))
     kept = nums.groupBy("source", "off", "form").agg(F.countDistinct("page").alias("agree"))
     known = kept.groupBy("source").agg(F.max("agree").alias("most"))
-    nums = nums.join(kept, ["source", "off", "form"]).join(first.select("source", "pages"), "source").join(known, "source")
-    nums = cut(nums.select("k1", "k2", "line_no", "source", "page", "foot", "idx", "num", "form", "agree", "pages", "most"))
-    other = nums.select(F.col("source").alias("s2"), F.col("page").alias("page2"), F.col("foot").alias("foot2"), F.col("num").alias("num2"), F.col("form").alias("form2")).distinct()
-    gaps = nums.withColumn("gap", F.explode(F.array(*map(F.lit, (-4, -3, -2, -1, 1, 2, 3, 4)))))
-    met = gaps.hint("merge").join(other, F.expr("source = s2 AND page + gap = page2 AND foot = foot2"))
+    nums = nums.join(kept, ["source", "off", "form"]).join(first.select("source", "pages", "width"), "source").join(known, "source")
+    nums = cut(nums.select("k1", "k2", "line_no", "source", "page", "foot", "idx", "num", "form", "agree", "pages", "most", "width"))
+    other = nums.select(F.col("source").alias("s2"), F.col("page").alias("page2"), F.col("foot").alias("foot2"), F.col("width").alias("width2"), F.col("num").alias("num2"), F.col("form").alias("form2")).distinct()
+    # a line without a pair is there once, by itself
+    gap = F.expr("CAST(coalesce(page2 - CAST(page AS BIGINT), 0) AS INT)")
+    met = around(nums, other, "left").withColumn("gap", gap)
     alone = nums.withColumns({"gap": F.lit(0), "same": F.lit(-1), "twin": F.lit(0)})
-    pairs = met.withColumns({"same": (F.col("num2") - F.col("num") == F.col("gap")).cast("int"), "twin": (F.col("form") == F.col("form2")).cast("int")}).select(alone.columns)
-    model = edges.sparkSession.sparkContext.broadcast(_fit_numbers(pairs.unionByName(alone)))
+    pairs = met.withColumns({"same": F.coalesce((F.col("num2") - F.col("num") == F.col("gap")).cast("int"), F.lit(-1)), "twin": F.coalesce((F.col("form") == F.col("form2")).cast("int"), F.lit(0))}).select(alone.columns)
+    model = edges.sparkSession.sparkContext.broadcast(_fit_numbers(pairs.filter("gap <> 0").unionByName(alone)))
 
     @F.pandas_udf(T.DoubleType())
     def prints(p: pd.DataFrame) -> pd.Series:
         return pd.Series(model.value.score(_number_features(p)))
 
     # a line with pairs is judged by the best of them, one without by itself
-    lone = alone.join(met.select("k1", "k2", "line_no").distinct(), ["k1", "k2", "line_no"], "left_anti")
-    judged = pairs.unionByName(lone).withColumn("p", prints(F.struct(*_NUMBER_COLUMNS)))
+    judged = pairs.withColumn("p", prints(F.struct(*_NUMBER_COLUMNS)))
     return judged.filter("p > 0.5").select("k1", "k2", "line_no", F.lit("page_number").alias("noise")).distinct()
 
 
@@ -265,7 +321,8 @@ def _fit_numbers(pairs: DataFrame) -> Boosted:
     """
     label = F.when((F.col("form") == "dressed") | (F.col("agree") >= 3), 1).when((F.col("agree") == 1) & (F.col("most") >= 3), 0)
     rows = pairs.withColumn("label", label).filter("label IS NOT NULL").withColumn("_h", F.xxhash64("k1", "k2", "line_no", "gap")).withColumn("_s", F.concat_ws("|", "label", "form", F.col("same") < 0))
-    got = bounded_sample(rows, "_s", "_h", PART_ROWS).select(*_NUMBER_COLUMNS, "label", "_h").toPandas().sort_values(["label", "_h"]).reset_index(drop=True)
+    ties = ("idx", "foot", "same", "twin", "form", "num", "page")
+    got = bounded_sample(rows, "_s", "_h", PART_ROWS, ties).select(*_NUMBER_COLUMNS, "label", "_h").toPandas().sort_values(["label", "_h", *ties]).reset_index(drop=True)
     # rules of thumb where a corpus shows too little: a number in a form is printed, a year by itself is not
     thumb = pd.DataFrame([(-1, 0, form, i, foot, 0, n, 1, 1, 1, int(form == "dressed" or n < 1000)) for form in ("bare", "dressed", "roman") for i in (0, 1) for foot in (False, True) for n in (1, 3, 9, 27, 81, 243, 729, 1999, 2023, 9999)], columns=[*_NUMBER_COLUMNS, "label"])
     taught = pd.concat([got.drop(columns="_h"), got.drop(columns="_h").query("same >= 0").assign(same=-1, twin=0, gap=0, agree=1, pages=1).query("label == 1"), thumb], ignore_index=True)
@@ -276,10 +333,12 @@ def _fit_pairs(pairs: DataFrame) -> Boosted:
     """Pairs of equal keys that many pages share are one line; keys seen once are none."""
     rows = pairs.withColumn("_h", F.xxhash64("key", "key2", "gap", "line_no", "k1")).filter("(key = key2 AND share >= 0.3 AND seen >= 3) OR (key <> key2 AND seen = 1 AND spread = 1)")
     rows = rows.withColumn("label", (F.col("key") == F.col("key2")).cast("int"))
-    got = bounded_sample(rows, "label", "_h", SAMPLE).select("key", "key2", "idx", "idx2", "gap", "line", "spread", "share", "label", "_h").toPandas()
+    # a line of a short page stands at both ends
+    ties = ("idx", "idx2", "key", "key2")
+    got = bounded_sample(rows, "label", "_h", SAMPLE, ties).select("key", "key2", "idx", "idx2", "gap", "size", "spread", "share", "label", "_h").toPandas()
     if not len(got):
         return Boosted().fit(np.array([[1.0] * 10, [0.0] * 10] * 20), np.array([1.0, 0.0] * 20))
-    got = got.sort_values(["label", "_h"]).reset_index(drop=True)
+    got = got.sort_values(["label", "_h", *ties]).reset_index(drop=True)
     # likeness decides, not how common the examples are: positives also with characters changed
     rng = random.Random(7)
     noisy = got[got["label"] == 1].copy()
@@ -375,19 +434,31 @@ def contexts(text: str) -> Counter:
     return Counter({f"{chr(a) if a else '^'}{chr(b)}{chr(d) if d else '$'}": k for a, b, d, k in zip(left.tolist(), mid.tolist(), right.tolist(), n.tolist())})
 
 
-def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and ideographs in context of a task's texts, with their counts."""
+    held = {"w": Counter(), "t": Counter()}
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        for kind, found in held.items():
+            yield pa.RecordBatch.from_pydict({"kind": pa.repeat(kind, len(found)), "token": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
+            found.clear()
+
     for p in parts:
-        text = "\n".join(t for t in p["text"] if t)
-        words = Counter(_WORD.findall(text))
-        words.update(w.lower() for line in text.split("\n") if "-" in line or "‐" in line for w in _HYPHENED.findall(line))
-        rows = [("w", w, n) for w, n in words.items()] + [("t", g, n) for g, n in contexts(text).items()]
-        yield pd.DataFrame(rows, columns=["kind", "token", "n"])
+        text = "\n".join(t for t in p.column("text").to_pylist() if t)
+        held["w"].update(_WORD.findall(text))
+        held["w"].update(w.lower() for line in text.split("\n") if "-" in line or "‐" in line for w in _HYPHENED.findall(line))
+        held["t"].update(contexts(text))
+        if sum(map(len, held.values())) > HELD:
+            yield from passed()
+    yield from passed()
+
+
+_COUNTED = "kind string, token string, n long"
 
 
 def counts(blocks: DataFrame) -> DataFrame:
     """(`kind`, `token`, `clean`, `scanned`): how often tokens stand in clean and in recognised text."""
-    part = lambda df, name: df.select("text").mapInPandas(_count, "kind string, token string, n long").select("kind", "token", F.col("n").alias("n"), F.lit(name).alias("where"))
+    part = lambda df, name: df.select("text").mapInArrow(_count, _COUNTED).select("kind", "token", F.col("n").alias("n"), F.lit(name).alias("where"))
     both = part(blocks.filter("NOT coalesce(ocr, false)"), "clean").unionByName(part(blocks.filter("ocr"), "scanned"))
     return cut(both.groupBy("kind", "token").agg(F.sum(F.when(F.col("where") == "clean", F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("where") == "scanned", F.col("n")).otherwise(0)).alias("scanned")))
 
@@ -638,7 +709,7 @@ def noise_parts(blocks: DataFrame) -> dict[str, DataFrame]:
     gone = cut(furniture(scans))
     counted = counts(blocks.select("text", "ocr"))
     sure = bounded_sample(blocks.filter("NOT coalesce(ocr, false) AND length(text) > 20").select("text", F.xxhash64("text").alias("_id"), F.lit(1).alias("_s")), "_s", "_id", SAMPLE)
-    well = {r["token"] for r in counted.filter(F.col("clean") >= KNOWN).join(sure.select("text").mapInPandas(_count, "kind string, token string, n long").select("kind", "token").distinct(), ["kind", "token"], "left_semi").select("token").collect()}
+    well = {r["token"] for r in counted.filter(F.col("clean") >= KNOWN).join(sure.select("text").mapInArrow(_count, _COUNTED).select("kind", "token").distinct(), ["kind", "token"], "left_semi").select("token").collect()}
     known = spark.sparkContext.broadcast(well)  # bounded by the sample
     parts = cut(cut_words(scans, gone, counted))
     doubt = doubtful(scans, gone, parts, known)

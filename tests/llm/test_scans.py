@@ -108,6 +108,50 @@ def test_empty(spark):
     assert scans.scan_noise(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_running_keys_of_many_lines():
+    lines = ["The quick MODEL 12 of 1O0", "", "ﬁne ligature", "é6q0", "Über die Straße", "- 7 -", "第 3 章", "e\u0301tude", "\u0301ab", "a\u2028b", "".join(a for a, _ in scans.ALIKE)]
+    assert scans.running_keys(lines) == [scans.running_key(x) for x in lines] and scans.running_keys([]) == []
+    pairs = [(a, b) for a in lines for b in lines]
+    assert scans.likenesses([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [scans.likeness(a, b) for a, b in pairs]
+    assert scans.likeness("abab", "ab") == 0.5 and scans.likeness("a", "b") == scans.likeness("", "b") == 0.0
+
+
+def test_pages_around_are_whole(spark):
+    """Lines meet exactly those of the pages around them, whatever the runs; a crowded page does not meet itself."""
+    rng = random.Random(5)
+    lines = [(i, f"s{rng.randrange(3)}", rng.choice((-3, 0, *range(1, 60))), rng.random() < 0.5) for i in range(300)]
+    lines += [(1000 + i, "s2", 70, True) for i in range(200)] + [(2000, "s2", 2**31 - 1, True), (2001, "s2", -(2**31), True), (2002, "s2", 2**31 - 2, True)]
+    want = {(a, b) for a, s, p, f in lines for b, t, q, g in lines if s == t and f == g and 1 <= abs(p - q) <= scans.AROUND}
+    for width in (scans.RUN, 1):
+        rows = spark.createDataFrame([(*x, width) for x in lines], "a int, source string, page int, foot boolean, width int")
+        other = rows.selectExpr("a AS b", "source AS s2", "page AS page2", "foot AS foot2", "width AS width2")
+        assert {(r["a"], r["b"]) for r in scans.around(rows, other).collect()} == want
+        left = scans.around(rows, other, "left").select("a", "b").collect()
+        assert {(r["a"], r["b"]) for r in left} == want | {(a, None) for a, *_ in lines if a not in {x for x, _ in want}} and len(left) == len(set(left))
+
+
+def test_pages_at_the_ends_of_their_type(spark):
+    rows = [(i, "s", page, 1, f"Work on quality 3\nsome text of a page\n- {n} -", True) for i, (page, n) in enumerate([(2**31 - 1, 5), (2**31 - 2, 4), (-(2**31), 9), (1, 1)])]
+    got = scans.scan_noise(spark.createDataFrame(rows, SCHEMA.rpartition(",")[0])).collect()
+    assert {r["block_id"] for r in got if r["noise"] == "page_number"} == {0, 1, 2, 3}
+
+
+def test_counts_over_batches():
+    """A task counts over its batches, and passes on what it holds when it is much."""
+    batch = lambda *texts: scans.pa.RecordBatch.from_pydict({"text": scans.pa.array(texts, scans.pa.string())})
+    parts = lambda: iter([batch("one two-three", None, "数据局"), batch(), batch("", "one 数据局")])
+    whole = [r for b in scans._count(parts()) for r in b.to_pylist()]
+    got = {(r["kind"], r["token"]): r["n"] for r in whole}
+    assert len(got) == len(whole) and got["w", "one"] == 2 and got["w", "two-three"] == 1 and got["t", "数据局"] == 2 and got["t", "^数据"] == 1 and got["t", " 数据"] == 1
+
+
+def test_samples_settle_ties(spark):
+    """Which of the rows with one key are drawn does not hang on the order in which they come."""
+    rows = [("a", k // 50, k % 50) for k in range(600)]
+    drawn = [{tuple(r) for r in scans.bounded_sample(spark.createDataFrame(x, "s string, h int, idx int").repartition(n), "s", "h", 120, ("idx",)).collect()} for x, n in ((rows, 1), (rows[::-1], 3))]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 120
+
+
 def test_page_numbers():
     for line, want in (("- l2 -", 12), ("第 3 页 共 9 页", 3), ("Page 4 of 29", 4), ("·7·", 7), ("iv", 4), ("[12]", 12), ("14.3%", None), ("2023 items", None), ("civil", None)):
         got = scans.page_number(line)
