@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.best import Best
+from quire.session import cut
 
-#: Queries that are sent to all tasks at once; more go in several passes over the rows.
-QUERY_BLOCK = 20_000
+#: Queries that the driver sends to all tasks at once; more go in several passes over the rows, one after another.
+QUERY_BLOCK = 8_000
 #: Numbers that a task holds of distances between its rows and queries.
 CELLS = 4_000_000
 
@@ -32,8 +36,35 @@ def _by_scope(scopes: list) -> dict[object, np.ndarray]:
     return {s: np.array(at) for s, at in out.items()}
 
 
-def _pass(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, scopes: list, k: int, threshold: float | None, same: str | None) -> DataFrame:
-    """The k best rows of each query in every task; queries are bounded by QUERY_BLOCK.
+def stands(asked: DataFrame, id_col: str, alike: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first of the queries that are equal in the columns `alike`, and (`id`, `_first`): the one that stands for each.
+
+    Null equals null. Both are written to the shared folder.
+    """
+    first = cut(asked.groupBy(*alike).agg(F.min(id_col).alias(id_col)))
+    of = first.select(F.col(id_col).alias("_first"), *(F.col(c).alias(f"_{c}") for c in alike))
+    met = asked.join(of, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]))
+    return first, cut(met.select(id_col, "_first"))
+
+
+def in_passes(first: DataFrame, id_col: str, meet: Callable[[DataFrame], tuple[DataFrame, Broadcast] | None]) -> DataFrame | None:
+    """What `meet` finds for about QUERY_BLOCK queries at a time, each part written before the next is begun.
+
+    So the driver never has more than one block of queries, and no plan grows with their number.
+    """
+    blocks, out = max(1, -(-first.count() // QUERY_BLOCK)), None
+    for b in range(blocks):
+        got = meet(first.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b))
+        if got is None:
+            continue
+        part, shared = cut(got[0]), got[1]
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _pass(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, scopes: list, k: int, threshold: float | None, same: str | None) -> tuple[DataFrame, Broadcast]:
+    """The k best rows of each query in every task, and the queries sent, which are bounded by QUERY_BLOCK.
 
     Relevance is 1 - d / sqrt(2) of squared distances d, to six places, as of a flat
     index. Of a block of distances only those that can still be among the k best of
@@ -66,7 +97,26 @@ def _pass(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, scopes: list,
 
     columns = [F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", *([F.col(same).cast("string").alias("scope")] if same else [])]
     rows = vectors.select(*columns).filter("embedding IS NOT NULL AND size(embedding) > 0")
-    return rows.mapInArrow(meet, "query_id bigint, vec_id bigint, relevance double")
+    return rows.mapInArrow(meet, "query_id bigint, vec_id bigint, relevance double"), shared
+
+
+def _sent(queries: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
+    """Ids, vectors and scopes of a block of queries, by id; vectors come to the driver as bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                ids = np.asarray(batch.column("query_id").to_numpy(zero_copy_only=False), np.int64)
+                yield pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "vectors": [_packed(batch, "embedding").tobytes()], "scopes": [batch.column("scope").to_pylist()]})
+
+    parts = queries.select("query_id", "embedding", "scope").mapInArrow(pack, "ids binary, vectors binary, scopes array<string>").collect()
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros((0, 1)), []
+    ids = np.concatenate([np.frombuffer(p["ids"], np.int64) for p in parts])
+    matrix = np.concatenate([np.frombuffer(p["vectors"], np.float64) for p in parts]).reshape(len(ids), -1)
+    scopes = [s for p in parts for s in p["scopes"]]
+    order = np.argsort(ids, kind="stable")
+    return ids[order], matrix[order], [scopes[i] for i in order]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, same: str | None = None) -> DataFrame:
@@ -75,30 +125,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | N
     `vectors` and `queries` have `vec_id` and `embedding` (one width). Distance is
     squared L2 and relevance 1 - d / sqrt(2), as of a flat index; it is rounded to
     six places before ranking, ties go to the lower id. Queries are sent to the
-    rows, QUERY_BLOCK at a time; rows stay where they are, each task passes on k
-    rows a query. With `same`, a query only meets vectors of an equal value in that
-    column (a scope); null equals null. `threshold` keeps what is relevant enough.
-    Rows without a vector are never found; no queries or no rows give no rows.
+    rows, QUERY_BLOCK at a time and equal ones once; rows stay where they are, each
+    task passes on k rows a query. With `same`, a query only meets vectors of an
+    equal value in that column (a scope); null equals null. `threshold` keeps what is
+    relevant enough. Rows without a vector are never found; no queries or no rows
+    give no rows.
     """
     spark = queries.sparkSession
     asked = queries.filter("embedding IS NOT NULL AND size(embedding) > 0").select(F.col("vec_id").cast("bigint").alias("query_id"), "embedding", (F.col(same).cast("string") if same else F.lit(None).cast("string")).alias("scope"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    met = None
     best = W.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")
-    for b in range(blocks):
-        # equal queries are in one block, and one of them stands for all
-        block = asked.filter(F.pmod(F.xxhash64("embedding", "scope"), F.lit(blocks)) == b) if blocks > 1 else asked
-        rows = block.toPandas().sort_values("query_id", kind="stable")
-        if not len(rows):
-            continue
-        scopes = [s if isinstance(s, str) else None for s in rows["scope"]]
-        ids, first = rows["query_id"].to_numpy(np.int64), {}
-        stands = np.array([first.setdefault((np.asarray(e, np.float64).tobytes(), s), i) for i, (e, s) in enumerate(zip(rows["embedding"], scopes))])
-        own = np.unique(stands)
-        part = _pass(vectors, ids[own], np.array([rows["embedding"].iloc[i] for i in own], np.float64), [scopes[i] for i in own], k, threshold, same)
-        part = part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        if len(own) < len(ids):
-            equal = spark.createDataFrame(pd.DataFrame({"query_id": ids[stands], "_q": ids}), "query_id bigint, _q bigint")
-            part = part.join(equal, "query_id").select(F.col("_q").alias("query_id"), "vec_id", "relevance", "rank")
-        met = part if met is None else met.unionByName(part)
-    return spark.createDataFrame([], "query_id bigint, vec_id bigint, relevance double, rank int") if met is None else met
+    nearest_of = lambda rows: rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    def meet(block: DataFrame) -> tuple[DataFrame, Broadcast] | None:
+        ids, matrix, scopes = _sent(block)
+        if not len(ids):
+            return None
+        rows, shared = _pass(vectors, ids, matrix, scopes, k, threshold, same)
+        return nearest_of(rows), shared
+
+    if asked.count() > QUERY_BLOCK:
+        first, equal = stands(cut(asked), "query_id", ["embedding", "scope"])
+        met = in_passes(first, "query_id", meet)
+        return met.withColumnRenamed("query_id", "_first").join(equal, "_first").select("query_id", "vec_id", "relevance", "rank")
+    ids, matrix, scopes = _sent(asked)
+    if not len(ids):
+        return spark.createDataFrame([], "query_id bigint, vec_id bigint, relevance double, rank int")
+    alike: dict[tuple, int] = {}
+    stand = np.array([alike.setdefault((e.tobytes(), s), i) for i, (e, s) in enumerate(zip(matrix, scopes))])
+    own = np.unique(stand)
+    met = nearest_of(_pass(vectors, ids[own], matrix[own], [scopes[i] for i in own], k, threshold, same)[0])
+    if len(own) < len(ids):
+        equal = spark.createDataFrame(pd.DataFrame({"query_id": ids[stand], "_q": ids}), "query_id bigint, _q bigint")
+        met = met.join(equal, "query_id").select(F.col("_q").alias("query_id"), "vec_id", "relevance", "rank")
+    return met

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from quire.config import DEFAULTS, SECTION_STOPWORDS, EngineConfig
 from quire.functions import text as T
 from quire.functions.best import Best, places
-from quire.operators.dense import CELLS, QUERY_BLOCK
+from quire.operators import dense
+from quire.operators.dense import CELLS
+from quire.session import cut
 
 
 def fuse(lists: list[DataFrame], query_id: str, id_col: str, k: int, config: EngineConfig = DEFAULTS) -> DataFrame:
@@ -63,11 +67,6 @@ def question_grams(question: Column) -> Column:
     return F.filter(_section_grams(question), lambda g: ~g.isin(*SECTION_STOPWORDS))
 
 
-def pair_weight(asked: Column, named: Column) -> Column:
-    """The weight of a section for a question from the grams of both (see `section_weights`)."""
-    return F.aggregate(F.array_intersect(asked, named), F.lit(0).cast("bigint"), lambda a, g: a + F.length(g) * F.length(g))
-
-
 def heaviest_blocks(groups: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(`question_id`, `block_id`, `weight`): the k blocks in scope whose paths weigh most for a question; ties go to the lower id.
 
@@ -77,43 +76,43 @@ def heaviest_blocks(groups: DataFrame, questions: DataFrame, k: int) -> DataFram
     as of `section_weights`; of all pairs only those that can be among the k best
     leave a task.
     """
-    blocks = max(1, -(-questions.count() // QUERY_BLOCK))
     best = W.partitionBy("question_id").orderBy(F.desc("weight"), "block_id")
-    rows, out = groups.select(_section_grams(F.col("path")).alias("grams"), "tier", "home", "ids"), None
-    for b in range(blocks):
-        asked = questions.filter(F.pmod(F.xxhash64("grams", "kind", "tier_found"), F.lit(blocks)) == b).collect() if blocks > 1 else questions.collect()
-        equal: dict[tuple, list[int]] = {}
-        for r in asked:
-            equal.setdefault((tuple(sorted(r["grams"] or ())), r["kind"], r["tier_found"]), []).append(r["question_id"])
-        cases = [c for c in equal if c[0]]
+    rows = groups.select(_section_grams(F.col("path")).alias("grams"), "tier", "home", "ids")
+    asked = questions.filter("size(grams) > 0").select("question_id", F.array_sort("grams").alias("grams"), "kind", "tier_found")
+    first, equal = dense.stands(asked, "question_id", ["grams", "kind", "tier_found"])
+
+    def meet(block: DataFrame) -> tuple[DataFrame, Broadcast] | None:
+        # grams hold letters and digits only, so one string carries those of a question
+        cases = block.select("question_id", F.array_join("grams", " ").alias("grams"), "kind", "tier_found").collect()
         if not cases:
-            continue
-        stands = [min(equal[c]) for c in cases]
-        met = rows.mapInArrow(_meet_groups(groups.sparkSession, stands, cases, k), "question_id bigint, block_id bigint, weight bigint")
-        met = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        same = groups.sparkSession.createDataFrame([(at, i) for at, c in zip(stands, cases) for i in equal[c]], "question_id bigint, _q bigint")
-        met = met.join(same, "question_id").select(F.col("_q").alias("question_id"), "block_id", "weight", "rank")
-        out = met if out is None else out.unionByName(met)
-    return groups.sparkSession.createDataFrame([], "question_id bigint, block_id bigint, weight bigint, rank int") if out is None else out
-
-
-def _meet_groups(spark: SparkSession, stands: list[int], cases: list[tuple], k: int):
-    """What a task does with its groups of blocks: weigh their paths for all questions, keep the k best blocks of each."""
-    grams: dict[str, list[int]] = {}
-    for i, (parts, _, _) in enumerate(cases):
-        for g in parts:
-            grams.setdefault(g, []).append(i)
-    lists = [np.array(x, np.int64) for x in grams.values()]
+            return None
+        task, shared = _meet_groups(groups.sparkSession, cases, k)
+        met = rows.mapInArrow(task, "question_id bigint, block_id bigint, weight bigint")
+        return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), shared
+
+    met = dense.in_passes(first, "question_id", meet)
+    if met is None:
+        return groups.sparkSession.createDataFrame([], "question_id bigint, block_id bigint, weight bigint, rank int")
+    return met.withColumnRenamed("question_id", "_first").join(equal, "_first").select("question_id", "block_id", "weight", "rank")
+
+
+def _meet_groups(spark: SparkSession, cases: list, k: int) -> tuple[Callable, Broadcast]:
+    """What a task does with its groups of blocks: weigh their paths for all questions, keep the k best blocks of each; and what is sent for it."""
+    grams: dict[str, array] = {}
+    for i, case in enumerate(cases):
+        for g in case["grams"].split(" "):
+            grams.setdefault(g, array("q")).append(i)
+    kinds, tiers = [c["kind"] for c in cases], [c["tier_found"] for c in cases]
     shared = spark.sparkContext.broadcast((
-        np.array(stands, np.int64),
+        np.array([c["question_id"] for c in cases], np.int64),
         {g: i for i, g in enumerate(grams)},
         np.array([len(g) ** 2 for g in grams], np.float64),
-        np.cumsum([0, *map(len, lists)]),
-        np.concatenate(lists),
-        np.array([kind == "all" for _, kind, _ in cases]),
-        np.array([kind == "local" for _, kind, _ in cases]),
-        np.array([tier if kind == "tier" and tier is not None else "" for _, kind, tier in cases], object),
-        np.array([kind == "tier" and tier is not None for _, kind, tier in cases]),
+        np.cumsum([0, *map(len, grams.values())]),
+        np.concatenate([np.frombuffer(x, np.int64) for x in grams.values()]),
+        np.array([kind == "all" for kind in kinds]),
+        np.array([kind == "local" for kind in kinds]),
+        np.array([tier if kind == "tier" and tier is not None else "" for kind, tier in zip(kinds, tiers)], object),
+        np.array([kind == "tier" and tier is not None for kind, tier in zip(kinds, tiers)]),
     ))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +152,7 @@ def _meet_groups(spark: SparkSession, stands: list[int], cases: list[tuple], k:
         q, w, i = best.settle()
         yield pa.RecordBatch.from_arrays([pa.array(stands[q], pa.int64()), pa.array(i, pa.int64()), pa.array(w.astype(np.int64))], names=["question_id", "block_id", "weight"])
 
-    return meet
+    return meet, shared
 
 
 def section_hits(sections: DataFrame, questions: DataFrame, k: int) -> DataFrame:

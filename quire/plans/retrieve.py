@@ -6,10 +6,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULTS, EngineConfig
+from quire.functions import text as T
 from quire.functions.embedding import EmbeddingProvider, HashEmbedder
 from quire.operators import dense, lexical, ranking, scope
 from quire.session import cut
@@ -34,20 +34,27 @@ def corpus(blocks: DataFrame, embedder: EmbeddingProvider | None = None, config:
 
 
 def scopes(blocks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Questions with their classes and `kind` of scope, the sources that they name, and the local sources.
+    """Questions with their classes, `kind` of scope and `within`, the sources that are named, and the local sources.
 
     `kind` is `named` where files are named (local ones first, all where none is
     local), within a tier if one was found too; else `tier`; else `local`, unless the
     question is about other regions or no source is local: then `all`. Local scope is
-    kept as a kind, so that no list of sources is made for each question.
+    kept as a kind, and the named sources (`within`, `only_tier`, `source`) once for all
+    questions that name the same in the same way, the first of which is `within`; so no
+    list of sources is made for each question.
     """
     classes = scope.question_classes(questions, config)
     local = cut(scope.local_sources(blocks, config))
-    named = cut(scope.scoped_sources(scope.named_files(questions, blocks.select("source").distinct()), local, classes))
-    names = named.select("question_id").distinct().withColumn("names", F.lit(True))
+    titles = F.array_sort(F.array_distinct(F.transform(T.quoted_titles(F.col("question")), T.squeeze)))
+    naming = questions.join(classes, "question_id").select("question_id", titles.alias("titles"), "tier_found", "wants_other").filter("size(titles) > 0")
+    first, alike = dense.stands(naming, "question_id", ["titles", "tier_found", "wants_other"])
+    names = scope.named_files(questions.join(first.select("question_id"), "question_id", "left_semi"), blocks.select("source").distinct())
+    named = scope.scoped_sources(cut(names), local, classes.join(first.select("question_id"), "question_id", "left_semi"))
+    named = cut(named.join(first.select("question_id", F.col("tier_found").alias("only_tier")), "question_id").withColumnRenamed("question_id", "within"))
+    within = alike.withColumnRenamed("_first", "within").join(named.select("within").distinct(), "within", "left_semi")
     some = not local.isEmpty()
-    kind = F.when(F.col("names"), "named").when(F.col("tier_found").isNotNull(), "tier").when(~F.col("wants_other") & F.lit(some), "local").otherwise("all")
-    asked = questions.select("question_id", "question").join(classes, "question_id").join(names, "question_id", "left").withColumn("kind", kind).drop("names")
+    kind = F.when(F.col("within").isNotNull(), "named").when(F.col("tier_found").isNotNull(), "tier").when(~F.col("wants_other") & F.lit(some), "local").otherwise("all")
+    asked = questions.select("question_id", "question").join(classes, "question_id").join(within, "question_id", "left").withColumn("kind", kind)
     return cut(asked), named, local
 
 
@@ -55,19 +62,19 @@ def section_places(found: Corpus, questions: DataFrame, asked: DataFrame, named:
     """(`question_id`, `block_id`, `weight`, `rank`): the blocks in scope whose paths weigh most for a question.
 
     Questions are sent to the paths, each with the first `depth` of its blocks in a
-    tier, and only what can be among the best of a question leaves a task. Blocks of
-    files that a question names are met through the file.
+    tier, and only what can be among the best of a question leaves a task. What is
+    named is met as a tier of its own, in which stand the blocks of the named files.
     """
     grams = questions.select("question_id", ranking.question_grams(F.col("question")).alias("grams"))
-    grams = cut(grams.join(asked.select("question_id", "kind", "tier_found"), "question_id"))
+    grams = cut(grams.join(asked.select("question_id", "kind", "tier_found", "within"), "question_id"))
     blocks = found.blocks.filter("path IS NOT NULL AND path <> ''").select("block_id", "source", "path", F.coalesce("tier", F.lit("")).alias("tier"))
     blocks = cut(blocks.join(local.withColumn("home", F.lit(True)), "source", "left").withColumn("home", F.coalesce("home", F.lit(False))))
     part = ["path", "tier", "home"]
-    heads = ranking.numbered(blocks, part, ["block_id"]).filter(F.col("position") <= depth).groupBy(*part).agg(F.sort_array(F.collect_list("block_id")).alias("ids"))
-    wide = ranking.heaviest_blocks(heads, grams.filter("kind <> 'named'"), depth)
-    own = grams.filter("kind = 'named'").join(named, "question_id").join(blocks, "source").filter("tier_found IS NULL OR tier = tier_found")
-    own = own.select("question_id", "block_id", ranking.pair_weight(F.col("grams"), ranking.question_grams(F.col("path"))).alias("weight")).filter("weight > 0")
-    return wide.unionByName(ranking.top(own, ["question_id"], "weight", "block_id", depth))
+    heads = lambda rows: ranking.numbered(rows, part, ["block_id"]).filter(F.col("position") <= depth).groupBy(*part).agg(F.sort_array(F.collect_list("block_id")).alias("ids"))
+    wide = ranking.heaviest_blocks(cut(heads(blocks)), grams.filter("kind <> 'named'"), depth)
+    own = blocks.join(named, "source").filter("only_tier IS NULL OR tier = only_tier").select("block_id", "path", F.col("within").cast("string").alias("tier"), F.lit(False).alias("home"))
+    asked_own = grams.filter("kind = 'named'").select("question_id", "grams", F.lit("tier").alias("kind"), F.col("within").cast("string").alias("tier_found"))
+    return wide.unionByName(ranking.heaviest_blocks(cut(heads(own)), asked_own, depth))
 
 
 def ranked_lists(found: Corpus, queries: DataFrame, asked: DataFrame, named: DataFrame, local: DataFrame, depth: int, config: EngineConfig = DEFAULTS) -> DataFrame:
@@ -78,27 +85,26 @@ def ranked_lists(found: Corpus, queries: DataFrame, asked: DataFrame, named: Dat
     one, lexical and dense hits are fused, `summary_floor` of each for summaries and
     reports and `top_k` for others.
     """
-    queries = queries.join(asked.select("question_id", "kind", "tier_found", (F.col("is_summary") | F.col("is_report")).alias("many")), "question_id")
+    queries = queries.join(asked.select("question_id", "kind", "tier_found", "within", (F.col("is_summary") | F.col("is_report")).alias("many")), "question_id")
     queries = cut(queries.withColumn("vec_id", F.xxhash64("question_id", "turn")).withColumn("embedding", found.embedder.embed(F.col("query"))))
     limit = config.score_threshold if config.score_threshold > 0 else None
     own = lambda kind: queries.filter(F.col("kind") == kind)
+    kinds = {r["kind"] for r in queries.select("kind").distinct().collect()}
+    held = lambda kind, vectors: cut(vectors) if kind in kinds else vectors
     back = queries.select(F.col("vec_id").alias("query_id"), "question_id", "turn")
     tiers = dense.nearest(found.vectors.withColumn("s", F.coalesce("tier", F.lit(""))), own("tier").withColumn("s", F.col("tier_found")), depth, limit, "s")
-    home = dense.nearest(found.vectors.join(local, "source", "left_semi"), own("local"), depth, limit)
-    # files that questions name: their own vectors only, by a join on the source
-    near = found.vectors.filter("embedding IS NOT NULL").select(F.col("vec_id").alias("block_id"), "source", F.coalesce("tier", F.lit("")).alias("t"), F.col("embedding").alias("e"))
-    distance = F.aggregate(F.zip_with(F.col("embedding"), F.col("e"), lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
-    few = own("named").filter("embedding IS NOT NULL").join(named, "question_id").join(near, "source").filter("tier_found IS NULL OR t = tier_found").select("question_id", "turn", "block_id", F.round(1 - distance / F.sqrt(F.lit(2.0)), 6).alias("relevance"))
-    few = few if limit is None else few.filter(F.col("relevance") >= limit - 1e-9)
-    few = ranking.top(few, ["question_id", "turn"], "relevance", "block_id", depth)
+    home = dense.nearest(held("local", found.vectors.join(local, "source", "left_semi").select("vec_id", "embedding")), own("local"), depth, limit)
+    # files that questions name: their vectors once for each scope that names them
+    near = found.vectors.join(named, "source").filter("only_tier IS NULL OR coalesce(tier, '') = only_tier").select("vec_id", "embedding", "within")
+    few = dense.nearest(held("named", near), own("named"), depth, limit, "within")
     free = own("all")
     k = lambda df: df.filter(F.col("rank") <= F.when(F.col("many"), config.summary_floor).otherwise(config.top_k))
     many = free.select(F.col("vec_id").alias("query_id"), "many")
     words = k(lexical.search(found.index, free.select(F.col("vec_id").alias("query_id"), F.col("query").alias("question")), "block_id", "query_id", config.summary_floor, config=config).join(many, "query_id"))
     close = k(dense.nearest(found.vectors, free, config.summary_floor, limit).withColumnRenamed("vec_id", "block_id").join(many, "query_id"))
     fused = ranking.fuse([words, close], "query_id", "block_id", depth, config)
-    lists = [x.select("query_id", F.col("vec_id").alias("block_id"), "rank") for x in (tiers, home)] + [fused.select("query_id", "block_id", "rank")]
-    return reduce(DataFrame.unionByName, lists).join(back, "query_id").drop("query_id").unionByName(few.select("question_id", "turn", "block_id", "rank"))
+    lists = [x.select("query_id", F.col("vec_id").alias("block_id"), "rank") for x in (tiers, home, few)] + [fused.select("query_id", "block_id", "rank")]
+    return reduce(DataFrame.unionByName, lists).join(back, "query_id").drop("query_id")
 
 
 def retrieve(found: Corpus, questions: DataFrame, queries: DataFrame | None = None, config: EngineConfig = DEFAULTS) -> tuple[DataFrame, DataFrame]:
@@ -137,4 +143,4 @@ def retrieve(found: Corpus, questions: DataFrame, queries: DataFrame | None = No
     seeds = merged.filter("summary").select("question_id", "block_id", F.col("position").alias("rank"))
     done = ranking.complete_sources(seeds, found.blocks, config.summary_retrieve_limit, config)
     rest = merged.filter("NOT summary").select("question_id", "block_id", F.col("position").alias("rank"))
-    return done.unionByName(ranking.expand_small_sources(rest, found.blocks.select("block_id", "source"), config.retrieve_limit, config)), asked
+    return cut(done.unionByName(ranking.expand_small_sources(rest, found.blocks.select("block_id", "source"), config.retrieve_limit, config))), asked

@@ -4,7 +4,7 @@ import numpy as np
 
 from quire.config import EngineConfig
 from quire.functions import embedding
-from quire.operators import lexical, ranking
+from quire.operators import dense, lexical, ranking
 from quire.plans import answer, retrieve
 
 BLOCKS = "block_id bigint, source string, page int, tier string, section string, path string, text string"
@@ -148,3 +148,30 @@ def test_heaviest_blocks_against_all_pairs(spark):
     for n, _, kind, tier in asked:
         want = [(-weights[n, path], i) for (path, t, home), ids in part.items() for i in ids if (n, path) in weights and (kind == "all" or kind == "tier" and t == tier or kind == "local" and home)]
         assert got.get(n, []) == sorted(want)[:4], n
+
+
+def test_the_driver_has_one_block_of_queries_at_a_time(spark, monkeypatch):
+    """Many queries give what one block gives; equal ones are sent once, and no plan holds a pass for each block."""
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0], "ab"[i % 2]) for i in range(60)], "vec_id bigint, embedding array<float>, s string")
+    asked = spark.createDataFrame([(i, [float(i % 4), float(i % 3), 1.0], ("a", "b", None)[i % 3]) for i in range(48)], "vec_id bigint, embedding array<float>, s string")
+    near = lambda same: dense.nearest(vectors, asked, 5, None, same)
+    want = {same: sorted(near(same).collect()) for same in (None, "s")}
+    sent, plain = [], dense._pass
+    monkeypatch.setattr(dense, "_pass", lambda v, ids, *rest: sent.append(len(ids)) or plain(v, ids, *rest))
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 5)
+    for same in (None, "s"):
+        sent.clear()
+        got = near(same)
+        assert sum(sent) == 12 and "MapInArrow" not in got._jdf.queryExecution().toString()
+        assert sorted(got.collect()) == want[same]
+
+
+def test_questions_that_name_the_same_share_a_list_of_sources(spark):
+    df = spark.createDataFrame(rows(), BLOCKS)
+    asked = spark.createDataFrame([(i, f"《{TOPICS[i % 2]}》第{i}项由谁组织") for i in range(20)] + [(50, "省级《算力券申请条件》"), (51, "《没有的名称》")], "question_id bigint, question string")
+    kinds, named, _ = retrieve.scopes(df, asked)
+    kind = {r["question_id"]: (r["kind"], r["within"]) for r in kinds.collect()}
+    assert all(kind[i] == ("named", i % 2) for i in range(20)) and kind[50] == ("named", 50) and kind[51] == ("local", None)
+    lists = sorted((r["within"], r["source"]) for r in named.collect())
+    want = [(n, s) for n, topic in ((0, TOPICS[0]), (1, TOPICS[1]), (50, TOPICS[1])) for s in sorted({b[1] for b in rows() if topic in b[1]})]
+    assert lists == want
