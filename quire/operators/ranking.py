@@ -200,8 +200,9 @@ def complete_sources(hits: DataFrame, chunks: DataFrame, limit: int, config: Eng
     Blocks without a path always count. Within a source blocks go by page (none last),
     path, section and text, then id.
 
-    Sources that begin after the limit is reached are left out before any block is
-    met. Large sources are narrowed by their distinct paths, and blocks then meet what
+    Blocks are put in order once, for all questions, which then carry numbers and no
+    texts. Sources that begin after the limit is reached are left out before any block
+    is met. Large sources are narrowed by their distinct paths, and blocks then meet what
     is left on equality; only sources within the gate meet hits whole.
     """
     chunks = chunks.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("path", "section")}).filter("source IS NOT NULL")
@@ -213,7 +214,8 @@ def complete_sources(hits: DataFrame, chunks: DataFrame, limit: int, config: Eng
     before = F.sum(least).over(W.partitionBy("question_id").orderBy("first_hit", "source").rowsBetween(W.unboundedPreceding, -1))
     first = first.join(sizes, "source").withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < limit).drop("_before")
     place = (F.col("page").isNull(), F.coalesce("page", F.lit(0)), "path", "section", F.coalesce("text", F.lit("")), "block_id")
-    kept = ["question_id", "first_hit", "source", "block_id", "page", "path", "section", "text"]
+    kept = ["question_id", "first_hit", "source", "block_id", "place"]
+    chunks = cut(chunks.orderBy("source", *place).select("source", "path", "block_id", F.monotonically_increasing_id().alias("place")))
     small = first.filter(F.col("n") <= config.summary_full_source_max).join(chunks, "source").select(*kept)
     large = first.filter(F.col("n") > config.summary_full_source_max)
     # which paths of a source belong to a path that was hit, once for all questions that hit it
@@ -223,9 +225,9 @@ def complete_sources(hits: DataFrame, chunks: DataFrame, limit: int, config: Eng
     paths = asked.join(belong, ["source", "hit"]).select("question_id", "first_hit", "source", "path").distinct()
     paths = paths.unionByName(large.filter(F.size("hits") == 0).join(named, "source").select("question_id", "first_hit", "source", "path"))
     # no more than the first `limit` blocks of a path of a source can be kept
-    heads = chunks.join(sizes.filter(F.col("n") > config.summary_full_source_max).select("source"), "source", "left_semi").withColumn("_k", F.row_number().over(W.partitionBy("source", "path").orderBy(*place))).filter(F.col("_k") <= limit).drop("_k")
+    heads = chunks.join(sizes.filter(F.col("n") > config.summary_full_source_max).select("source"), "source", "left_semi").withColumn("_k", F.row_number().over(W.partitionBy("source", "path").orderBy("place"))).filter(F.col("_k") <= limit).drop("_k")
     rows = small.unionByName(paths.join(heads, ["source", "path"]).select(*kept))
-    order = W.partitionBy("question_id").orderBy("first_hit", "source", *place)
+    order = W.partitionBy("question_id").orderBy("first_hit", "source", "place")
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("question_id", "block_id", "position")
 
 

@@ -175,3 +175,18 @@ def test_questions_that_name_the_same_share_a_list_of_sources(spark):
     lists = sorted((r["within"], r["source"]) for r in named.collect())
     want = [(n, s) for n, topic in ((0, TOPICS[0]), (1, TOPICS[1]), (50, TOPICS[1])) for s in sorted({b[1] for b in rows() if topic in b[1]})]
     assert lists == want
+
+
+def test_completed_sources_carry_no_texts(spark, monkeypatch):
+    """Blocks are put in order before questions meet them: by page (none last), path, section, text, id."""
+    df = spark.createDataFrame(rows(), BLOCKS)
+    hits = spark.createDataFrame([(1, 70, 1), (1, 3, 2), (2, 3, 1)], "question_id bigint, block_id bigint, rank int")
+    by = {b[0]: b for b in rows()}
+    place = lambda b: (b[2] is None, b[2] or 0, b[5] or "", b[4] or "", b[6] or "", b[0])
+    whole = lambda i: [b[0] for b in sorted((b for b in rows() if b[1] == by[i][1]), key=place)]
+    met, plain = [], ranking.cut
+    monkeypatch.setattr(ranking, "cut", lambda rows: met.append(rows.columns) or plain(rows))
+    out = ranking.complete_sources(hits, df, 17)
+    got = {n: [r["block_id"] for r in out.filter(f"question_id = {n}").orderBy("position").collect()] for n in (1, 2)}
+    assert got == {1: (whole(70) + whole(3))[:17], 2: whole(3)[:17]}
+    assert met == [["source", "path", "block_id", "place"]]
